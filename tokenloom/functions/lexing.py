@@ -110,10 +110,10 @@ def _declared_type(raw: Column, word: Column, i: Column) -> Column:
     head = F.get(raw, i - 2)
     imports = (head == "from") | ((head == "import") & _starts_line(raw, i - 2))
     return F.when(
-        _is_blank(F.get(raw, i - 1)) & ~word.isin(*L.KEYWORDS, *L.KEYWORD_CONSTANTS),
+        _is_blank(F.get(raw, i - 1)),
         F.when(head == "class", L.NAME_CLASS)
         .when((head == "def") & ~word.isin(*L.MAGIC_FUNCTIONS), L.NAME_FUNCTION)
-        .when(imports & (word != "import"), L.NAME_NAMESPACE),
+        .when(imports & (word != "None"), L.NAME_NAMESPACE),
     )
 
 

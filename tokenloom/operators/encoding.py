@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.lexing import lex
 from ..plans.lookup import BROADCAST_LIMIT, lookup_join
-from .tokens import typed_key
+from .tokens import explode_tokens, lex_documents, typed_key
 
 
 def _unknown_id(open_types) -> Column:
@@ -61,29 +60,40 @@ def collect_ids(encoded_tokens: DataFrame, id_col: str = "doc_id", add_start: bo
     return encoded_tokens.groupBy(id_col).agg(ids.alias("ids"))
 
 
-def encode_documents(
-    documents: DataFrame,
+def encode_lexed(
+    lexed: DataFrame,
     vocab: DataFrame,
     id_col: str = "doc_id",
-    text_col: str = "text",
     add_start: bool = True,
     on_missing: str = "error",
     limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
-    """``(id, ids, n_tokens)`` per document, empty documents included.
+    """``(id, ids, n_tokens)`` per document, those without tokens included.
 
-    Documents are spread by id while they are still text; with a broadcast
-    vocabulary nothing is shuffled after that, since the regrouping finds each
-    document's tokens already together.
+    With a broadcast vocabulary the one shuffle moves a single packed array per
+    document: its tokens leave the join in the task that read them, so the
+    grouping is combined there.
     """
-    spread = documents.select(id_col, text_col).repartition(id_col)
-    tokens = spread.select(
-        id_col, F.posexplode_outer(lex(F.col(text_col))).alias("pos", "_t")
-    ).select(id_col, "pos", "_t.t_type", "_t.token")
-    encoded = encode_tokens(tokens, vocab, on_missing, limit=limit)
+    encoded = encode_tokens(
+        explode_tokens(lexed, id_col, outer=True), vocab, on_missing, limit=limit
+    )
     return collect_ids(encoded, id_col, add_start).withColumn("n_tokens", F.size("ids"))
 
 
+def encode_documents(
+    documents: DataFrame,
+    vocab: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    add_start: bool = True,
+    on_missing: str = "error",
+    limit: int = BROADCAST_LIMIT,
+) -> DataFrame:
+    """:func:`encode_lexed` from texts."""
+    lexed = lex_documents(documents, id_col, text_col)
+    return encode_lexed(lexed, vocab, id_col, add_start, on_missing, limit)
+
+
 def document_lengths(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return encoded.select(id_col, F.size("ids").alias("n_tokens"))
 
@@ -123,7 +133,7 @@ def decode_documents(
 ) -> DataFrame:
     """``(id, text)`` from id arrays; the text has strings in single quotes and
     no comments, as encoding dropped both."""
-    rows = encoded.repartition(id_col).select(id_col, F.posexplode("ids").alias("pos", "id"))
+    rows = encoded.select(id_col, F.posexplode("ids").alias("pos", "id"))
     pieces = decode_tokens(rows, vocab, limit)
     ordered = F.sort_array(F.collect_list(F.struct("pos", "piece")))
     text = F.array_join(F.transform(ordered, lambda p: p["piece"]), "")

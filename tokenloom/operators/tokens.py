@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.lexing import lex, split_raw, normalize_source, type_raw
+from ..functions.lexing import lex, normalize_source, split_raw, type_raw
+from ..plans.parallel import spread
 
 
 def lex_documents(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", trim: bool = True
 ) -> DataFrame:
-    """``(id, tokens array<struct<t_type, token>>)``; one row per document, no shuffle."""
-    return documents.select(id_col, lex(F.col(text_col), trim=trim).alias("tokens"))
+    """``(id, tokens array<struct<t_type, token>>)``, one row per document; stage
+    it when more than one step needs the tokens."""
+    narrow = spread(documents.select(id_col, text_col), id_col)
+    return narrow.select(id_col, lex(F.col(text_col), trim=trim).alias("tokens"))
 
 
-def explode_tokens(lexed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def tokenize(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", trim: bool = True
+) -> DataFrame:
     """``(id, pos, t_type, token)`` with dense positions per document."""
-    return lexed.select(id_col, F.posexplode("tokens").alias("pos", "_t")).select(
+    narrow = spread(documents.select(id_col, text_col), id_col)
+    return _token_rows(narrow, id_col, lex(F.col(text_col), trim=trim))
+
+
+def explode_tokens(lexed: DataFrame, id_col: str = "doc_id", outer: bool = False) -> DataFrame:
+    """Token rows of :func:`lex_documents`; with ``outer`` a document without
+    tokens keeps one row, all null."""
+    return _token_rows(lexed, id_col, F.col("tokens"), outer)
+
+
+def _token_rows(df: DataFrame, id_col: str, tokens: Column, outer: bool = False) -> DataFrame:
+    # The generator takes the lexing expression itself: given a computed column,
+    # the optimizer would add a filter on it and lex every text again.
+    explode = F.posexplode_outer if outer else F.posexplode
+    return df.select(id_col, explode(tokens).alias("pos", "_t")).select(
         id_col, "pos", "_t.t_type", "_t.token"
     )
 
 
 def raw_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, pos, t_type, token)`` before anything is dropped or normalised."""
+    narrow = spread(documents.select(id_col, text_col), id_col)
     typed = type_raw(split_raw(normalize_source(F.col(text_col))))
-    return explode_tokens(documents.select(id_col, typed.alias("tokens")), id_col)
+    return _token_rows(narrow, id_col, typed)
 
 
 def drop_excluded(tokens: DataFrame, excluded=L.EXCLUDED_TYPES) -> DataFrame:

@@ -6,14 +6,24 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBER_SCHEMA = "user string, repo string, member_path string, content binary, error string"
 ARCHIVE_SCHEMA = "user string, repo string, content binary"
 
-_MEMBERS_PER_FRAME = 256
+_MEMBERS = pa.schema(
+    [
+        ("user", pa.string()),
+        ("repo", pa.string()),
+        ("member_path", pa.string()),
+        ("content", pa.binary()),
+        ("error", pa.string()),
+    ]
+)
+_ARCHIVES = pa.schema([("user", pa.string()), ("repo", pa.string()), ("content", pa.binary())])
+_BAD = (zipfile.BadZipFile, OSError, EOFError, ValueError, NotImplementedError, RuntimeError)
 
 
 def scan_archives(spark: SparkSession, directory: str) -> DataFrame:
@@ -32,44 +42,43 @@ def scan_archives(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def unpack_archives(archives: DataFrame, suffix: str = ".py") -> DataFrame:
+def unpack_archives(
+    archives: DataFrame, suffix: str = ".py", batch_bytes: int = 16 * 1024 * 1024
+) -> DataFrame:
     """One row per member of each archive's project folder, the first top-level
     folder by name; paths start with it.  An archive that does not open, or has
     no folder, gives one row with ``error`` set and the run goes on."""
 
-    def members(row) -> Iterator[dict]:
-        known = {"user": row.user, "repo": row.repo}
-        try:
-            with zipfile.ZipFile(io.BytesIO(row.content)) as archive:
-                # Of equal names the later member counts, as when unpacking.
-                by_name = {n.filename: n for n in archive.infolist()}
-                folders = sorted(n.split("/")[0] for n in by_name if "/" in n.lstrip("/"))
-                if not folders:
-                    raise zipfile.BadZipFile("no top-level folder")
-                for name, info in by_name.items():
-                    if (
-                        name.startswith(folders[0] + "/")
-                        and name.endswith(suffix)
-                        and ".." not in name.split("/")
-                    ):
-                        yield known | {"member_path": name, "content": archive.read(info)}
-        except (zipfile.BadZipFile, OSError, EOFError, ValueError, NotImplementedError) as error:
-            yield known | {"error": str(error) or type(error).__name__}
-
-    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["user", "repo", "member_path", "content", "error"]
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                rows = []
-                for member in members(row):
-                    rows.append(member)
-                    if len(rows) == _MEMBERS_PER_FRAME:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
-
-    return archives.select("user", "repo", "content").mapInPandas(expand, MEMBER_SCHEMA)
+    def members(content: bytes) -> Iterator[tuple[str, bytes]]:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            # Of equal names the later member counts, as when unpacking.
+            by_name = {info.filename: info for info in archive.infolist()}
+            folders = [name.split("/")[0] for name in by_name if name.find("/") > 0]
+            if not folders:
+                raise zipfile.BadZipFile("no top-level folder")
+            root = min(folders) + "/"
+            for name, info in by_name.items():
+                if name.startswith(root) and name.endswith(suffix) and ".." not in name.split("/"):
+                    yield name, archive.read(info)
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for archive in batch.to_pylist():
+                known = {"user": archive["user"], "repo": archive["repo"]}
+                try:
+                    for path, content in members(archive["content"]):
+                        rows.append(known | {"member_path": path, "content": content})
+                        size += len(content)
+                        if size >= batch_bytes:
+                            yield pa.RecordBatch.from_pylist(rows, _MEMBERS)
+                            rows, size = [], 0
+                except _BAD as error:
+                    rows.append(known | {"error": str(error) or type(error).__name__})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _MEMBERS)
+
+    return archives.select("user", "repo", "content").mapInArrow(expand, MEMBER_SCHEMA)
 
 
 def rejected(members: DataFrame) -> DataFrame:
@@ -82,24 +91,28 @@ def accepted(members: DataFrame) -> DataFrame:
 
 
 def pack_archives(files: DataFrame, max_bytes: int = 16 * 1024 * 1024) -> DataFrame:
-    """The reverse: zip ``(user, repo, path, text)`` rows, each task closing an
-    archive at a change of repository or at ``max_bytes``."""
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for (user, repo), part in frame.groupby(["user", "repo"], sort=False):
-                todo = list(zip(part["path"], part["text"]))
-                while todo:
-                    buffer = io.BytesIO()
-                    size = 0
-                    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                        while todo and size < max_bytes:
-                            path, text = todo.pop()
-                            data = text.encode("utf-8")
-                            archive.writestr(path, data)
-                            size += len(data)
-                    yield pd.DataFrame(
-                        {"user": [user], "repo": [repo], "content": [buffer.getvalue()]}
-                    )
-
-    return files.select("user", "repo", "path", "text").mapInPandas(pack, ARCHIVE_SCHEMA)
+    """The reverse: zip ``(user, repo, path, text)`` rows.  A task fills one
+    archive per repository it meets and closes all of them at ``max_bytes``."""
+
+    def packed(groups: dict) -> Iterator[pa.RecordBatch]:
+        for (user, repo), members in groups.items():
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                for path, data in members:
+                    archive.writestr(path, data)
+            row = {"user": user, "repo": repo, "content": buffer.getvalue()}
+            yield pa.RecordBatch.from_pylist([row], _ARCHIVES)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, size = {}, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = row["text"].encode("utf-8")
+                groups.setdefault((row["user"], row["repo"]), []).append((row["path"], data))
+                size += len(data)
+                if size >= max_bytes:
+                    yield from packed(groups)
+                    groups, size = {}, 0
+        yield from packed(groups)
+
+    return files.select("user", "repo", "path", "text").mapInArrow(pack, ARCHIVE_SCHEMA)
