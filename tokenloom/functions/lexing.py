@@ -8,6 +8,7 @@ worker, and it is valid on a stream.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -197,11 +198,13 @@ def string_body(literal: Column) -> Column:
     return F.substring(literal, width + 1, F.length(literal) - 2 * width)
 
 
-def type_raw(raw: Column) -> Column:
-    """``array<struct<t_type, token>>``, one entry per raw token, nothing dropped."""
+@cache
+def typed_raw(text: str) -> Column:
+    """Raw tokens of a text column as ``array<struct<t_type, token>>``, nothing
+    dropped.  Cached, like :func:`lex`."""
     return let(
-        raw,
-        lambda r: F.transform(r, lambda t, i: _typed(raw_type(r, t, i), t)),
+        split_raw(normalize_source(F.col(text))),
+        lambda raw: F.transform(raw, lambda t, i: _typed(raw_type(raw, t, i), t)),
     )
 
 
@@ -246,8 +249,13 @@ def trim_leading_newlines(tokens: Column) -> Column:
     ).otherwise(tokens)
 
 
-def lex(text: Column, trim: bool = True, excluded=L.EXCLUDED_TYPES) -> Column:
-    """Typed, normalised tokens of a text in order."""
+@cache
+def lex(text: str, trim: bool = True, excluded: tuple[str, ...] = L.EXCLUDED_TYPES) -> Column:
+    """Typed, normalised tokens of a text column in order.
+
+    The word lists make this a large expression; it is built once per column
+    name, which saves over a second per query.
+    """
     space, newline = (F.array(_typed(L.TEXT, t)) for t in (L.SPACE, L.END_OF_LINE))
 
     def one(raw: Column, token: Column, i: Column) -> Column:
@@ -264,7 +272,7 @@ def lex(text: Column, trim: bool = True, excluded=L.EXCLUDED_TYPES) -> Column:
         )
 
     tokens = let(
-        split_raw(normalize_source(text)),
+        split_raw(normalize_source(F.col(text))),
         lambda raw: F.flatten(F.transform(raw, lambda token, i: one(raw, token, i))),
     )
     return let(tokens, trim_leading_newlines) if trim else tokens

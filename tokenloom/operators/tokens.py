@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.lexing import lex, normalize_source, split_raw, type_raw
+from ..functions.lexing import lex, typed_raw
 from ..plans.parallel import spread
 
 
@@ -16,7 +16,7 @@ def lex_documents(
     """``(id, tokens array<struct<t_type, token>>)``, one row per document; stage
     it when more than one step needs the tokens."""
     narrow = spread(documents.select(id_col, text_col), id_col)
-    return narrow.select(id_col, lex(F.col(text_col), trim=trim).alias("tokens"))
+    return narrow.select(id_col, lex(text_col, trim).alias("tokens"))
 
 
 def tokenize(
@@ -24,7 +24,7 @@ def tokenize(
 ) -> DataFrame:
     """``(id, pos, t_type, token)`` with dense positions per document."""
     narrow = spread(documents.select(id_col, text_col), id_col)
-    return _token_rows(narrow, id_col, lex(F.col(text_col), trim=trim))
+    return _token_rows(narrow, id_col, lex(text_col, trim))
 
 
 def explode_tokens(lexed: DataFrame, id_col: str = "doc_id", outer: bool = False) -> DataFrame:
@@ -45,8 +45,7 @@ def _token_rows(df: DataFrame, id_col: str, tokens: Column, outer: bool = False)
 def raw_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, pos, t_type, token)`` before anything is dropped or normalised."""
     narrow = spread(documents.select(id_col, text_col), id_col)
-    typed = type_raw(split_raw(normalize_source(F.col(text_col))))
-    return _token_rows(narrow, id_col, typed)
+    return _token_rows(narrow, id_col, typed_raw(text_col))
 
 
 def drop_excluded(tokens: DataFrame, excluded=L.EXCLUDED_TYPES) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import paths as P
-from ..functions.lexing import lex, normalize_source, split_raw, type_raw
+from ..functions.lexing import lex, typed_raw
 from ..operators import completion, corpus, encoding, metrics, sequences, vocabulary
 from ..operators import tokens as tok
 from ..plans.ordering import dense_index
@@ -277,8 +277,8 @@ def trim_leading_newlines(spark, sf_dir):
     )
     both = docs.select(
         "doc_id",
-        lex(F.col("text")).alias("trimmed"),
-        F.size(lex(F.col("text"), trim=False)).alias("n_untrimmed"),
+        lex("text").alias("trimmed"),
+        F.size(lex("text", trim=False)).alias("n_untrimmed"),
     )
     return both.select(
         "doc_id",
@@ -317,8 +317,7 @@ def padding_mask(spark, sf_dir):
 @query
 def lex_tokens(spark, sf_dir):
     docs = spread(_documents(spark, sf_dir), "doc_id")
-    typed = type_raw(split_raw(normalize_source(F.col("text"))))
-    return docs.select("doc_id", typed.alias("tokens")).select(
+    return docs.select("doc_id", typed_raw("text").alias("tokens")).select(
         "doc_id",
         F.size("tokens").alias("n_tokens"),
         F.array_join(
