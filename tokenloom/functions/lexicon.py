@@ -74,7 +74,7 @@ OPEN_CLASS_TYPES = (
 KEYWORDS = tuple(
     "as assert async await break continue del elif else except finally for "
     "global if lambda nonlocal pass raise return try while with yield".split()
-)
+) + ("yield from",)
 KEYWORD_CONSTANTS = ("False", "None", "True")
 OPERATOR_WORDS = ("and", "in", "is", "not", "or")
 # Keywords only in front of white space, names elsewhere.

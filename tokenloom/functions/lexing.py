@@ -25,6 +25,7 @@ _NAME = r"[a-zA-Z_\p{L}\p{Nl}][a-zA-Z0-9_\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*"
 #: literal with a million escapes does not overflow the stack.
 TOKEN_PATTERN = "|".join(
     [
+        r"yield from(?![\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}])",
         _NAME,
         _BLANK + "+",
         r"\n",
@@ -259,9 +260,10 @@ def lex(text: str, trim: bool = True, excluded: tuple[str, ...] = L.EXCLUDED_TYP
     space, newline = (F.array(_typed(L.TEXT, t)) for t in (L.SPACE, L.END_OF_LINE))
 
     def one(raw: Column, token: Column, i: Column) -> Column:
-        # The two commonest tokens first: a constant, no typing needed.
+        # The commonest tokens first: blanks need no typing, words no normalising.
         return (
             F.when(token == " ", space)
+            .when(_is_word(token), F.array(_typed(_word_type(raw, token, i), token)))
             .when(token == "\n", newline)
             .otherwise(
                 let(

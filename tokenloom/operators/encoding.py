@@ -132,8 +132,14 @@ def decode_documents(
     encoded: DataFrame, vocab: DataFrame, id_col: str = "doc_id", limit: int = BROADCAST_LIMIT
 ) -> DataFrame:
     """``(id, text)`` from id arrays; the text has strings in single quotes and
-    no comments, as encoding dropped both."""
-    rows = encoded.select(id_col, F.posexplode("ids").alias("pos", "id"))
+    no comments, as encoding dropped both.
+
+    Documents are spread by id while they are still ids: text pieces are ten
+    times as large, and their grouping then needs no shuffle.
+    """
+    rows = encoded.repartition(id_col).select(
+        id_col, F.posexplode("ids").alias("pos", "id")
+    )
     pieces = decode_tokens(rows, vocab, limit)
     ordered = F.sort_array(F.collect_list(F.struct("pos", "piece")))
     text = F.array_join(F.transform(ordered, lambda p: p["piece"]), "")

@@ -28,6 +28,7 @@ _RX = "|".join(
         r"0[xX](?:_?[0-9a-fA-F])+",
         _DIGITS,
         r"!=|==|<<|>>|:=",
+        r"yield from\b",
         rf"@?{_NAME}",
         r"\\\n",
         r"(?s:.)",
@@ -307,8 +308,6 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
-_RECODED = "'def', 'class'"
-
 ORACLES: dict[str, str] = {
     # scans, sources, sinks
     "repo_list": r"""

@@ -64,7 +64,8 @@ def unpack_archives(
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for archive in batch.to_pylist():
+            for n in range(batch.num_rows):
+                archive = batch.slice(n, 1).to_pylist()[0]
                 known = {"user": archive["user"], "repo": archive["repo"]}
                 try:
                     for path, content in members(archive["content"]):

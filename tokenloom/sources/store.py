@@ -11,7 +11,7 @@ from ..operators.vocabulary import VOCAB_SCHEMA, rare_lines, report_lines
 ENCODED_COLUMN = "ids"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
@@ -24,7 +24,7 @@ def write_encoded(encoded: DataFrame, path: str, redo: bool = False) -> None:
 
 def read_encoded(spark: SparkSession, path: str) -> DataFrame:
     """An encoded dataset; a missing one, or one without ids, is an error."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"{path} not found: encode the corpus first")
     encoded = spark.read.parquet(path)
     if ENCODED_COLUMN not in encoded.columns:
@@ -52,7 +52,7 @@ def get_vocab(
 ) -> DataFrame:
     """The stored vocabulary, or else ``build(threshold)``, stored first."""
     # The marker is written last, so a half-written vocabulary is not reused.
-    if not _exists(spark, vocab_path(base, threshold) + "/_SUCCESS"):
+    if not exists(spark, vocab_path(base, threshold) + "/_SUCCESS"):
         vocab = build(threshold)
         vocab.write.mode("overwrite").parquet(vocab_path(base, threshold))
     vocab = read_vocab(spark, base, threshold)
