@@ -63,8 +63,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def normalize_source(text: Column) -> Column:
     """Drop a byte order mark, unify line ends, strip blank lines at both ends
     and end with exactly one newline."""
-    unified = F.regexp_replace(text, F.lit(r"^\x{FEFF}|\r(?=\n)"), F.lit(""))
-    return F.concat(F.btrim(F.translate(unified, "\r", "\n"), F.lit("\n")), F.lit("\n"))
+    bare = F.when(text.startswith("\ufeff"), F.substr(text, F.lit(2))).otherwise(text)
+    # Plain replacements: a pattern would walk every text character by character.
+    unified = F.replace(F.replace(bare, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.concat(F.btrim(unified, F.lit("\n")), F.lit("\n"))
 
 
 def split_raw(text: Column) -> Column:
@@ -145,7 +147,8 @@ def _word_type(raw: Column, word: Column, i: Column) -> Column:
     plain = F.when(word.isin(*_SPECIAL_WORDS), _special_type(raw, word, i)).otherwise(L.NAME)
     return (
         F.when(
-            (following.startswith('"') | following.startswith("'"))
+            (F.octet_length(word) <= 2)
+            & (following.startswith('"') | following.startswith("'"))
             & F.lower(word).isin(*L.STRING_PREFIXES),
             L.STRING_AFFIX,
         )

@@ -9,11 +9,12 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """``scan`` with enough partitions to keep all cores busy.
 
     Lexing costs far more than reading, so a scan with fewer partitions than
-    cores is repartitioned.  That only happens to small inputs: a large one
-    already has more partitions than cores and is not shuffled.  Meant for
-    plain scans, whose partition count is known without running anything.
+    cores is repartitioned, into as many as the data is worth (adaptive
+    execution merges the small ones).  That only happens to small inputs: a
+    large one already has more partitions than cores and is not shuffled.
+    Meant for plain scans, whose partitions are known without running anything.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan
-    return scan.repartition(4 * cores, key)
+    return scan.repartition(key)
