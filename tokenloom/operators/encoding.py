@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..plans.lookup import BROADCAST_LIMIT, lookup_join
+from ..plans.lookup import BROADCAST_LIMIT, lookup_join, measured_bytes
+from ..plans.staging import stage
 from .tokens import explode_tokens, lex_documents, typed_key
 
 
@@ -15,12 +16,17 @@ def _unknown_id(open_types) -> Column:
     return F.try_element_at(F.create_map(*ids), F.col("t_type"))
 
 
+def _entries(vocab: DataFrame, open_types) -> DataFrame:
+    return vocab.filter(F.col("id") > len(open_types)).select("t_type", "token", "id")
+
+
 def encode_tokens(
     tokens: DataFrame,
     vocab: DataFrame,
     on_missing: str = "error",
     open_types=L.OPEN_CLASS_TYPES,
     limit: int = BROADCAST_LIMIT,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Add ``id``: the vocabulary id, else the unknown id of the token's type.
 
@@ -29,8 +35,9 @@ def encode_tokens(
     """
     if on_missing not in ("error", "null"):
         raise ValueError("on_missing must be 'error' or 'null'")
-    entries = vocab.filter(F.col("id") > len(open_types)).select("t_type", "token", "id")
-    joined = lookup_join(tokens, entries, ["t_type", "token"], "left", limit)
+    joined = lookup_join(
+        tokens, _entries(vocab, open_types), ["t_type", "token"], "left", limit, fits
+    )
     found = F.coalesce(F.col("id"), _unknown_id(open_types))
     if on_missing == "error":
         # A null token stands for an empty document.
@@ -67,6 +74,7 @@ def encode_lexed(
     add_start: bool = True,
     on_missing: str = "error",
     limit: int = BROADCAST_LIMIT,
+    fits: bool | None = None,
 ) -> DataFrame:
     """``(id, ids, n_tokens)`` per document, those without tokens included.
 
@@ -75,7 +83,7 @@ def encode_lexed(
     grouping is combined there.
     """
     encoded = encode_tokens(
-        explode_tokens(lexed, id_col, outer=True), vocab, on_missing, limit=limit
+        explode_tokens(lexed, id_col, outer=True), vocab, on_missing, limit=limit, fits=fits
     )
     return collect_ids(encoded, id_col, add_start).withColumn("n_tokens", F.size("ids"))
 
@@ -91,7 +99,11 @@ def encode_documents(
 ) -> DataFrame:
     """:func:`encode_lexed` from texts."""
     lexed = lex_documents(documents, id_col, text_col)
-    return encode_lexed(lexed, vocab, id_col, add_start, on_missing, limit)
+    fits = measured_bytes(_entries(vocab, L.OPEN_CLASS_TYPES)) <= limit
+    if not fits:
+        # A shuffled lookup reads the tokens several times; lex them once.
+        lexed = stage(lexed, "lexed")
+    return encode_lexed(lexed, vocab, id_col, add_start, on_missing, limit, fits)
 
 
 def document_lengths(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -44,8 +44,8 @@ def lookup_join(
     """Join ``facts`` to ``table`` (unique on ``on``).
 
     ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
-    ``table`` is read twice, so stage it first when it is costly to compute.
-    A caller that joins to the same table many times measures it once and
+    ``table`` is read twice, and ``facts`` several times when the table is
+    large, so stage what is costly to compute.  A caller that joins to the same table many times measures it once and
     passes ``fits``.
     """
     on = list(on)
@@ -54,7 +54,7 @@ def lookup_join(
     if fits:
         return facts.join(F.broadcast(table), on, how)
     counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = facts.agg(F.count(F.lit(1)).alias("_total"))
+    total = counts.agg(F.sum("_n").alias("_total"))
     # The total is one row.
     hot = (
         counts.join(F.broadcast(total), F.col("_n") * _HOT_SHARE >= F.col("_total"))

@@ -32,8 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path that nothing else uses, in this application's part of the shared
+    folder, which can be removed as a whole once the application has ended."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
