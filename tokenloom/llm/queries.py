@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, mixing, pieces, quality, urls, warc
 from ..plans.staging import new_path
+from . import exact, licenses, lines, mixing, ngrams, pieces, quality, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = lines.without_repeated_lines(docs, out="kept", count_as="n_removed")
+    return cleaned.select(
+        "doc_id",
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
+        "n_removed",
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"),
+    )
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.decode(pieces.encode(docs), out="decoded")
@@ -67,7 +78,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_url_filter": op4_url_filter,
     "op5_source_mix": op5_source_mix,
@@ -75,11 +91,43 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 _W = r"[\x20\x09-\x0D]+"
 
 ORACLES = {
+    "op1_line_dedup": rf"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+        unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents
+), tokens AS (
+    SELECT *, list_distinct(list_filter(string_split_regex(lower(line), '{_W}'), lambda x: x <> '')) AS t FROM lines
+), firsts AS (
+    SELECT list_sort(t) AS s, min(doc_id * 1000000 + line_no) AS sid FROM tokens WHERE len(t) > 0 GROUP BY 1
+), exploded AS (
+    SELECT sid, len(s) AS n, unnest(s) AS w FROM firsts
+), rarity AS (
+    SELECT w, count(*) AS c FROM exploded GROUP BY w
+), ranked AS (
+    SELECT sid, n, w, row_number() OVER (PARTITION BY sid ORDER BY c, w) AS pos FROM exploded JOIN rarity USING (w)
+), prefixes AS (
+    SELECT sid, n, w FROM ranked WHERE pos <= n - ceil(n * 80 / 100) + 1
+), pairs AS (
+    SELECT DISTINCT b.sid AS later, a.sid AS earlier FROM prefixes a JOIN prefixes b
+    ON a.w = b.w AND a.sid < b.sid AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+), matched AS (
+    SELECT DISTINCT later AS sid FROM pairs JOIN firsts a ON a.sid = earlier JOIN firsts b ON b.sid = later
+    WHERE len(list_intersect(a.s, b.s)) * 180 >= (len(a.s) + len(b.s)) * 80
+), judged AS (
+    SELECT doc_id, line_no, line, len(t) > 0
+        AND (doc_id * 1000000 + line_no <> f.sid OR f.sid IN (SELECT sid FROM matched)) AS gone
+    FROM tokens LEFT JOIN firsts f ON list_sort(t) = f.s
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+""",
     "op5_source_mix": rf"""
 WITH sized AS (
     SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS host,
@@ -170,5 +218,30 @@ FROM judged
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
     doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""",
+    "op10_ngram_join": rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}'), lambda x: x <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+        range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+    FROM words
+), shingles AS (
+    SELECT doc_id, md5_number(x) AS x FROM (SELECT doc_id, unnest(s) AS x FROM sets)
+), links AS (
+    SELECT a.doc_id AS u, b.doc_id AS v
+    FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+    JOIN sets sa ON sa.doc_id = a.doc_id JOIN sets sb ON sb.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, len(sa.s), len(sb.s)
+    HAVING 100 * count(*) >= 80 * (len(sa.s) + len(sb.s) - count(*))
+), reached AS (
+    SELECT doc_id, doc_id AS r FROM sets
+    UNION
+    SELECT doc_id, v FROM reached JOIN links ON r = u
+)
+SELECT doc_id, CAST(len(any_value(s)) AS BIGINT) AS n_shingles, min(r) AS component_id
+FROM sets JOIN reached USING (doc_id) GROUP BY doc_id
 """,
 }
