@@ -223,6 +223,23 @@ FROM judged
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
     doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""",
+    "op9_warc": """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS payload FROM pages
+), hashed AS (
+    SELECT page_id, payload, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS hex,
+        min(page_id) OVER (PARTITION BY payload) AS first_id
+    FROM payloads
+), parts AS (
+    SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT)) AS v FROM hashed
+)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+        lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> b) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM parts
 """,
     "op10_ngram_join": rf"""
 WITH RECURSIVE words AS (
@@ -231,22 +248,26 @@ WITH RECURSIVE words AS (
     FROM documents
 ), sets AS (
     SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
-        range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+        range(1, greatest(len(w) - 4, 1) + 1), lambda i: hash(array_to_string(w[i:i + 4], ' ')))) END AS s
     FROM words
+), sizes AS (
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets
 ), shingles AS (
-    SELECT doc_id, md5_number(x) AS x FROM (SELECT doc_id, unnest(s) AS x FROM sets)
+    SELECT doc_id, unnest(s) AS x FROM sets
+), shared AS (
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
+    FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), linked AS (
+    SELECT u, v FROM shared JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v
+    WHERE 100 * common >= 80 * (a.n + b.n - common)
 ), links AS (
-    SELECT a.doc_id AS u, b.doc_id AS v
-    FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
-    JOIN sets sa ON sa.doc_id = a.doc_id JOIN sets sb ON sb.doc_id = b.doc_id
-    GROUP BY a.doc_id, b.doc_id, len(sa.s), len(sb.s)
-    HAVING 100 * count(*) >= 80 * (len(sa.s) + len(sb.s) - count(*))
+    SELECT u, v FROM linked UNION ALL SELECT v, u FROM linked
 ), reached AS (
-    SELECT doc_id, doc_id AS r FROM sets
+    SELECT doc_id, doc_id AS r FROM sizes
     UNION
     SELECT doc_id, v FROM reached JOIN links ON r = u
 )
-SELECT doc_id, CAST(len(any_value(s)) AS BIGINT) AS n_shingles, min(r) AS component_id
-FROM sets JOIN reached USING (doc_id) GROUP BY doc_id
+SELECT doc_id, any_value(n) AS n_shingles, min(r) AS component_id
+FROM sizes JOIN reached USING (doc_id) GROUP BY doc_id
 """,
 }
