@@ -165,13 +165,16 @@ class _Block:
     def ranges(self) -> list[tuple[int, int, int, int]]:
         """Repeated ranges ``(doc, text_key, from, to)`` of the occurrences in the block."""
         out: list[tuple[int, int, int, int]] = []
+        group = text = offset = np.zeros(0, dtype=np.int64)
         if len(self.contexts) > 1:
             group, text, offset = shared_prefixes(self.contexts, self.length)
+        if len(group):
             docs = np.array(self.docs, dtype=np.int64)[text]
-            least = np.full(int(group.max()) + 1 if len(group) else 0, _LAST_DOC, dtype=np.int64)
+            least = np.full(int(group.max()) + 1, _LAST_DOC, dtype=np.int64)
             np.minimum.at(least, group, docs)
-            repeated = least[group] < docs if len(group) else np.zeros(0, dtype=bool)
+            repeated = least[group] < docs
             text, offset = text[repeated], offset[repeated]
+        if len(group) and len(text):
             order = np.lexsort((offset, text))
             text, offset = text[order], offset[order]
             fresh = np.ones(len(text), dtype=bool)
