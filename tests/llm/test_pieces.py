@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from corpus import documents
@@ -53,7 +54,10 @@ def test_best_path_and_round_trip(extra):
         assert p.decode(ids) == text
         if text:
             marked = MARK + text.replace(" ", MARK)
-            assert sum_of(p, ids) == pytest.approx(best_sum(p, marked))
+            assert sum_of(p, ids.tolist()) == pytest.approx(best_sum(p, marked))
+            streamed = [i for part in p.search(marked) for i in part]
+            assert sum_of(p, streamed) == pytest.approx(best_sum(p, marked))
+            assert sum_of(p, p.whole(marked)) == pytest.approx(best_sum(p, marked))
 
 
 def test_marks_in_the_text_come_back():
@@ -72,7 +76,7 @@ def test_bad_ids_raise():
     p = small()
     for ids in ([0], [10**6], [-1]):
         with pytest.raises(ValueError):
-            p.decode(ids)
+            p.decode(np.array(ids))
 
 
 @pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary")

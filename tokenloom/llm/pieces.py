@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,26 @@ from pyspark.sql.functions import pandas_udf
 
 MARK = "▁"
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 _LONGEST_REMEMBERED = 48
 
 
+class _Remembered(dict):
+    """Packed ids by chunk; emptied when it is full."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > _LONGEST_REMEMBERED:
+            return b"".join(np.array(part, dtype=np.int32).tobytes() for part in self.pieces.search(chunk))
+        if len(self) >= REMEMBERED:
+            self.clear()
+        packed = array("i", self.pieces.whole(chunk)).tobytes()
+        self[chunk] = packed
+        return packed
+
+
 class Pieces:
     """A vocabulary: ``(piece, score, kind)`` by id; kind is ``text``, ``byte`` or ``none``."""
 
@@ -46,6 +63,14 @@ class Pieces:
             else bytes([int(p[3:5], 16)]) if kind == "byte" else None
             for p, _, kind in entries
         ]
+        # Nodes are [following characters, score or None, id].
+        self.trie: dict[str, list] = {}
+        for piece, (i, score) in self.of.items():
+            following, node = self.trie, None
+            for character in piece:
+                node = following.setdefault(character, [{}, None, -1])
+                following = node[0]
+            node[1:] = [score, i]
         joined = {c for p in self.of if len(p) > 1 for c in p}
         apart = "" if "\n" in joined else "\n"
         marked = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.of)
@@ -54,7 +79,7 @@ class Pieces:
             self.chunks = re.compile("(?s).+")
         else:
             self.chunks = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" + ("|\n" if apart else ""))
-        self.remembered: dict[str, tuple[int, ...]] = {}
+        self.remembered = _Remembered(self)
 
     @classmethod
     def load(cls, model: str) -> Pieces:
@@ -70,6 +95,34 @@ class Pieces:
     def _spelled(self, character: str) -> list[int]:
         return [self.bytes[b] for b in character.encode("utf-8", "surrogatepass")]
 
+    def whole(self, text: str) -> list[int]:
+        """Ids of the best path of a short text: the search with all of it in the window."""
+        n, trie = len(text), self.trie
+        best = [float("-inf")] * (n + 1)
+        best[0] = 0.0
+        before, ids = [0] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            here, j = best[i], i + 1
+            node = trie.get(text[i])
+            if node is None or node[1] is None:
+                if here + self.unknown > best[j]:
+                    best[j], before[j], ids[j] = here + self.unknown, i, -1
+            while node is not None:
+                if node[1] is not None and here + node[1] > best[j]:
+                    best[j], before[j], ids[j] = here + node[1], i, node[2]
+                if j == n:
+                    break
+                node = node[0].get(text[j])
+                j += 1
+        out: list[int] = []
+        while n:
+            piece, n = ids[n], before[n]
+            if piece < 0:
+                out += self._spelled(text[n])[::-1]
+            else:
+                out.append(piece)
+        return out[::-1]
+
     def search(self, text: str, escaped: frozenset[int] = frozenset()):
         """Ids of the best path, as lists, each as soon as it is settled.
 
@@ -81,12 +134,12 @@ class Pieces:
         settled = 0
 
         def path(end: int, start: int) -> list[int]:
-            back = []
+            back: list[int] = []
             while end > start:
                 _, before, piece = best[end]
-                back.append(self._spelled(text[before])[::-1] if piece < 0 else [piece])
+                back += self._spelled(text[before])[::-1] if piece < 0 else [piece]
                 end = before
-            return [i for part in reversed(back) for i in (part if len(part) == 1 else part[::-1])]
+            return back[::-1]
 
         for i in range(n):
             here = best[i][0]
@@ -121,38 +174,23 @@ class Pieces:
         if n > settled:
             yield path(n, settled)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return []
-        ids: list[int] = []
-        own_mark = MARK in text
-        if own_mark:
+            return np.zeros(0, dtype=np.int32)
+        marked = MARK + text.replace(" ", MARK)
+        if MARK in text:
             # Rare: the text holds the mark itself; search it as a whole.
             escaped = frozenset(i + 1 for i, c in enumerate(text) if c == MARK)
-            for part in self.search(MARK + text.replace(" ", MARK), escaped):
-                ids += part
-            return ids
-        remembered = self.remembered
-        for chunk in self.chunks.findall(MARK + text.replace(" ", MARK)):
-            known = remembered.get(chunk)
-            if known is None:
-                if len(chunk) <= _LONGEST_REMEMBERED:
-                    known = tuple(i for part in self.search(chunk) for i in part)
-                    if len(remembered) >= REMEMBERED:
-                        remembered.clear()
-                    remembered[chunk] = known
-                else:
-                    for part in self.search(chunk):
-                        ids += part
-                    continue
-            ids += known
-        return ids
-
-    def decode(self, ids) -> str:
+            return np.array([i for part in self.search(marked, escaped) for i in part], dtype=np.int32)
+        found = map(self.remembered.__getitem__, self.chunks.findall(marked))
+        return np.frombuffer(b"".join(found), dtype=np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = self.text
         try:
-            if len(ids) and min(ids) < 0:
+            if len(ids) and ids.min() < 0:
                 raise IndexError
-            data = b"".join([self.text[i] for i in ids])
+            data = b"".join([text[i] for i in ids.tolist()])
         except (IndexError, TypeError):
             raise ValueError("an id stands for no text in this vocabulary") from None
         return data.decode("utf-8", "surrogatepass")[1:]
@@ -175,8 +213,7 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", model: str
     def ids(texts: pd.Series) -> pd.Series:
         pieces = vocabulary(model)
         return pd.Series(
-            [None if t is None else np.array(pieces.encode(t), dtype=np.int32) for t in texts],
-            dtype=object,
+            [None if t is None else pieces.encode(t) for t in texts], dtype=object
         )
 
     return docs.withColumn(out, ids(F.col(text_col)))
@@ -189,7 +226,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", out: str = "text", model: str
     def text(ids: pd.Series) -> pd.Series:
         pieces = vocabulary(model)
         return pd.Series(
-            [None if i is None else pieces.decode(i.tolist()) for i in ids], dtype=object
+            [None if i is None else pieces.decode(i) for i in ids], dtype=object
         )
 
     return rows.withColumn(out, text(F.col(ids_col)))
