@@ -99,7 +99,7 @@ def test_missing_closed_class_token(spark, vocab):
     with pytest.raises(PySparkException, match="not in the vocabulary"):
         encoding.encode_documents(docs, vocab).collect()
     lenient = encoding.encode_documents(docs, vocab, on_missing="null").head()
-    assert lenient.ids == [0, 15, 16, 16, 15, 18]
+    assert lenient.ids == [0, 15, 16, None, 16, 15, 18]
     with pytest.raises(ValueError):
         encoding.encode_documents(docs, vocab, on_missing="skip")
 

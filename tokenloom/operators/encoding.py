@@ -11,6 +11,10 @@ from ..plans.staging import stage
 from .tokens import explode_tokens, lex_documents, typed_key
 
 
+#: Stands for a missing id while ids travel; no vocabulary is that large.
+_NO_ID = (1 << 31) - 1
+
+
 def _unknown_id(open_types) -> Column:
     ids = [v for i, t in enumerate(sorted(open_types), start=1) for v in (F.lit(t), F.lit(i))]
     return F.try_element_at(F.create_map(*ids), F.col("t_type"))
@@ -52,15 +56,17 @@ def encode_tokens(
 
 
 def collect_ids(encoded_tokens: DataFrame, id_col: str = "doc_id", add_start: bool = True) -> DataFrame:
-    """One id array per document, in token order.
+    """One id array per document, in token order; a token without an id stays
+    as a null element.
 
     Position and id travel as one number: the array to sort is then made of
     plain longs, half the size of (position, id) pairs.
     """
-    packed = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("id")
+    # A document without tokens has a null position and so no element.
+    packed = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("id", F.lit(_NO_ID))
+    low = lambda v: v.bitwiseAND(F.lit(_NO_ID)).cast("int")
     ids = F.transform(
-        F.sort_array(F.collect_list(packed)),
-        lambda v: v.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"),
+        F.sort_array(F.collect_list(packed)), lambda v: F.nullif(low(v), F.lit(_NO_ID))
     )
     if add_start:
         ids = F.concat(F.array(F.lit(L.START_ID)), ids)
@@ -132,27 +138,44 @@ def decoded_text(t_type: Column, token: Column) -> Column:
     )
 
 
-def decode_tokens(ids: DataFrame, vocab: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Add ``t_type``, ``token`` and the decoded ``piece`` to rows with an ``id``."""
+def decode_tokens(
+    ids: DataFrame, vocab: DataFrame, limit: int = BROADCAST_LIMIT, on_missing: str = "error"
+) -> DataFrame:
+    """Add ``t_type``, ``token`` and the decoded ``piece`` to rows with an ``id``.
+
+    An id the vocabulary lacks raises, or keeps its row with a null piece with
+    ``on_missing="null"``.  A null id always has a null piece.
+    """
+    if on_missing not in ("error", "null"):
+        raise ValueError("on_missing must be 'error' or 'null'")
     entries = vocab.select("id", "t_type", "token")
-    return lookup_join(ids, entries, ["id"], "inner", limit).withColumn(
-        "piece", decoded_text(F.col("t_type"), F.col("token"))
-    )
+    piece = decoded_text(F.col("t_type"), F.col("token"))
+    if on_missing == "error":
+        message = F.concat(F.lit("not in the vocabulary: id "), F.col("id").cast("string"))
+        lacking = F.col("token").isNull() & F.col("id").isNotNull()
+        piece = F.when(lacking, F.raise_error(message).cast("string")).otherwise(piece)
+    return lookup_join(ids, entries, ["id"], "left", limit).withColumn("piece", piece)
 
 
 def decode_documents(
-    encoded: DataFrame, vocab: DataFrame, id_col: str = "doc_id", limit: int = BROADCAST_LIMIT
+    encoded: DataFrame,
+    vocab: DataFrame,
+    id_col: str = "doc_id",
+    limit: int = BROADCAST_LIMIT,
+    on_missing: str = "error",
 ) -> DataFrame:
     """``(id, text)`` from id arrays; the text has strings in single quotes and
-    no comments, as encoding dropped both.
+    no comments, as encoding dropped both.  What cannot be decoded raises, or with
+    ``on_missing="null"`` makes the text null; no ids give an empty text.
 
     Documents are spread by id while they are still ids: text pieces are ten
     times as large, and their grouping then needs no shuffle.
     """
     rows = encoded.repartition(id_col).select(
-        id_col, F.posexplode("ids").alias("pos", "id")
+        id_col, F.posexplode_outer("ids").alias("pos", "id")
     )
-    pieces = decode_tokens(rows, vocab, limit)
+    pieces = decode_tokens(rows, vocab, limit, on_missing)
     ordered = F.sort_array(F.collect_list(F.struct("pos", "piece")))
     text = F.array_join(F.transform(ordered, lambda p: p["piece"]), "")
-    return pieces.groupBy(id_col).agg(text.alias("text"))
+    lacking = F.count_if(F.col("pos").isNotNull() & F.col("piece").isNull())
+    return pieces.groupBy(id_col).agg(F.when(lacking == 0, text).alias("text"))

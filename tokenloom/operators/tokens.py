@@ -75,6 +75,11 @@ def typed_key(t_type="t_type", token="token"):
 
 
 def split_key(keys: DataFrame) -> DataFrame:
-    """Back from ``key`` to type and token, cut at the first underscore."""
-    parts = F.split("key", "_", 2)
-    return keys.withColumn("t_type", F.btrim(parts[0], F.lit("|"))).withColumn("token", parts[1])
+    """Back from ``key`` to type and token, cut at the first underscore.
+
+    The start token is its own key and has no type, as in the vocabulary.
+    """
+    parts, start = F.split("key", "_", 2), F.col("key") == L.START_TOKEN
+    t_type = F.when(~start, F.btrim(F.get(parts, F.lit(0)), F.lit("|")))
+    token = F.when(start, F.col("key")).otherwise(F.get(parts, F.lit(1)))
+    return keys.withColumn("t_type", t_type).withColumn("token", token)

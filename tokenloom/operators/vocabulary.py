@@ -80,15 +80,21 @@ def build_vocab(
 
 def run_metadata(vocab: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """One row of run settings: defaults, overridden by ``stored``, with the
-    vocabulary size filled in."""
+    vocabulary size filled in.  ``stored`` has one row or none; more raise."""
     defaults = dict(L.DEFAULT_HPARAMS)
     row = vocab.agg(F.count(F.lit(1)).cast("int").alias("n_vocab"))
     if stored is None:
         return row.select("n_vocab", *[F.lit(v).alias(k) for k, v in defaults.items() if k != "n_vocab"])
     known = [k for k in defaults if k in stored.columns and k != "n_vocab"]
     extra = [k for k in stored.columns if k not in defaults]
+    several = F.when(
+        F.count(F.lit(1)) > 1, F.raise_error(F.lit("several rows of run settings")).cast("int")
+    )
+    one = stored.agg(
+        several.alias("_several"), *[F.any_value(c).alias(c) for c in [*known, *extra]]
+    )
     # Both sides are single rows.
-    joined = row.join(stored.select(*known, *extra).limit(1), F.lit(True), "left")
+    joined = row.join(one.filter(F.col("_several").isNull()), F.lit(True), "left")
     return joined.select(
         "n_vocab",
         *[
@@ -103,7 +109,9 @@ def run_metadata(vocab: DataFrame, stored: DataFrame | None = None) -> DataFrame
 def quoted(token: Column) -> Column:
     """Token in quotes with escapes, as in a report (ASCII escapes only)."""
     escaped = F.replace(token, F.lit("\\"), F.lit("\\\\"))
-    for char, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    named = {9: "\\t", 10: "\\n", 13: "\\r"}
+    for code in [*range(32), 127]:
+        char, name = chr(code), named.get(code, f"\\x{code:02x}")
         escaped = F.replace(escaped, F.lit(char), F.lit(name))
     double = F.contains(token, F.lit("'")) & ~F.contains(token, F.lit('"'))
     single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))

@@ -56,8 +56,8 @@ def running(
 ) -> DataFrame:
     """Running sums within each group, the current row included.
 
-    ``sums`` maps a new column to the expression it accumulates; ``F.lit(1)``
-    gives a 1-based row number.  Groups may span any number of sorted blocks:
+    ``sums`` maps a new column to the expression it accumulates, nulls adding
+    nothing; ``F.lit(1)`` gives a 1-based row number.  Groups may span any number of sorted blocks:
     the window inside runs per (group, block) and the total of the group's
     earlier blocks is added from a table with one row per (group, block).
     """
@@ -75,7 +75,8 @@ def running(
         W.partitionBy(*group, "block").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     )
     local = blocks.select(
-        "*", *[F.sum(f"_in_{n}").over(inside).alias(f"_run_{n}") for n in sums]
+        "*",
+        *[F.coalesce(F.sum(f"_in_{n}").over(inside), F.lit(0)).alias(f"_run_{n}") for n in sums],
     )
     return local.join(totals, [*group, "block"]).select(
         *df.columns, *[(F.col(f"_base_{n}") + F.col(f"_run_{n}")).alias(n) for n in sums]

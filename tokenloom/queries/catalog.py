@@ -114,8 +114,8 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prompts(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
-    """Encoded user turns; tokens the vocabulary cannot express are left out."""
-    turns = _table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    """Encoded turns; a token the vocabulary cannot express has a null id."""
+    turns = _table(spark, sf_dir, "conversations")
     turns = turns.withColumn("prompt_id", F.concat_ws("-", "conv_id", "turn"))
     return encoding.encode_documents(turns, vocab, "prompt_id", on_missing="null")
 
@@ -553,6 +553,14 @@ def _counts(encoded: DataFrame, k: int) -> DataFrame:
     return completion.next_token_counts(pairs, k)
 
 
+def _choices(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """What follows contexts of up to ``k`` ids, and the vocabulary."""
+    encoded, vocab = _corpus(spark, sf_dir)
+    pairs = sequences.shift_pairs(sequences.chunk_sequences(encoded))
+    counts = completion.backoff_counts(pairs, k)
+    return stage(completion.next_choices(counts, vocab), "choices"), vocab
+
+
 @query
 def next_token_counts(spark, sf_dir):
     encoded, _ = _corpus(spark, sf_dir)
@@ -583,20 +591,18 @@ def choose_candidate(spark, sf_dir):
 
 @query
 def complete_token(spark, sf_dir):
-    encoded, vocab = _corpus(spark, sf_dir)
-    choices = completion.next_choices(_counts(encoded, 2), vocab)
+    choices, vocab = _choices(spark, sf_dir, 2)
     prompts = _prompts(spark, sf_dir, vocab).select(
         "prompt_id", completion.last_context(F.col("ids"), 2).alias("context")
     )
-    chosen = completion.lookup_join(prompts, stage(choices, "choices"), ["context"], "left")
+    chosen = completion.chosen(prompts, choices, 2)
     return chosen.withColumn("context", _joined("context"))
 
 
 @query
 def complete_line(spark, sf_dir):
-    encoded, vocab = _corpus(spark, sf_dir)
-    choices = completion.next_choices(_counts(encoded, 2), vocab)
-    return completion.complete_lines(_prompts(spark, sf_dir, vocab), choices, 2)
+    choices, vocab = _choices(spark, sf_dir, 3)
+    return completion.complete_lines(_prompts(spark, sf_dir, vocab), choices, 3)
 
 
 # --- streaming ---------------------------------------------------------------

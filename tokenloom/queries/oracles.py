@@ -182,7 +182,7 @@ def _coded(prefix: str = "") -> str:
   LEFT JOIN (SELECT * FROM vocab WHERE id > 14) v ON v.t_type = k.t_type AND v.token = k.token
   LEFT JOIN (SELECT * FROM vocab WHERE id BETWEEN 1 AND 14) r ON r.t_type = k.t_type),
 {prefix}listed AS (
-  SELECT s.doc_id, [0] || coalesce(list(c.id ORDER BY c.pos) FILTER (c.id IS NOT NULL), []) AS ids
+  SELECT s.doc_id, [0] || coalesce(list(c.id ORDER BY c.pos) FILTER (c.pos IS NOT NULL), []) AS ids
   FROM {prefix}src s LEFT JOIN {prefix}coded c ON c.doc_id = s.doc_id GROUP BY s.doc_id)"""
 
 
@@ -260,11 +260,15 @@ ranked AS (
 def _pairs() -> str:
     return f"""{_chunks()},
 pairs AS (
-  SELECT doc_id, chunk_no, u.nr, u.a AS a, chunk[u.nr - 1] AS before, chunk[u.nr + 1] AS target
+  SELECT doc_id, chunk_no, u.nr, u.a AS a, chunk[u.nr - 1] AS before, chunk[u.nr - 2] AS before2,
+         chunk[u.nr + 1] AS target
   FROM chunks, unnest(chunk) WITH ORDINALITY AS u(a, nr) WHERE u.nr < len(chunk)),
+counts0 AS (SELECT '' AS context, target, count(*) AS n FROM pairs GROUP BY ALL),
 counts1 AS (SELECT a::VARCHAR AS context, target, count(*) AS n FROM pairs GROUP BY ALL),
 counts2 AS (SELECT before || ',' || a AS context, target, count(*) AS n
-            FROM pairs WHERE nr > 1 GROUP BY ALL)"""
+            FROM pairs WHERE nr > 1 GROUP BY ALL),
+counts3 AS (SELECT before2 || ',' || before || ',' || a AS context, target, count(*) AS n
+            FROM pairs WHERE nr > 2 GROUP BY ALL)"""
 
 
 def _chosen(ranked: str, key: str) -> str:
@@ -284,12 +288,31 @@ chosen AS (
   FROM firsts)"""
 
 
-_PROMPTS = _tokens(_TURNS + " WHERE role = 'user'", "p_") + "," + _coded("p_")
-_RANKED_2 = """
-ranked2 AS (
+_PROMPTS = _tokens(_TURNS, "p_") + "," + _coded("p_")
+
+
+def _choices(k: int) -> str:
+    """CTE ``chosen`` over contexts of up to ``k`` ids, and the prompts."""
+    counts = " UNION ALL ".join(f"SELECT * FROM counts{j}" for j in range(k + 1))
+    return f"""{_pairs()},
+ranked_all AS (
   SELECT context, target AS id, row_number() OVER (PARTITION BY context ORDER BY n DESC, target) AS rank
-  FROM counts2)"""
-_CHOICES = f"{_pairs()},{_RANKED_2},{_chosen('ranked2', 'context')},{_PROMPTS}"
+  FROM ({counts})),{_chosen('ranked_all', 'context')},{_PROMPTS}"""
+
+
+def _endings(ids: str, k: int) -> str:
+    """Joins to the choices of the last ``k`` ids, the last ``k - 1``, and so on."""
+    return "\n".join(
+        f"LEFT JOIN chosen c{j} ON c{j}.context = array_to_string({ids}[-{j}:], ',') AND len({ids}) >= {j}"
+        if j else "LEFT JOIN chosen c0 ON c0.context = ''"
+        for j in range(k, -1, -1)
+    )
+
+
+def _longest(column: str, k: int) -> str:
+    whens = " ".join(f"WHEN c{j}.id IS NOT NULL THEN c{j}.{column}" for j in range(k, -1, -1))
+    return f"CASE {whens} END AS {column}"
+
 
 _QUOTED = r"""
   CASE WHEN contains(token, '''') AND NOT contains(token, '"') THEN '"' || esc || '"'
@@ -526,17 +549,16 @@ FROM counts1 QUALIFY rank <= 10""",
         "SELECT vec_id, choice, id, piece FROM chosen",
     ),
     "complete_token": _with(
-        f"""{_CHOICES},
-asked AS (
-  SELECT doc_id AS prompt_id, array_to_string(ids[-2:], ',') AS context FROM p_listed)""",
-        "SELECT context, prompt_id, choice, id, piece FROM asked LEFT JOIN chosen USING (context)",
+        _choices(2),
+        f"""SELECT array_to_string(ids[-2:], ',') AS context, doc_id AS prompt_id,
+  {_longest('choice', 2)}, {_longest('id', 2)}, {_longest('piece', 2)}
+FROM p_listed {_endings('ids', 2)}""",
     ),
     "complete_line": _with(
-        f"""RECURSIVE {_CHOICES.lstrip()},
-asked AS (
-  SELECT doc_id AS prompt_id, array_to_string(ids[-2:], ',') AS start FROM p_listed),
+        f"""RECURSIVE {_choices(3).lstrip()},
+asked AS (SELECT doc_id AS prompt_id, ids[-3:] AS start FROM p_listed),
 walk AS (
-  SELECT DISTINCT start, start AS context, 0 AS steps, '' AS text, []::VARCHAR[] AS seen,
+  SELECT DISTINCT start, start AS context, 0 AS steps, '' AS text, []::INT[][] AS seen,
          NULL::VARCHAR AS status FROM asked
   UNION ALL
   SELECT start, follow, steps + (id IS NOT NULL)::INT, text || coalesce(piece, ''),
@@ -544,10 +566,9 @@ walk AS (
          CASE WHEN id IS NULL THEN 'no_candidate'
               WHEN piece = chr(10) AND steps > 0 THEN 'endofline'
               WHEN list_contains(seen, follow) THEN 'cycle' END
-  FROM (SELECT w.*, c.id, c.piece,
-               CASE WHEN contains(w.context, ',') THEN split_part(w.context, ',', 2)
-                    ELSE w.context END || ',' || c.id AS follow
-        FROM walk w LEFT JOIN chosen c ON c.context = w.context WHERE w.status IS NULL))""",
+  FROM (SELECT *, list_append(context, id)[-3:] AS follow
+        FROM (SELECT w.*, {_longest('id', 3)}, {_longest('piece', 3)}
+              FROM walk w {_endings('w.context', 3)} WHERE w.status IS NULL)))""",
         """SELECT prompt_id, text AS completion, steps AS n_generated, status
 FROM asked JOIN walk USING (start) WHERE status IS NOT NULL""",
     ),
