@@ -1,5 +1,7 @@
 """Files in, dataset and completed line out."""
 
+import zipfile
+
 import pytest
 
 from tokenloom import commands
@@ -45,8 +47,15 @@ def test_end_to_end(spark, tree):
     assert "|Token.Name|_w: 4" in report
     batches = commands.batches(spark, str(tree / "dataset"), n_ctx=8).collect()
     assert {r.batch_id for r in batches} == {0}
-    counts = commands.fit(spark, str(tree / "dataset"))
-    vocab = store.read_vocab(spark, str(tree / "models/vocab"), 1)
+    held_out = spark.createDataFrame([(0, SOURCE), (9, "pass\n")], "doc_id bigint, text string")
+    counts = commands.fit(spark, str(tree / "dataset"), held_out=held_out)
+    judged = {r.batch: r for r in spark.read.parquet(str(tree / "dataset.metrics")).collect()}
+    assert judged[0].accuracy > 0.5 and judged[0].loss < 4 and judged[1].n_unknown == 1
+    settings = store.read_run(spark, str(tree / "dataset"))
+    vocab = commands.dataset_vocab(spark, str(tree / "dataset"))
+    assert settings.n_vocab == vocab.count() and settings.threshold == 1
+    stored = commands.complete(spark, src="def area(w, h):", dataset=str(tree / "dataset")).head()
+    assert stored.completion == "    return w * h\n"
     (tree / "prompt.py").write_text("def area(w, h):")
     for prompt in ({"src": "def area(w, h):"}, {"file": str(tree / "prompt.py")}):
         line = commands.complete(spark, counts, vocab, **prompt).head()
@@ -54,6 +63,62 @@ def test_end_to_end(spark, tree):
     assert run(spark, tree, redo=True) is True
 
 
+def test_runs_again_after_changes(spark, tmp_path):
+    folder = tmp_path / "repositories/u/r"
+    folder.mkdir(parents=True)
+    (folder / "a.py").write_text(SOURCE)
+    assert run(spark, tmp_path)
+    assert commands.encode(
+        spark, str(tmp_path / "repositories"), output_file=str(tmp_path / "dataset"),
+        model_dir=str(tmp_path / "models"), frequency_threshold=2, redo=True,
+    )
+    # A grown corpus has a vocabulary of its own.
+    (folder / "b.py").write_text("class Shape:\n    pass\n" * 9)
+    assert run(spark, tmp_path, redo=True)
+    (tmp_path / "half").mkdir()
+    assert commands.encode(
+        spark, str(tmp_path / "repositories"), output_file=str(tmp_path / "half"),
+        model_dir=str(tmp_path / "models"), frequency_threshold=1,
+    )
+    assert store.read_encoded(spark, str(tmp_path / "half")).count() == 2
+
+
+def _pack(path, members):
+    with zipfile.ZipFile(path, "w") as archive:
+        for name, text in members:
+            archive.writestr(name, text)
+
+
+def test_ingest_takes_new_repositories_only(spark, tmp_path):
+    packed, base = tmp_path / "archives", str(tmp_path / "repositories")
+    packed.mkdir()
+    _pack(packed / "ann_shapes.zip", [
+        ("shapes-1/area.py", "old"), ("shapes-1/src/area.py", SOURCE), ("shapes-1/tests/x.py", "no"),
+        ("shapes-1/__init__.py", ""), ("shapes-1/notes.txt", ""),
+    ])
+    (packed / "bob_bad.zip").write_bytes(b"nonsense")
+    assert commands.ingest(spark, str(packed), base) == 1
+    filed = store.read_ingested(spark, base).collect()
+    assert [(r.path, r.text) for r in filed] == [(f"{base}/ann/shapes/area.py", SOURCE)]
+    # A run that died before its manifest counts for nothing.
+    spark.createDataFrame([("x", "y", "p", "t")], "user string, repo string, path string, text string"
+                          ).write.parquet(f"{base}/files/run=0dead")
+    _pack(packed / "ann_shapes.zip", [("shapes-2/other.py", "changed")])
+    _pack(packed / "cleo_new.zip", [("new-1/m.py", SOURCE)])
+    assert commands.ingest(spark, str(packed), base) == 1
+    assert sorted(r.user for r in store.read_ingested(spark, base).collect()) == ["ann", "cleo"]
+    tree = tmp_path / "tree/dan/raw/src"
+    tree.mkdir(parents=True)
+    (tree / "area.py").write_text(SOURCE)
+    assert commands.ingest(spark, str(tmp_path / "tree"), base, packed=False) == 1
+    assert commands.ingest(spark, str(tmp_path / "tree"), base, packed=False) == 0
+    assert commands.encode(
+        spark, base, output_file=str(tmp_path / "dataset"), model_dir=str(tmp_path / "models"),
+        frequency_threshold=1,
+    )
+    assert store.read_encoded(spark, str(tmp_path / "dataset")).count() == 3
+
+
 def test_arguments(spark, tree):
     with pytest.raises(FileNotFoundError):
         commands.encode(spark, str(tree / "nowhere"), output_file=str(tree / "none"))

@@ -10,6 +10,7 @@ from tokenloom.functions import paths as P
 from tokenloom.operators import corpus, encoding, vocabulary
 from tokenloom.operators import tokens as tok
 from tokenloom.plans.staging import stage
+from tokenloom.queries.packing import pack_archives
 from tokenloom.sources import archives, files, store
 from tokenloom.streaming import ingest
 
@@ -111,12 +112,45 @@ def test_archives(spark, tmp_path):
     assert sorted(r.repo for r in archives.rejected(members).collect()) == ["bad", "flat"]
 
 
+def test_damaged_archives_give_no_members(spark, tmp_path):
+    good = zipped([("proj-1/a.py", "x" * 400), ("proj-1/b.py", "y" * 400), ("__MACOSX/proj-1/a.py", "fork"),
+                   (".git/c.py", "hidden")])
+    stored = io.BytesIO()
+    with zipfile.ZipFile(stored, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("p/a.py", "first")
+        archive.writestr("p/b.py", "".join(map(str, range(500))))
+    deflated = bytearray(stored.getvalue())
+    at = deflated.find(b"p/b.py") + 40
+    deflated[at : at + 60] = b"\xff" * 60
+    checksum = good.replace(b"y" * 400, b"z" * 400, 1)
+    cases = {"u_good": good, "u_deflate": bytes(deflated), "u_checksum": checksum, "u_cut": good[:300]}
+    for name, data in cases.items():
+        (tmp_path / f"{name}.zip").write_bytes(data)
+    (tmp_path / "u_large.zip").write_bytes(b"0" * 5000)
+    scanned = archives.scan_archives(spark, str(tmp_path), max_bytes=4000)
+    members = archives.unpack_archives(scanned).cache()
+    got = [(r.repo, r.member_path) for r in archives.accepted(members).collect()]
+    assert sorted(got) == [("good", "proj-1/a.py"), ("good", "proj-1/b.py")]
+    assert sorted(r.repo for r in archives.rejected(members).collect()) == ["checksum", "cut", "deflate"]
+    large = archives.oversized_archives(spark, str(tmp_path), max_bytes=4000).collect()
+    assert [(r.repo, r.error) for r in large] == [("large", "too large: 5000 bytes")]
+
+
+def test_only_the_root_is_cut(spark, tmp_path, monkeypatch):
+    root = tmp_path / "repo" / "x" / "repo"
+    (root / "ann" / "proj" / "repo").mkdir(parents=True)
+    (root / "ann" / "proj" / "repo" / "a.py").write_text("x")
+    for directory in (str(root), str(root) + "/", f"file://{root}"):
+        row = files.scan_source_files(spark, directory).head()
+        assert (row.user, row.repo) == ("ann", "proj")
+
+
 def test_pack_closes_archives_by_size(spark):
     df = spark.createDataFrame(
         [("u", f"r{i % 2}", f"root/{i}.py", "x" * 100) for i in range(20)],
         "user string, repo string, path string, text string",
     ).coalesce(1)
-    packed = archives.pack_archives(df, max_bytes=500)
+    packed = pack_archives(df, max_bytes=500)
     assert packed.count() == 8
     members = archives.accepted(archives.unpack_archives(packed))
     assert sorted(r.member_path for r in members.collect()) == sorted(f"root/{i}.py" for i in range(20))
@@ -132,6 +166,12 @@ def test_encoded_store(spark, tmp_path):
     assert store.read_encoded(spark, path).count() == 1
     store.write_encoded(first.limit(0), path, redo=True)
     assert store.read_encoded(spark, path).count() == 0
+    half = tmp_path / "half"
+    half.mkdir()
+    with pytest.raises(FileNotFoundError):
+        store.read_encoded(spark, str(half))
+    store.write_encoded(first, str(half))
+    assert store.read_encoded(spark, str(half)).count() == 1
     other = str(tmp_path / "other")
     first.select("doc_id").write.parquet(other)
     with pytest.raises(ValueError, match="no column ids"):

@@ -156,3 +156,18 @@ def test_run_metadata(spark, vocab):
     stored = spark.createDataFrame([(5, 256, None)], "n_vocab int, n_ctx int, n_head int")
     merged = vocabulary.run_metadata(vocab, stored).head().asDict()
     assert merged == {"n_vocab": 19, "n_embd": 768, "n_ctx": 256, "n_head": 12, "n_layer": 12}
+
+
+def test_start_key_and_unknown_ids(spark):
+    keys = spark.createDataFrame([("<|start|>",), ("|Token.Name|_a_b",)], "key string")
+    got = [(r.t_type, r.token) for r in tok.split_key(keys).collect()]
+    assert got == [(None, "<|start|>"), ("Token.Name", "a_b")]
+    vocab = spark.createDataFrame(
+        [(0, None, "<|start|>"), (1, "Token.Name", "a")], "id int, t_type string, token string"
+    )
+    coded = spark.createDataFrame([(7, [0, 1, 99, 1]), (8, []), (9, [1])], "doc_id int, ids array<int>")
+    for limit in (0, 10**9):
+        with pytest.raises(PySparkException, match="id 99"):
+            encoding.decode_documents(coded, vocab, limit=limit).collect()
+        rows = encoding.decode_documents(coded, vocab, limit=limit, on_missing="null").collect()
+        assert {r.doc_id: r.text for r in rows} == {7: None, 8: "", 9: "a"}

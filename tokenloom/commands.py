@@ -1,15 +1,82 @@
-"""The three runs of the library end to end: encode, fit, complete."""
+"""The runs of the library end to end: ingest, encode, fit, complete."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lexicon as L
-from .operators import completion, corpus, encoding, sequences, vocabulary
+from .functions import paths as P
+from .operators import completion, corpus, encoding, metrics, sequences, vocabulary
 from .operators.tokens import explode_tokens, lex_documents
-from .plans.staging import stage
-from .sources import files, store
+from .plans.lookup import BROADCAST_LIMIT, measured_bytes
+from .plans.staging import stage, temporary
+from .sources import archives, files, store
+
+
+def ingest(
+    spark: SparkSession,
+    source: str,
+    base: str = "repositories",
+    suffix: str = ".py",
+    packed: bool = True,
+) -> int:
+    """Take the source files of new repositories into ``base``; the number taken.
+
+    ``source`` holds ``user_repo.zip`` archives, or with ``packed=False`` a tree
+    ``user/repo/**``.  Files are chosen on their paths alone, one per basename and
+    repository; the contents of the chosen ones follow and are filed as
+    ``repositories/user/repo/basename``.  The manifest is written last: a run that
+    died before counts for nothing, a repository in the manifest is not taken again.
+    Archives that cannot be read are listed under ``rejected``.
+    """
+    run = uuid.uuid4().hex
+    with temporary(spark):
+        known = store.read_manifest(spark, base)
+        if packed:
+            members = archives.unpack_archives(
+                corpus.skip_ingested(archives.scan_archives(spark, source), known), suffix
+            )
+            members = stage(members, "members")
+            bad = archives.rejected(members).unionByName(archives.oversized_archives(spark, source))
+            bad.write.parquet(f"{base}/rejected/run={run}")
+            found = archives.accepted(members).select(
+                "user", "repo", F.col("member_path").alias("path"),
+                files.decode_utf8(F.col("content")).alias("text"),
+            )
+        else:
+            scanned = files.scan_source_files(spark, source, suffix)
+            below = P.below_root(files.relative_path(spark, source, F.col("path")))
+            found = corpus.skip_ingested(
+                scanned.select("user", "repo", below.alias("path"), "text"), known
+            )
+        chosen = corpus.choose_files(found, suffix)
+        filed = P.destination(F.col("user"), F.col("repo"), F.col("path"), base)
+        taken = store.write_table(
+            chosen.select("user", "repo", filed.alias("path"), "text"), f"{base}/files/run={run}"
+        )
+        repos = found.select("user", "repo").distinct()
+        store.write_table(repos, f"{base}/manifest/run={run}")
+        return taken.count()
+
+
+def _sources(spark: SparkSession, folder: str, suffix: str) -> tuple[DataFrame, DataFrame]:
+    """``(path, length)`` of the files below ``folder``, and ``(path, text)``."""
+    if store.exists(spark, f"{folder}/manifest"):
+        filed = store.read_ingested(spark, folder)
+        return filed.select("path", F.octet_length("text").alias("length")), filed.select("path", "text")
+    listed = files.list_source_files(spark, folder, suffix).select("path", "length")
+    return listed, files.scan_source_files(spark, folder, suffix).select("path", "text")
+
+
+def _numbered(lexed: DataFrame, listed: DataFrame) -> DataFrame:
+    """Lexed files with a document id in path order.  Only paths are sorted."""
+    numbers = stage(corpus.number_documents(listed.select("path")), "numbers")
+    if measured_bytes(numbers) <= BROADCAST_LIMIT:
+        return lexed.join(F.broadcast(numbers), "path")
+    return stage(lexed.join(numbers.hint("merge"), "path"), "numbered")
 
 
 def encode(
@@ -21,38 +88,56 @@ def encode(
     redo: bool = False,
     model_dir: str = "models",
     suffix: str = ".py",
+    on_missing: str = "error",
 ) -> bool:
     """Encode the source files below ``dataset_dir`` into ``output_file``.
 
-    An existing output is kept unless ``redo``; tells whether it was written.
-    Texts are lexed once and staged.  Beside the dataset, ``.ignored`` lists the
-    files too short to keep and ``.report`` the vocabulary statistics.
+    A finished output is kept unless ``redo``; tells whether it was written.
+    Texts are lexed where they are read, and only the tokens are staged.  Beside the dataset, ``.ignored`` lists the
+    files too short to keep, ``.report`` the vocabulary statistics, and ``.run``
+    has the settings of the run, the vocabulary's size and place among them.
     """
     if not store.exists(spark, dataset_dir):
         raise FileNotFoundError(f"{dataset_dir} not found: unpack the repositories first")
-    if store.exists(spark, output_file) and not redo:
+    if store.complete(spark, output_file) and not redo:
         return False
-    documents = corpus.number_documents(files.scan_source_files(spark, dataset_dir, suffix))
-    lexed = stage(lex_documents(documents.select("doc_id", "text")), "lexed")
-
-    def build(threshold: int) -> DataFrame:
-        frequency = vocabulary.token_frequency(explode_tokens(lexed), "doc_id")
-        frequency = stage(frequency, "frequency")
-        rare = vocabulary.rare_tokens_by_type(frequency.drop(vocabulary.FIRST_SEEN), threshold)
-        store.write_report(frequency, rare, f"{output_file}.report")
-        return vocabulary.build_vocab(frequency, threshold)
-
-    vocab = store.get_vocab(spark, f"{model_dir}/vocab", build, frequency_threshold)
-    # Each token gives one id and the start token one more, so short files are
-    # known before they are encoded.
-    long_enough = F.size("tokens") + 1 >= token_count_threshold
-    store.write_encoded(
-        encoding.encode_lexed(lexed.filter(long_enough), vocab), output_file, redo
-    )
-    short = lexed.filter(~long_enough).select("doc_id", (F.size("tokens") + 1).alias("n_tokens"))
-    store.write_ignored(
-        short.join(documents.select("doc_id", "path"), "doc_id"), f"{output_file}.ignored"
-    )
+    with temporary(spark):
+        listed, texts = _sources(spark, dataset_dir, suffix)
+        lexed = _numbered(stage(lex_documents(texts, "path"), "lexed"), listed)
+        tokens = lexed.select("doc_id", "tokens")
+
+        def frequency() -> DataFrame:
+            return vocabulary.token_frequency(explode_tokens(tokens), "doc_id")
+
+        counted = stage(frequency(), "frequency")
+        name = store.fingerprint(listed)
+        vocab = store.get_vocab(
+            spark, f"{model_dir}/vocab",
+            lambda threshold: vocabulary.build_vocab(counted, threshold),
+            frequency_threshold, name, redo,
+        )
+        rare = vocabulary.rare_tokens_by_type(counted.drop(vocabulary.FIRST_SEEN), frequency_threshold)
+        store.write_report(counted, rare, f"{output_file}.report")
+        settings = vocabulary.run_metadata(vocab).select(
+            "*",
+            F.lit(frequency_threshold).alias("threshold"),
+            F.lit(name).alias("corpus"),
+            F.lit(f"{model_dir}/vocab").alias("vocab_base"),
+        )
+        store.write_table(settings, f"{output_file}.run")
+        # Each token gives one id and the start token one more, so short files are
+        # known before they are encoded.
+        long_enough = F.size("tokens") + 1 >= token_count_threshold
+        short = lexed.filter(~long_enough)
+        store.write_ignored(
+            short.select("doc_id", (F.size("tokens") + 1).alias("n_tokens"), "path"),
+            f"{output_file}.ignored",
+        )
+        # Last, since a finished dataset is what tells that the run is done.
+        store.write_encoded(
+            encoding.encode_lexed(tokens.filter(long_enough), vocab, on_missing=on_missing),
+            output_file, redo=True,
+        )
     return True
 
 
@@ -71,25 +156,66 @@ def batches(
     )
 
 
-def fit(spark: SparkSession, dataset: str = "dataset", k: int = 2, n_ctx: int = L.N_CTX) -> DataFrame:
-    """Next-token counts of a dataset; counting needs one pass, not epochs."""
+def dataset_vocab(spark: SparkSession, dataset: str = "dataset") -> DataFrame:
+    """The vocabulary that ``dataset`` was encoded with."""
+    run = store.read_run(spark, dataset)
+    return store.read_vocab(spark, run.vocab_base, run.threshold, run.corpus)
+
+
+def fit(
+    spark: SparkSession,
+    dataset: str = "dataset",
+    k: int = 2,
+    n_ctx: int = L.N_CTX,
+    held_out: DataFrame | None = None,
+    redo: bool = False,
+) -> DataFrame:
+    """Next-token counts of a dataset for contexts of up to ``k`` ids; counting
+    needs one pass, not epochs.
+
+    The counts are stored beside the dataset, once per encoding of it.  With
+    ``held_out`` documents ``(doc_id, text)``, loss and accuracy of the counts on
+    them are written to ``.metrics``, eight neighbouring ids to a batch.
+    """
+    run = store.read_run(spark, dataset)
     encoded = store.read_encoded(spark, dataset)
-    pairs = sequences.shift_pairs(sequences.chunk_sequences(encoded, n_ctx))
-    return completion.next_token_counts(pairs, k)
+    path = f"{dataset}.counts/corpus={run.corpus}/threshold={run.threshold}/n_ctx={n_ctx}/k={k}"
+    if redo or not store.complete(spark, path):
+        pairs = sequences.shift_pairs(sequences.chunk_sequences(encoded, n_ctx))
+        store.write_table(completion.backoff_counts(pairs, k), path)
+    counts = spark.read.parquet(path)
+    if held_out is not None:
+        vocab = dataset_vocab(spark, dataset)
+        coded = encoding.encode_documents(held_out, vocab, on_missing="null")
+        pairs = sequences.shift_pairs(sequences.chunk_sequences(encoding.long_enough(coded, 2), n_ctx))
+        judged = metrics.ngram_metrics(
+            pairs.withColumn("batch", F.floor(F.col("doc_id") / L.BATCH_SIZE)), counts.filter(F.size("context") == 1), run.n_vocab, ["batch"]
+        )
+        store.write_table(judged, f"{dataset}.metrics")
+    return counts
 
 
 def complete(
     spark: SparkSession,
-    counts: DataFrame,
-    vocab: DataFrame,
+    counts: DataFrame | None = None,
+    vocab: DataFrame | None = None,
     src: str | None = None,
     file: str | None = None,
     k: int = 2,
+    dataset: str | None = None,
 ) -> DataFrame:
     """Complete the line that follows a source text, given as ``src`` or in
-    ``file``: ``(prompt_id, completion, n_generated, status)``."""
+    ``file``: ``(prompt_id, completion, n_generated, status)``.
+
+    Counts and vocabulary are those given, or those stored for ``dataset``.
+    """
     if (src is None) == (file is None):
         raise ValueError("give either src or file")
+    if dataset is not None:
+        counts = fit(spark, dataset, k) if counts is None else counts
+        vocab = dataset_vocab(spark, dataset) if vocab is None else vocab
+    if counts is None or vocab is None:
+        raise ValueError("give counts and vocab, or a dataset")
     if src is not None:
         prompt = spark.createDataFrame([("src", src)], "prompt_id string, text string")
     else:
@@ -98,6 +224,6 @@ def complete(
             .load(file)
             .select(F.col("path").alias("prompt_id"), files.decode_utf8(F.col("content")).alias("text"))
         )
-    encoded = encoding.encode_documents(prompt, vocab, "prompt_id")
+    encoded = encoding.encode_documents(prompt, vocab, "prompt_id", on_missing="null")
     choices = completion.next_choices(counts, vocab)
     return completion.complete_lines(encoded, choices, k)

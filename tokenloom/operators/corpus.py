@@ -78,6 +78,20 @@ def skip_ingested(
     return lookup_join(files, manifest.select(*keys).distinct(), keys, "left_anti", limit)
 
 
+def choose_files(
+    found: DataFrame, suffix: str = ".py", keys: Sequence[str] = ("user", "repo")
+) -> DataFrame:
+    """The files to take of ``(keys, path, ...)`` rows, with all their columns:
+    chosen on the paths alone, joined back to the rest.
+
+    A chosen path is unique in its repository, so the join has no hot key; of rows with
+    equal paths the files are the same and all stay.
+    """
+    narrow = found.select(*keys, "path")
+    chosen = dedup_basename(select_sources(narrow, "path", suffix), keys)
+    return lookup_join(found, chosen.select(*keys, "path"), [*keys, "path"], "left_semi")
+
+
 def corpus_stats(files: DataFrame, path_col: str = "path", suffix: str = ".py") -> DataFrame:
     """One row: files in all, files with the suffix."""
     return files.agg(

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..plans.lookup import BROADCAST_LIMIT, lookup_join, measured_bytes
-from ..plans.staging import stage
+from ..plans.lookup import BROADCAST_LIMIT, counted_lookup, lookup_join, measured_bytes
 from .tokens import explode_tokens, lex_documents, typed_key
 
 
@@ -39,9 +38,15 @@ def encode_tokens(
     """
     if on_missing not in ("error", "null"):
         raise ValueError("on_missing must be 'error' or 'null'")
-    joined = lookup_join(
-        tokens, _entries(vocab, open_types), ["t_type", "token"], "left", limit, fits
-    )
+    entries = _entries(vocab, open_types)
+    if fits is None:
+        fits = measured_bytes(entries) <= limit
+    if fits:
+        joined = lookup_join(tokens, entries, ["t_type", "token"], "left", fits=True)
+    else:
+        # The vocabulary knows its hot keys, so the tokens are read once.
+        counted = vocab.filter(F.col("id") > len(open_types)).select("t_type", "token", "id", "count")
+        joined = counted_lookup(tokens, counted, ["t_type", "token"], "count", limit=-1)
     found = F.coalesce(F.col("id"), _unknown_id(open_types))
     if on_missing == "error":
         # A null token stands for an empty document.
@@ -105,11 +110,7 @@ def encode_documents(
 ) -> DataFrame:
     """:func:`encode_lexed` from texts."""
     lexed = lex_documents(documents, id_col, text_col)
-    fits = measured_bytes(_entries(vocab, L.OPEN_CLASS_TYPES)) <= limit
-    if not fits:
-        # A shuffled lookup reads the tokens several times; lex them once.
-        lexed = stage(lexed, "lexed")
-    return encode_lexed(lexed, vocab, id_col, add_start, on_missing, limit, fits)
+    return encode_lexed(lexed, vocab, id_col, add_start, on_missing, limit)
 
 
 def document_lengths(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +39,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     """A path that nothing else uses, in this application's part of the shared
     folder, which can be removed as a whole once the application has ended."""
     application = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/{application}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{application}/{label}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, what was staged meanwhile; for runs that write their
+    results out before they return."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        for path in made:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            system.delete(hadoop, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

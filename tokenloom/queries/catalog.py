@@ -23,6 +23,7 @@ from ..plans.parallel import spread
 from ..plans.staging import new_path, stage
 from ..sources import archives, files, store
 from ..streaming import ingest
+from .packing import pack_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,7 +162,7 @@ def utf8_replace(spark, sf_dir):
 def _archived(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     path = F.concat(F.col("source"), F.lit("-main/src/doc_"), F.col("doc_id").cast("string"), F.lit(".py"))
-    return archives.pack_archives(
+    return pack_archives(
         docs.select(F.col("lang").alias("user"), F.col("source").alias("repo"), path.alias("path"), "text")
     )
 
@@ -189,7 +190,7 @@ def read_encoded(spark, sf_dir):
     encoded, _ = _corpus(spark, sf_dir)
     path = new_path(spark, "dataset")
     store.write_encoded(encoded, path, redo=True)
-    return store.read_encoded(spark, path).select("doc_id", "n_tokens")
+    return store.read_encoded(spark, path).select("doc_id", _joined("ids").alias("ids"), "n_tokens")
 
 
 @query
@@ -261,6 +262,32 @@ def skip_ingested(spark, sf_dir):
     return corpus.skip_ingested(docs, manifest, ["doc_id"])
 
 
+@query
+def ingest_pages(spark, sf_dir):
+    """Two runs, hosts as repositories: pages served without encryption, then
+    all pages; the second run skips the hosts of the first."""
+    pages = _pages(spark, sf_dir).join(
+        _table(spark, sf_dir, "pages").select("page_id", "url", F.md5("html").alias("content")), "page_id"
+    )
+    found = pages.select(
+        F.regexp_extract("host", r"[^.]+\.[^.]+$", 0).alias("user"),
+        F.col("host").alias("repo"),
+        F.concat_ws("/", "host", "path").alias("path"),
+        "page_id",
+        "content",
+        F.col("url").startswith("http://").alias("plain"),
+    )
+    base = new_path(spark, "repositories")
+    plain = found.filter("plain")
+    store.write_table(plain.select("user", "repo").distinct(), f"{base}/manifest/run=1")
+    new = corpus.skip_ingested(found, store.read_manifest(spark, base))
+    runs = [corpus.choose_files(files_of, "") for files_of in (plain, new)]
+    return runs[0].unionByName(runs[1].select(*runs[0].columns)).select(
+        "user", "repo", P.destination(F.col("user"), F.col("repo"), F.col("path")).alias("path"),
+        "page_id", "content",
+    )
+
+
 @query
 def drop_comments(spark, sf_dir):
     raw = tok.raw_tokens(_table(spark, sf_dir, "pages"), "page_id", "html")
@@ -379,7 +406,7 @@ def split_keys(spark, sf_dir):
 @query
 def open_class_tokens(spark, sf_dir):
     kept = tok.keep_open_class(tok.tokenize(_documents(spark, sf_dir)))
-    return kept.groupBy("t_type").agg(F.count(F.lit(1)).alias("n"))
+    return kept.groupBy("t_type", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -449,6 +476,14 @@ def encode_documents(spark, sf_dir):
     return encoded.select("doc_id", _joined("ids").alias("ids"), "n_tokens")
 
 
+@query
+def encode_large_vocabulary(spark, sf_dir):
+    """As ``encode_documents``, by the path for vocabularies beyond a broadcast."""
+    lexed = _lexed(spark, sf_dir)
+    encoded = encoding.encode_lexed(lexed, _vocab(lexed), limit=0)
+    return encoded.select("doc_id", _joined("ids").alias("ids"), "n_tokens")
+
+
 @query
 def document_lengths(spark, sf_dir):
     lexed = _lexed(spark, sf_dir)
@@ -545,6 +580,20 @@ def running_metrics(spark, sf_dir):
     )
 
 
+@query
+def heldout_metrics(spark, sf_dir):
+    """Next-token counts of the documents, judged on the benchmark."""
+    encoded, vocab = _corpus(spark, sf_dir)
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    coded = encoding.long_enough(encoding.encode_documents(items, vocab, on_missing="null"), 2)
+    pairs = sequences.shift_pairs(sequences.chunk_sequences(coded))
+    judged = metrics.ngram_metrics(
+        pairs.withColumn("batch", F.floor(F.col("doc_id") / 8)),
+        _counts(encoded, 1), vocab.count(), ["batch"],
+    )
+    return judged.withColumns({c: F.round(c, 6) for c in ("loss", "accuracy")})
+
+
 # --- next-token counts and completion ----------------------------------------
 
 

@@ -348,7 +348,9 @@ FROM documents""",
     "write_encoded": _with(
         _ENCODED, f"SELECT doc_id, {_text_of('ids')} AS ids, len(ids)::INT AS n_tokens FROM encoded"
     ),
-    "read_encoded": _with(_ENCODED, "SELECT doc_id, len(ids)::INT AS n_tokens FROM encoded"),
+    "read_encoded": _with(
+        _ENCODED, f"SELECT doc_id, {_text_of('ids')} AS ids, len(ids)::INT AS n_tokens FROM encoded"
+    ),
     "vocab_roundtrip": _with(_vocab(5), "SELECT * FROM vocab"),
     "vocab_report_lines": _with(
         f"{_FREQ},{_RARE}",
@@ -384,6 +386,23 @@ QUALIFY row_number() OVER (PARTITION BY host, split_part(path, '/', -1)
     "skip_ingested": """
 SELECT doc_id, lang, source FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
+    "ingest_pages": rf"""
+WITH bare AS (
+  SELECT page_id, url, md5(html) AS content,
+    regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS u FROM pages),
+found AS (
+  SELECT page_id, content, url LIKE 'http://%' AS plain, split_part(u, '/', 1) AS repo,
+    split_part(u, '/', 1) || '/' || rtrim(substr(u, strpos(u, '/') + 1), '/') AS path FROM bare),
+taken AS (
+  SELECT * FROM found WHERE plain OR repo NOT IN (SELECT repo FROM found WHERE plain)),
+winners AS (
+  SELECT repo, path FROM taken WHERE {_NAME_OK} AND {_DIR_OK}
+  QUALIFY row_number() OVER (PARTITION BY repo, {_BASE}
+    ORDER BY length(path) - length(replace(path, '/', '')) DESC, path DESC) = 1)
+SELECT regexp_extract(repo, '[^.]+\.[^.]+$') AS user, repo,
+  'repositories/' || regexp_extract(repo, '[^.]+\.[^.]+$') || '/' || repo || '/' || {_BASE} AS path,
+  page_id, content
+FROM taken SEMI JOIN winners USING (repo, path)""",
     "drop_comments": _with(
         _raw(_PAGES),
         f"""SELECT doc_id AS page_id, count(*) AS n_kept, max(i)::INT AS last_pos FROM typed
@@ -445,7 +464,7 @@ FROM tokens WHERE t_type = '{L.TEXT}' GROUP BY doc_id""",
     "typed_keys": _with(_FREQ, f"SELECT {_KEY} AS key, count FROM freq"),
     "split_keys": _with(_FREQ, f"SELECT {_KEY} AS key, t_type, token FROM freq"),
     "open_class_tokens": _with(
-        _DOC_TOKENS, f"SELECT t_type, count(*) AS n FROM tokens WHERE t_type IN {_OPEN} GROUP BY t_type"
+        _DOC_TOKENS, f"SELECT t_type, token, count(*) AS n FROM tokens WHERE t_type IN {_OPEN} GROUP BY ALL"
     ),
     "path_parts": _with(
         _LISTING,
@@ -529,6 +548,22 @@ WITH log AS (
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT epoch, batch, round(loss, 4) AS loss, round(accuracy, 4) AS accuracy
 FROM log WHERE batch % 10 = 0""",
+    "heldout_metrics": _with(
+        f"""{_pairs()},{_tokens("SELECT item_id AS doc_id, text FROM benchmark", "b_")},{_coded("b_")},
+seen AS (SELECT a AS c, target, count(*) AS n FROM pairs GROUP BY ALL),
+best AS (SELECT c, sum(n) AS total, arg_min(target, -n * 1000000000 + target) AS guess FROM seen GROUP BY c),
+asked AS (
+  SELECT doc_id // 8 AS batch, u.c, ids[u.nr + 1] AS target
+  FROM b_listed, unnest(ids) WITH ORDINALITY AS u(c, nr)
+  WHERE len(ids) >= 2 AND u.nr < len(ids) AND u.nr % {L.N_CTX} <> 0),
+judged AS (
+  SELECT batch, target, -ln((coalesce(n, 0) + 1) / (coalesce(total, 0) + (SELECT count(*) FROM vocab))) AS loss,
+         coalesce(guess = a.target, false)::INT AS hit
+  FROM asked a LEFT JOIN seen s USING (c, target) LEFT JOIN best USING (c))""",
+        """SELECT batch, count(target)::BIGINT AS n_targets, count(*) FILTER (target IS NULL)::BIGINT AS n_unknown,
+  round(avg(loss) FILTER (target IS NOT NULL), 6) AS loss,
+  round(avg(hit) FILTER (target IS NOT NULL), 6) AS accuracy FROM judged GROUP BY batch""",
+    ),
     # next-token counts and completion
     "next_token_counts": _with(
         _pairs(),
@@ -574,3 +609,4 @@ FROM asked JOIN walk USING (start) WHERE status IS NOT NULL""",
     ),
 }
 ORACLES["stream_encode"] = ORACLES["write_encoded"]
+ORACLES["encode_large_vocabulary"] = ORACLES["encode_documents"]

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBER_SCHEMA = "user string, repo string, member_path string, content binary, error string"
-ARCHIVE_SCHEMA = "user string, repo string, content binary"
+# Larger files do not fit into a cell.
+MAX_ARCHIVE_BYTES = (1 << 31) - 1024
 
 _MEMBERS = pa.schema(
     [
@@ -22,44 +26,75 @@ _MEMBERS = pa.schema(
         ("error", pa.string()),
     ]
 )
-_ARCHIVES = pa.schema([("user", pa.string()), ("repo", pa.string()), ("content", pa.binary())])
-_BAD = (zipfile.BadZipFile, OSError, EOFError, ValueError, NotImplementedError, RuntimeError)
+_BAD = (
+    zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, OSError, EOFError, ValueError,
+    NotImplementedError, RuntimeError,
+)
 
 
-def scan_archives(spark: SparkSession, directory: str) -> DataFrame:
-    """``(user, repo, content)`` of ``user_name.zip`` files."""
+def _archive_files(spark: SparkSession, directory: str) -> DataFrame:
     stem = F.regexp_extract("path", r"([^/]+)\.zip$", 1)
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.zip")
         .load(directory)
-        .select(
-            F.substring_index(stem, "_", 1).alias("user"),
-            F.regexp_replace(stem, F.lit("^[^_]*_"), F.lit("")).alias("repo"),
-            "content",
+        .withColumns(
+            {
+                "user": F.substring_index(stem, "_", 1),
+                "repo": F.regexp_replace(stem, F.lit("^[^_]*_"), F.lit("")),
+            }
         )
     )
 
 
+def scan_archives(
+    spark: SparkSession, directory: str, max_bytes: int = MAX_ARCHIVE_BYTES
+) -> DataFrame:
+    """``(user, repo, content)`` of ``user_name.zip`` files of up to ``max_bytes``;
+    the others are not opened, :func:`oversized_archives` lists them."""
+    archives = _archive_files(spark, directory)
+    return archives.filter(F.col("length") <= max_bytes).select("user", "repo", "content")
+
+
+def oversized_archives(
+    spark: SparkSession, directory: str, max_bytes: int = MAX_ARCHIVE_BYTES
+) -> DataFrame:
+    """``(user, repo, error)`` of the archives that are too large, as :func:`rejected`."""
+    archives = _archive_files(spark, directory)
+    error = F.concat(F.lit("too large: "), F.col("length").cast("string"), F.lit(" bytes"))
+    return archives.filter(F.col("length") > max_bytes).select("user", "repo", error.alias("error"))
+
+
 def unpack_archives(
     archives: DataFrame, suffix: str = ".py", batch_bytes: int = 16 * 1024 * 1024
 ) -> DataFrame:
     """One row per member of each archive's project folder, the first top-level
-    folder by name; paths start with it.  An archive that does not open, or has
-    no folder, gives one row with ``error`` set and the run goes on."""
+    folder by name that is neither hidden nor made by a packing tool; paths start
+    with it.  An archive that cannot be read to its end, or has no folder, gives one
+    row with ``error`` set and no other, and the run goes on."""
 
     def members(content: bytes) -> Iterator[tuple[str, bytes]]:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             # Of equal names the later member counts, as when unpacking.
             by_name = {info.filename: info for info in archive.infolist()}
-            folders = [name.split("/")[0] for name in by_name if name.find("/") > 0]
+            tops = [name.split("/")[0] for name in by_name if name.find("/") > 0]
+            folders = [top for top in tops if not top.startswith(".") and top != "__MACOSX"]
             if not folders:
                 raise zipfile.BadZipFile("no top-level folder")
             root = min(folders) + "/"
-            for name, info in by_name.items():
-                if name.startswith(root) and name.endswith(suffix) and ".." not in name.split("/"):
-                    yield name, archive.read(info)
+            wanted = [
+                (name, info)
+                for name, info in by_name.items()
+                if name.startswith(root) and name.endswith(suffix) and ".." not in name.split("/")
+            ]
+            # Read through before anything is handed on: all members or none.
+            for _, info in wanted:
+                with archive.open(info) as member:
+                    while member.read(1 << 20):
+                        pass
+            for name, info in wanted:
+                yield name, archive.read(info)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -89,31 +124,3 @@ def rejected(members: DataFrame) -> DataFrame:
 
 def accepted(members: DataFrame) -> DataFrame:
     return members.filter(F.col("error").isNull()).drop("error")
-
-
-def pack_archives(files: DataFrame, max_bytes: int = 16 * 1024 * 1024) -> DataFrame:
-    """The reverse: zip ``(user, repo, path, text)`` rows.  A task fills one
-    archive per repository it meets and closes all of them at ``max_bytes``."""
-
-    def packed(groups: dict) -> Iterator[pa.RecordBatch]:
-        for (user, repo), members in groups.items():
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                for path, data in members:
-                    archive.writestr(path, data)
-            row = {"user": user, "repo": repo, "content": buffer.getvalue()}
-            yield pa.RecordBatch.from_pylist([row], _ARCHIVES)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, size = {}, 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = row["text"].encode("utf-8")
-                groups.setdefault((row["user"], row["repo"]), []).append((row["path"], data))
-                size += len(data)
-                if size >= max_bytes:
-                    yield from packed(groups)
-                    groups, size = {}, 0
-        yield from packed(groups)
-
-    return files.select("user", "repo", "path", "text").mapInArrow(pack, ARCHIVE_SCHEMA)

@@ -32,7 +32,7 @@ def scan_source_files(spark: SparkSession, directory: str, suffix: str = ".py")
     """``(user, repo, path, basename, text)`` of ``directory/user/repo/**``."""
     scanned = _scan(spark, directory, suffix)
     path = F.col("path")
-    above = F.split(relative_path(directory, path), "/")
+    above = F.split(relative_path(spark, directory, path), "/")
     return scanned.select(
         F.get(above, F.lit(0)).alias("user"),
         F.get(above, F.lit(1)).alias("repo"),
@@ -42,10 +42,16 @@ def scan_source_files(spark: SparkSession, directory: str, suffix: str = ".py")
     )
 
 
-def relative_path(directory: str, path: Column) -> Column:
-    """Path below ``directory``; the scan reports absolute URIs."""
-    name = directory.rstrip("/").split("/")[-1]
-    return F.regexp_replace(path, F.lit(rf"^.*?/\Q{name}\E/"), F.lit(""))
+def relative_path(spark: SparkSession, directory: str, path: Column) -> Column:
+    """Path below ``directory``; the scan reports absolute URIs.
+
+    The folder is resolved by its file system, and exactly that prefix is cut.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
+    bare = F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    return F.when(bare.startswith(root), F.substring(bare, len(root) + 1, 1 << 30)).otherwise(bare)
 
 
 def _scan(spark: SparkSession, directory: str, suffix: str) -> DataFrame:

@@ -16,25 +16,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds a table that was written to its end."""
+    return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
 def write_encoded(encoded: DataFrame, path: str, redo: bool = False) -> None:
-    """Write an encoded dataset; an existing one is kept unless ``redo``."""
-    mode = "overwrite" if redo else "ignore"
-    encoded.write.mode(mode).option("compression", "zstd").parquet(path)
+    """Write an encoded dataset; a finished one is kept unless ``redo``.  What a
+    failed run left behind is replaced."""
+    if redo or not complete(encoded.sparkSession, path):
+        encoded.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_encoded(spark: SparkSession, path: str) -> DataFrame:
     """An encoded dataset; a missing one, or one without ids, is an error."""
-    if not exists(spark, path):
-        raise FileNotFoundError(f"{path} not found: encode the corpus first")
+    if not complete(spark, path):
+        raise FileNotFoundError(f"{path} not found or not finished: encode the corpus first")
     encoded = spark.read.parquet(path)
     if ENCODED_COLUMN not in encoded.columns:
         raise ValueError(f"{path} has no column {ENCODED_COLUMN}")
     return encoded
 
 
-def vocab_path(base: str, threshold: int = L.FREQUENCY_THRESHOLD) -> str:
-    """Vocabularies of different thresholds are kept apart."""
-    return f"{base.rstrip('/')}/threshold={threshold}"
+def vocab_path(base: str, threshold: int = L.FREQUENCY_THRESHOLD, corpus: str | None = None) -> str:
+    """Vocabularies of different thresholds, and of different corpora, are kept apart."""
+    path = f"{base.rstrip('/')}/threshold={threshold}"
+    return path if corpus is None else f"{path}/corpus={corpus}"
 
 
 def write_vocab(vocab: DataFrame, base: str, threshold: int = L.FREQUENCY_THRESHOLD) -> None:
@@ -42,20 +49,30 @@ def write_vocab(vocab: DataFrame, base: str, threshold: int = L.FREQUENCY_THRESH
 
 
 def read_vocab(
-    spark: SparkSession, base: str, threshold: int = L.FREQUENCY_THRESHOLD
+    spark: SparkSession,
+    base: str,
+    threshold: int = L.FREQUENCY_THRESHOLD,
+    corpus: str | None = None,
 ) -> DataFrame:
-    return spark.read.schema(VOCAB_SCHEMA).parquet(vocab_path(base, threshold))
+    return spark.read.schema(VOCAB_SCHEMA).parquet(vocab_path(base, threshold, corpus))
 
 
 def get_vocab(
-    spark: SparkSession, base: str, build, threshold: int = L.FREQUENCY_THRESHOLD
+    spark: SparkSession,
+    base: str,
+    build,
+    threshold: int = L.FREQUENCY_THRESHOLD,
+    corpus: str | None = None,
+    redo: bool = False,
 ) -> DataFrame:
-    """The stored vocabulary, or else ``build(threshold)``, stored first."""
+    """The stored vocabulary, or else ``build(threshold)``, stored first; ``redo``
+    builds it anew.  ``corpus`` names what it was built from."""
+    path = vocab_path(base, threshold, corpus)
     # The marker is written last, so a half-written vocabulary is not reused.
-    if not exists(spark, vocab_path(base, threshold) + "/_SUCCESS"):
+    if redo or not complete(spark, path):
         vocab = build(threshold)
-        vocab.write.mode("overwrite").parquet(vocab_path(base, threshold))
-    vocab = read_vocab(spark, base, threshold)
+        vocab.write.mode("overwrite").parquet(path)
+    vocab = read_vocab(spark, base, threshold, corpus)
     duplicated = vocab.groupBy("key").count().filter(F.col("count") > 1)
     if not duplicated.isEmpty():
         raise ValueError("the vocabulary has duplicate keys")
@@ -65,11 +82,60 @@ def get_vocab(
 def write_report(
     frequency: DataFrame, rare: DataFrame, path: str
 ) -> None:
-    """Vocabulary statistics as text: counts, then the rare tokens by type."""
-    report_lines(frequency).write.text(f"{path}/counts")
-    rare_lines(rare).write.text(f"{path}/rare")
+    """Vocabulary statistics as text: counts, then the rare tokens by type; an
+    older report is replaced."""
+    report_lines(frequency).write.mode("overwrite").text(f"{path}/counts")
+    rare_lines(rare).write.mode("overwrite").text(f"{path}/rare")
+
+
+def write_table(table: DataFrame, path: str) -> DataFrame:
+    """Write ``table``, replacing an older one, and read it back."""
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def write_ignored(short: DataFrame, path: str) -> None:
     """The documents left out for their length."""
     short.write.mode("overwrite").parquet(path)
+
+
+def fingerprint(listed: DataFrame) -> str:
+    """A name for a set of files, from their paths and lengths."""
+    row = listed.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+        F.sum(F.xxhash64("path", "length").cast("decimal(38,0)")).alias("mixed"),
+    )
+    return row.select(F.md5(F.concat_ws("-", "n", "bytes", "mixed"))).head()[0]
+
+
+def read_run(spark: SparkSession, dataset: str):
+    """The one row of settings that encoding stored beside ``dataset``."""
+    path = f"{dataset}.run"
+    if not complete(spark, path):
+        raise FileNotFoundError(f"{path} not found: encode the corpus first")
+    rows = spark.read.parquet(path).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} does not have exactly one row")
+    return rows[0]
+
+
+def _finished_runs(spark: SparkSession, base: str) -> list[str]:
+    """The ingestion runs whose manifest was written to its end."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/manifest/run=*/_SUCCESS")
+    system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(m.getPath().getParent().getName() for m in system.globStatus(pattern) or [])
+
+
+def read_manifest(spark: SparkSession, base: str) -> DataFrame:
+    """``(user, repo)`` of everything ingested into ``base``."""
+    runs = [f"{base}/manifest/{run}" for run in _finished_runs(spark, base)]
+    reader = spark.read.schema("user string, repo string")
+    return reader.parquet(*runs) if runs else spark.createDataFrame([], "user string, repo string")
+
+
+def read_ingested(spark: SparkSession, base: str) -> DataFrame:
+    """``(user, repo, path, text)`` of the files of the finished runs."""
+    schema = "user string, repo string, path string, text string"
+    runs = [f"{base}/files/{run}" for run in _finished_runs(spark, base)]
+    return spark.read.schema(schema).parquet(*runs) if runs else spark.createDataFrame([], schema)
