@@ -38,10 +38,10 @@ def encode_tokens(
     """
     if on_missing not in ("error", "null"):
         raise ValueError("on_missing must be 'error' or 'null'")
-    entries = _entries(vocab, open_types)
     if fits is None:
-        fits = measured_bytes(entries) <= limit
+        fits = vocab_fits(vocab, open_types, limit)
     if fits:
+        entries = _entries(vocab, open_types)
         joined = lookup_join(tokens, entries, ["t_type", "token"], "left", fits=True)
     else:
         # The vocabulary knows its hot keys, so the tokens are read once.
@@ -107,10 +107,18 @@ def encode_documents(
     add_start: bool = True,
     on_missing: str = "error",
     limit: int = BROADCAST_LIMIT,
+    fits: bool | None = None,
 ) -> DataFrame:
     """:func:`encode_lexed` from texts."""
     lexed = lex_documents(documents, id_col, text_col)
-    return encode_lexed(lexed, vocab, id_col, add_start, on_missing, limit)
+    return encode_lexed(lexed, vocab, id_col, add_start, on_missing, limit, fits)
+
+
+def vocab_fits(
+    vocab: DataFrame, open_types=L.OPEN_CLASS_TYPES, limit: int = BROADCAST_LIMIT
+) -> bool:
+    """Whether the vocabulary can be broadcast; pass it on where one is used often."""
+    return measured_bytes(_entries(vocab, open_types)) <= limit
 
 
 def document_lengths(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

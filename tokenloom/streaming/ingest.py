@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import lexicon as L
-from ..operators.encoding import encode_documents, long_enough
+from ..operators.encoding import encode_documents, long_enough, vocab_fits
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string"
 
@@ -36,9 +36,11 @@ def stream_encode(
     folder, which a replay overwrites, so results are exactly once.
     """
 
+    fits = vocab_fits(vocab)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         encoded = long_enough(
-            encode_documents(batch, vocab, on_missing=on_missing), min_tokens
+            encode_documents(batch, vocab, on_missing=on_missing, fits=fits), min_tokens
         )
         encoded.write.mode("overwrite").option("compression", "zstd").parquet(
             f"{output}/batch={batch_id}"
