@@ -96,7 +96,12 @@ def test_signatures_never_miss():
             continue
         assert np.intersect1d(ngrams.signatures(a, bands), ngrams.signatures(b, bands)).size
         x, y = (np.array(ngrams.dense_sketch(s)).view(np.uint8) for s in (a, b))
-        assert np.unpackbits(x ^ y).sum() <= len(a) + len(b) - 2 * both
+        apart = len(a) + len(b) - 2 * both
+        assert np.unpackbits(x ^ y).sum() <= apart
+        assert ngrams.fine_distance(ngrams.fine_sketch(a), ngrams.fine_sketch(b)) <= apart
+        c = np.unique(rng.integers(0, 2**64, len(a), dtype=np.uint64))
+        far = ngrams.fine_distance(ngrams.fine_sketch(a), ngrams.fine_sketch(c))
+        assert len(a) < 300 or far > len(a) / 4
 
 
 def test_shingles_do_not_depend_on_the_batch():

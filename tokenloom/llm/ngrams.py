@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,12 +37,12 @@ from pyspark.sql import functions as F
 from ..plans.lookup import lookup_join
 from ..plans.staging import stage
 from .components import components
-from .shingles import WIDTH, mix, shingle_sets
+from .shingles import WIDTH, arrow_bytes, mix, shingle_sets
 
 THRESHOLD = (80, 100)
 _BAND = 1.5
 _WORDS = 8  # of 64 bits in the dense sketch
-_SEEN = 200_000
+_ROWS = 200_000
 
 
 def most_different(a: int, b: int, threshold: tuple[int, int]) -> int:
@@ -96,38 +97,81 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
+def sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of the shingles at each of ``bits`` places, a power of two."""
+    parity = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8))
+
+
 def dense_sketch(shingles: np.ndarray) -> list[int]:
-    bits = np.bincount((shingles & np.uint64(64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS)
-    return np.packbits((bits & 1).astype(np.uint8)).view(np.int64).tolist()
+    return sketch(shingles, 64 * _WORDS).view(np.int64).tolist()
+
+
+def fine_sketch(shingles: np.ndarray) -> bytes:
+    """As many bits as shingles at least, so that it tells large sets apart, too."""
+    return sketch(shingles, 1 << max(6 + _WORDS.bit_length(), (len(shingles) - 1).bit_length())).tobytes()
+
 
+def fine_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance; the longer sketch is folded to the length of the other."""
+    a, b = (np.frombuffer(s, dtype=np.uint8) for s in sorted((x, y), key=len))
+    while len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(b) // 2), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
-_READ = (
-    "id bigint, n bigint, same binary, sketch array<bigint>, keys array<bigint>"
+
+_READ = "id bigint, n bigint, same binary, sketch array<bigint>, fine binary"
+_ARROW_READ = pa.schema(
+    [
+        ("id", pa.int64()),
+        ("n", pa.int64()),
+        ("same", pa.binary()),
+        ("sketch", pa.list_(pa.int64())),
+        ("fine", pa.binary()),
+    ]
 )
 
 
-def _read(batches: Iterator[pd.DataFrame], width: int, threshold) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Size, digest and sketches of each set."""
+    for batch in batches:
+        columns: list[list] = [[] for _ in _ARROW_READ]
+        texts = arrow_bytes(batch.column(1))
+        for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(texts, width), strict=True):
+            row = (doc, len(shingles), None, None, None)
+            if doc is not None and len(shingles):
+                same = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+                row = (doc, len(shingles), same, dense_sketch(shingles), fine_sketch(shingles))
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+        made = [pa.array(c, f.type) for c, f in zip(columns, _ARROW_READ, strict=True)]
+        yield pa.RecordBatch.from_arrays(made, schema=_ARROW_READ)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], width: int, threshold) -> Iterator[pa.RecordBatch]:
     bands = Bands(threshold)
-    seen: set[bytes] = set()
+    keys: list[np.ndarray] = []
+    docs: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        made = [pa.array(np.concatenate(c)) for c in (keys, docs)]
+        keys.clear()
+        docs.clear()
+        return pa.RecordBatch.from_arrays(made, ["key", "id"])
+
+    size = 0
     for batch in batches:
-        rows = []
-        for doc, shingles in zip(batch.id, shingle_sets(batch.text, width), strict=True):
-            doc = None if pd.isna(doc) else int(doc)
-            if doc is None or not len(shingles):
-                rows.append((doc, len(shingles), None, None, None))
-                continue
-            same = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-            if same in seen:
-                rows.append((doc, len(shingles), same, None, None))
-                continue
-            if len(seen) >= _SEEN:
-                seen.clear()
-            seen.add(same)
-            keys = signatures(shingles, bands)
-            rows.append((doc, len(shingles), same, dense_sketch(shingles), keys))
-        yield pd.DataFrame(rows, columns=["id", "n", "same", "sketch", "keys"]).astype(
-            {"id": "Int64"}
-        )
+        texts = arrow_bytes(batch.column(1))
+        for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(texts, width), strict=True):
+            if len(shingles):
+                keys.append(signatures(shingles, bands))
+                docs.append(np.full(len(keys[-1]), doc, dtype=np.int64))
+                size += len(keys[-1])
+            if size > _ROWS:
+                yield flush()
+                size = 0
+    if keys:
+        yield flush()
 
 
 def _may_link(threshold: tuple[int, int]) -> Column:
@@ -141,22 +185,50 @@ def _may_link(threshold: tuple[int, int]) -> Column:
     return sizes & (apart * (whole + part) <= (a + b) * (whole - part))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, threshold) -> DataFrame:
-    """The pairs ``(u, v)`` that link, judged on the whole texts."""
+def _verify(pairs: DataFrame, sketched: DataFrame, texts: DataFrame, width: int, threshold) -> DataFrame:
+    """The pairs ``(u, v)`` that link, judged on the whole texts.
+
+    Before texts are fetched, the fine sketches drop the pairs they rule out.
+    """
     part, whole = threshold
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            apart = [fine_distance(x, y) for x, y in zip(batch.fine_u, batch.fine_v, strict=True)]
+            yield batch.loc[
+                np.array(apart, dtype=np.int64) * (whole + part)
+                <= (batch.n_u + batch.n_v) * (whole - part),
+                ["u", "v"],
+            ]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            left, right = (shingle_sets(arrow_bytes(batch.column(i)), width) for i in (2, 3))
             linked = []
-            left = shingle_sets(batch.text_u, width)
-            for x, y in zip(left, shingle_sets(batch.text_v, width), strict=True):
+            for x, y in zip(left, right, strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(whole * both >= part * (len(x) + len(y) - both))
-            yield batch.loc[linked, ["u", "v"]]
-
-    first = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
-    both = first.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-    return both.select("u", "v", "text_u", "text_v").mapInPandas(check, "u bigint, v bigint")
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+
+    def ends(table: DataFrame, *columns: str) -> list[DataFrame]:
+        return [
+            table.select(F.col("id").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in columns])
+            for e in ("u", "v")
+        ]
+
+    side_u, side_v = ends(sketched, "n", "fine")
+    possible = stage(
+        pairs.join(side_u, "u")
+        .join(side_v, "v")
+        .select("u", "v", "n_u", "n_v", "fine_u", "fine_v")
+        .mapInPandas(near, "u bigint, v bigint")
+        .distinct(),
+        "near_pairs",
+    )
+    wanted = stage(possible.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "wanted")
+    text_u, text_v = ends(lookup_join(texts, wanted, ["id"], "left_semi"), "text")
+    both = possible.join(text_u, "u").join(text_v, "v")
+    return both.select("u", "v", "text_u", "text_v").mapInArrow(check, "u bigint, v bigint")
 
 
 def near_duplicates(
@@ -168,25 +240,31 @@ def near_duplicates(
 ) -> DataFrame:
     """``(id, n_shingles, component_id)`` per row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    read = stage(
-        texts.mapInPandas(lambda batches: _read(batches, width, threshold), _READ), "sketches"
-    )
-    classes = stage(
-        read.filter(F.col("same").isNotNull()).groupBy("same").agg(F.min("id").alias("least")),
-        "equal_sets",
-    )
-    readers = read.filter(F.col("keys").isNotNull())
+    read = stage(texts.mapInArrow(lambda batches: _read(batches, width), _READ), "sketches")
+    rows = read.filter(F.col("same").isNotNull())
+    classes = stage(rows.groupBy("same").agg(F.min("id").alias("least")), "equal_sets")
+    of_row = lookup_join(rows, classes, ["same"], "inner")
+    # From here on the least document of equal sets stands for all of them.
     sketched = stage(
-        readers.select("id", "n", "sketch", "same").dropDuplicates(["id", "same"]), "dense"
+        of_row.filter("id = least").dropDuplicates(["id", "same"]).select("id", "n", "sketch", "fine"),
+        "classes",
+    )
+    # Different sets under one id are linked by that.
+    one_id = of_row.groupBy("id").agg(
+        F.min("least").alias("v"), F.max("least").alias("most"), F.collect_set("least").alias("all")
     )
     equal = stage(
-        sketched.join(classes, "same").select(F.col("id").alias("u"), F.col("least").alias("v")),
+        one_id.filter("v < most").select(F.explode("all").alias("u"), "v").filter("u <> v"),
         "equal_links",
     )
+    plain = texts.filter(F.col("id").isNotNull())
+    readers = lookup_join(plain, sketched.select("id").distinct(), ["id"], "left_semi")
 
     # Meeting places with two documents or more.
     at = W.partitionBy("key")
-    met = readers.select(F.explode("keys").alias("key"), "id")
+    met = readers.mapInArrow(
+        lambda batches: _keys(batches, width, threshold), "key bigint, id bigint"
+    )
     places = stage(
         met.withColumns(
             {"least": F.min("id").over(at), "most": F.max("id").over(at)}
@@ -202,12 +280,11 @@ def near_duplicates(
     best = candidates.groupBy("u").agg(
         F.max(F.struct("times", (-F.col("v")).alias("v"))).alias("best")
     ).select("u", (-F.col("best.v")).alias("v"))
-    plain = texts.filter(F.col("id").isNotNull())
-    links = stage(_verify(best, plain, width, threshold).unionByName(equal), "links_1")
+    links = stage(_verify(best, sketched, plain, width, threshold).unionByName(equal), "links_1")
     found = components(links)
 
     rest = _across(candidates.join(best, ["u", "v"], "left_anti").select("u", "v"), found)
-    links = stage(links.unionByName(_verify(rest, plain, width, threshold)), "links_2")
+    links = stage(links.unionByName(_verify(rest, sketched, plain, width, threshold)), "links_2")
     found = components(links)
 
     # Places that still hold several components: their pairs across components.
@@ -229,7 +306,7 @@ def near_duplicates(
         .distinct()
         .join(tried, ["u", "v"], "left_anti")
     )
-    last = stage(_verify(stage(pairs, "open_pairs"), plain, width, threshold), "links_3")
+    last = stage(_verify(stage(pairs, "open_pairs"), sketched, plain, width, threshold), "links_3")
     found = components(links.unionByName(last))
 
     rows = lookup_join(read.select("id", "n", "same"), classes, ["same"], "left")

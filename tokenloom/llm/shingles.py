@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WIDTH = 5
-_CHUNK_BYTES = 2 * 1024 * 1024
+_CHUNK_BYTES = 512 * 1024
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _random.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each word of ``data``."""
     raw = np.frombuffer(data, dtype=np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -68,14 +68,21 @@ def _of_words(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def arrow_bytes(column) -> Iterator[bytes | None]:
+    """The texts of an Arrow column, one at a time."""
+    for value in column:
+        yield value.as_buffer().to_pybytes() if value.is_valid else None
+
+
 def shingle_sets(texts, width: int = WIDTH) -> Iterator[np.ndarray]:
-    """Per text the sorted distinct 64-bit hashes of its shingles, none for null."""
+    """Per text (UTF-8 bytes or str) the sorted distinct 64-bit hashes of its
+    shingles, none for null.  A few texts are held at a time."""
     pending: list[bytes] = []
     size = 0
 
     def run():
         data = b" ".join(pending)
-        starts, hashes = _word_hashes(data)
+        starts, hashes = word_hashes(data)
         bounds = np.cumsum([0] + [len(t) + 1 for t in pending])
         cuts = np.searchsorted(starts, bounds)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -83,7 +90,9 @@ def shingle_sets(texts, width: int = WIDTH) -> Iterator[np.ndarray]:
 
     for text in texts:
         # Lower-cases A-Z only.
-        pending.append(b"" if text is None else text.encode("utf-8", "surrogatepass").lower())
+        if isinstance(text, str):
+            text = text.encode("utf-8", "surrogatepass")
+        pending.append(b"" if text is None else text.lower())
         size += len(pending[-1])
         if size > _CHUNK_BYTES:
             yield from run()
