@@ -31,7 +31,9 @@ def _width(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.StringType | T.BinaryType):
         return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
     if isinstance(field.dataType, T.ArrayType):
-        return 8 * F.greatest(F.coalesce(F.size(field.name), F.lit(0)), F.lit(0)) + 16
+        small = isinstance(field.dataType.elementType, T.IntegerType | T.FloatType)
+        size = F.greatest(F.coalesce(F.size(field.name), F.lit(0)), F.lit(0))
+        return (4 if small else 8) * size + 16
     return F.lit(16)
 
 
