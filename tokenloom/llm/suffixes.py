@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ from .shingles import mix
 
 LENGTH = 50
 GRAM = 16
-_BLOCK_BYTES = 1 << 20
+_BLOCK_BYTES = 1 << 18
+_ROWS = 20_000
 _PIECE = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
 _LAST_DOC = (1 << 63) - 1
@@ -87,50 +89,68 @@ def anchor_ranges(raw: np.ndarray, length: int, gram: int):
     return anchors[first], hashes[first], first, last
 
 
-def _anchors(batches: Iterator[pd.DataFrame], length: int, gram: int) -> Iterator[pd.DataFrame]:
+def _bytes(value) -> np.ndarray:
+    """A text without a copy of it."""
+    return np.frombuffer(value.as_buffer(), dtype=np.uint8)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, docs, places = [], [], []
-        for doc, text in zip(batch.doc, batch.text, strict=True):
-            anchor, hashed, _, _ = anchor_ranges(np.frombuffer(text, dtype=np.uint8), length, gram)
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            anchor, hashed, _, _ = anchor_ranges(_bytes(text), length, gram)
             keys.append(hashed.view(np.int64))
-            places.append(anchor)
+            places.append(anchor.astype(np.int32))
             docs.append(np.full(len(anchor), doc, dtype=np.int64))
         if keys:
-            yield pd.DataFrame(
-                {
-                    "key": np.concatenate(keys),
-                    "doc": np.concatenate(docs),
-                    "place": np.concatenate(places),
-                }
-            )
+            columns = [pa.array(np.concatenate(c)) for c in (keys, docs, places)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "place"])
 
 
 _CONTEXT = "key bigint, context binary, doc bigint, text_key bigint, start bigint, anchor int"
 
 
-def _contexts(batches: Iterator[pd.DataFrame], length: int, gram: int) -> Iterator[pd.DataFrame]:
+_ARROW_CONTEXT = pa.schema(
+    [
+        ("key", pa.int64()),
+        ("context", pa.binary()),
+        ("doc", pa.int64()),
+        ("text_key", pa.int64()),
+        ("start", pa.int64()),
+        ("anchor", pa.int32()),
+    ]
+)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The contexts of the anchors that were found to be shared."""
-    names = [c.split()[0] for c in _CONTEXT.split(", ")]
+    columns: list[list] = [[] for _ in _ARROW_CONTEXT]
+
+    def flush() -> pa.RecordBatch:
+        made = [pa.array(c, f.type) for c, f in zip(columns, _ARROW_CONTEXT, strict=True)]
+        for c in columns:
+            c.clear()
+        return pa.RecordBatch.from_arrays(made, schema=_ARROW_CONTEXT)
+
     for batch in batches:
-        rows = []
-        for doc, text_key, text, shared in zip(
-            batch.doc, batch.text_key, batch.text, batch.places, strict=True
+        docs, text_keys = (batch.column(i).to_pylist() for i in range(2))
+        for doc, text_key, value, places in zip(
+            docs, text_keys, batch.column(2), batch.column(3), strict=True
         ):
-            raw = np.frombuffer(text, dtype=np.uint8)
+            raw = _bytes(value)
             anchor, hashed, first, last = anchor_ranges(raw, length, gram)
+            shared = places.values.to_numpy(zero_copy_only=False)
             take = np.isin(anchor, shared, kind="sort")
-            for a, key, f, t in zip(
-                anchor[take].tolist(),
-                hashed[take].view(np.int64).tolist(),
-                first[take].tolist(),
-                last[take].tolist(),
-                strict=True,
-            ):
-                rows.append((key, text[f : t + length], doc, text_key, f, a - f))
-            if len(rows) > 200_000:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-        yield pd.DataFrame(rows, columns=names)
+            starts, stops = first[take], last[take] + length
+            columns[0] += hashed[take].view(np.int64).tolist()
+            columns[1] += [raw[f:t].tobytes() for f, t in zip(starts.tolist(), stops.tolist(), strict=True)]
+            columns[2] += [doc] * len(starts)
+            columns[3] += [text_key] * len(starts)
+            columns[4] += starts.tolist()
+            columns[5] += (anchor[take] - starts).tolist()
+            if len(columns[0]) > _ROWS:
+                yield flush()
+    yield flush()
 
 
 class _Block:
@@ -265,8 +285,8 @@ def repeated_spans(
     firsts = marked.filter(~F.col("copy") & (F.octet_length("text") >= length))
 
     by_key = W.partitionBy("key")
-    anchors = firsts.select("doc", "text").mapInPandas(
-        lambda batches: _anchors(batches, length, gram), "key bigint, doc bigint, place bigint"
+    anchors = firsts.select("doc", "text").mapInArrow(
+        lambda batches: _anchors(batches, length, gram), "key bigint, doc bigint, place int"
     )
     shared = (
         anchors.withColumns({"least": F.min("doc").over(by_key), "most": F.max("doc").over(by_key)})
@@ -278,7 +298,7 @@ def repeated_spans(
         "shared_anchors",
     )
     followed = lookup_join(firsts.select("doc", "text_key", "text"), places, ["doc"], "inner")
-    contexts = followed.select("doc", "text_key", "text", "places").mapInPandas(
+    contexts = followed.select("doc", "text_key", "text", "places").mapInArrow(
         lambda batches: _contexts(batches, length, gram), _CONTEXT
     )
     ranges = (
@@ -289,20 +309,20 @@ def repeated_spans(
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["spans"] = [_merge(r) for r in batch.ranges]
+            batch["spans"] = [np.array(_merge(r), dtype=np.int32) for r in batch.ranges]
             yield batch[["doc", "text_key", "spans"]]
 
     packed = F.shiftleft("from", 32).bitwiseOR(F.col("to"))
     spans = stage(
         ranges.groupBy("doc", "text_key")
         .agg(F.collect_list(packed).alias("ranges"))
-        .mapInPandas(merged, "doc bigint, text_key bigint, spans array<bigint>"),
+        .mapInPandas(merged, "doc bigint, text_key bigint, spans array<int>"),
         "spans",
     )
     found = lookup_join(marked, spans, ["doc", "text_key"], "left")
-    n = F.octet_length("text").cast("bigint")
-    none = F.array().cast("array<bigint>")
-    whole = F.when(n >= length, F.array(F.lit(0).cast("bigint"), n)).otherwise(none)
+    n = F.octet_length("text")
+    none = F.array().cast("array<int>")
+    whole = F.when(n >= length, F.array(F.lit(0), n)).otherwise(none)
     return found.select(
         *[F.col(f"_in_{c}").alias(c) for c in carry],
         F.col("text").alias("_text"),
@@ -329,21 +349,22 @@ def span_report(
     """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` per row of ``docs``."""
     found = repeated_spans(docs.withColumn("_id", F.col(id_col).cast("bigint")), id_col, text_col, length, gram, ["_id"])
 
-    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [_kept(t, s) for t, s in zip(batch["_text"], batch["_spans"], strict=True)]
-            size = batch["_text"].map(len)
-            yield pd.DataFrame(
-                {
-                    "id": batch["_id"].astype("Int64"),
-                    "n_bytes": size,
-                    "n_removed": size - [len(k) for k in kept],
-                    "n_spans": [len(s) // 2 for s in batch["_spans"]],
-                    "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
-                }
-            )
-
-    return found.mapInPandas(
+            rows = []
+            for value, spans in zip(batch.column("_text"), batch.column("_spans").to_pylist(), strict=True):
+                text, digest, removed, at = memoryview(value.as_buffer()), hashlib.sha256(), 0, 0
+                for begin, end in zip(spans[::2], spans[1::2], strict=True):
+                    digest.update(text[at:begin])
+                    removed, at = removed + end - begin, end
+                digest.update(text[at:])
+                rows.append((len(text), removed, len(spans) // 2, digest.hexdigest()))
+            columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else []
+            if rows:
+                names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), *columns], ["id", *names])
+
+    return found.mapInArrow(
         report, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     ).withColumnRenamed("id", id_col)
 
