@@ -3,8 +3,8 @@
 A text is cut into the pieces whose scores sum highest, by a streaming Viterbi search: a window of
 boundaries no longer than the longest piece is kept, and ids are committed whenever all surviving
 paths meet in one boundary, so memory does not grow with the text.  Two kinds of meeting points follow from the vocabulary alone and
-are found when it is loaded: before a word mark, if no piece has one inside, and around characters that no
-longer piece holds.  What lies between them is searched once and remembered, up to a bounded number.
+are found when it is loaded: before a word mark, if no piece has one inside, around a line end if no longer
+piece holds one, and between a letter or digit and a sign that no piece has in that order.  What lies between them is searched once and remembered, up to a bounded number.
 
 Blanks become word marks, one mark is put in front, and characters without a piece become bytes.  A mark
 that the text itself holds is written as bytes, so decoding restores every text exactly.  Equal sums go to
@@ -19,17 +19,18 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import types as T
 
 MARK = "▁"
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _LONGEST_REMEMBERED = 48
+_ROWS = 256
 
 
 class _Remembered(dict):
@@ -78,7 +79,11 @@ class Pieces:
         if marked:
             self.chunks = re.compile("(?s).+")
         else:
-            self.chunks = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" + ("|\n" if apart else ""))
+            pairs = {p[i : i + 2] for p in self.of for i in range(len(p) - 1)}
+            signs = "".join(c for c in ".,;:!?" if not any(x[1] == c and x[0].isalnum() for x in pairs))
+            word = f"{MARK}*[^\\W_]+(?=[{signs}])|" if signs else ""
+            rest = f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" + ("|\n" if apart else "")
+            self.chunks = re.compile(word + rest)
         self.remembered = _Remembered(self)
 
     @classmethod
@@ -206,27 +211,61 @@ def vocabulary(model: str) -> Pieces:
     return _loaded[model]
 
 
-def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
-    """Add ``out``: the ids of each text."""
+def _added(df: DataFrame, read: str, added: dict[str, tuple[T.DataType, pa.DataType]], values) -> DataFrame:
+    """``df`` with columns made by ``values(cell)`` from the column ``read``.
 
-    @pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        pieces = vocabulary(model)
-        return pd.Series(
-            [None if t is None else pieces.encode(t) for t in texts], dtype=object
-        )
+    A few rows are worked on at a time, so that long texts do not add up.
+    """
+    names = [c for c in df.columns if c not in added]
+    at = df.columns.index(read)
+    kinds = [kind for _, kind in added.values()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(start, _ROWS)
+                made = [values(cell) for cell in part.column(at)]
+                columns = [part.column(batch.schema.get_field_index(c)) for c in names]
+                columns += [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+
+    fields = [df.schema[c] for c in names]
+    schema = T.StructType(fields)
+    for name, (spark_type, _) in added.items():
+        schema = schema.add(name, spark_type)
+    return df.mapInArrow(work, schema)
 
-    return docs.withColumn(out, ids(F.col(text_col)))
+
+_IDS = (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))
+
+
+def _coded(cell, model: str) -> np.ndarray | None:
+    text = cell.as_py()
+    return None if text is None else vocabulary(model).encode(text)
+
+
+def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
+    """Add ``out``: the ids of each text."""
+    return _added(docs, text_col, {out: _IDS}, lambda cell: (_coded(cell, model),))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", out: str = "text", model: str = MODEL) -> DataFrame:
     """Add ``out``: the text of each id array."""
 
-    @pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
-        pieces = vocabulary(model)
-        return pd.Series(
-            [None if i is None else pieces.decode(i) for i in ids], dtype=object
-        )
+    def text(cell):
+        if not cell.is_valid:
+            return (None,)
+        return (vocabulary(model).decode(cell.values.to_numpy(zero_copy_only=False)),)
+
+    return _added(rows, ids_col, {out: (T.StringType(), pa.string())}, text)
+
+
+def encode_checked(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
+    """Add ``ids`` and ``round_trip``: whether the ids decode to the text, in one pass."""
+
+    def both(cell):
+        ids = _coded(cell, model)
+        back = None if ids is None else vocabulary(model).decode(ids)
+        return ids, back == cell.as_py()
 
-    return rows.withColumn(out, text(F.col(ids_col)))
+    return _added(docs, text_col, {"ids": _IDS, "round_trip": (T.BooleanType(), pa.bool_())}, both)
