@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,15 @@ from ..plans.staging import new_path
 from . import exact, licenses, lines, mixing, ngrams, pieces, quality, suffixes, urls, warc
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package, wherever the driver was
+    started; on a cluster the package is shipped with the application."""
+    root = str(Path(__file__).resolve().parents[2])
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    make_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
