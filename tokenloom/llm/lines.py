@@ -6,12 +6,17 @@ corpus, and two lines with a Jaccard similarity of 0.8 or more share one of thei
 their lengths and the places of that word still allow the similarity, and then verified on their full sets.
 A line is removed when an earlier line, by (doc_id, line number), matches it; all lines are judged on the input.
 
-Equal sets are collapsed first.  A line only needs one earlier match, so it is first compared with the earliest
-line under each of its words, then with the next few, and only lines without a match by then with all others.
-Lines that vary one common original, however many, thus meet a few of them and not each other.
+Equal sets are collapsed first.  The sets under one word are compared in corpus order, each with the ones
+before it, nearest first; a 128-bit parity sketch of each set, whose Hamming distance never exceeds the symmetric
+difference, rules out most pairs.  A line needs one match only, so a line stops after a few possible ones; where those fail the
+verification it is looked up again without that limit.  Lines that vary one common original, however many, thus meet a few of
+them and not each other.
 
-The rank of a word is that of its hash bucket among ``2 ** RANK_BITS``; the ranks are a fixed number of integers and
-travel with the plan.  Rank and the rest of the hash together are the word's 64-bit id.
+The rank of a word is that of its hash cell among ``2 ** RANK_BITS`` by the count of the cell over all texts, rarest
+first; the table of ranks has a fixed size.  Rank and the rest of the hash together are the word's 64-bit id.
+
+Words are hashed, ranked and compared with numpy on batches.  The same in DataFrame functions needed about
+four times the CPU time this operator may take, and more disk; Spark deals, sorts, joins and counts.
 
 Defined results: null text has no lines and stays null; lines without words are never removed; a null doc_id comes
 after all others; rows that share a doc_id and a text are judged alike; text without its removed lines may be
@@ -20,114 +25,320 @@ empty, the row stays; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lookup import lookup_join
 from ..plans.staging import stage
-from .text import SPACES, let, words
+from .shingles import mix, word_hashes
+from .text import let
 
 THRESHOLD = (80, 100)
-RANK_BITS = 13
-_REST_BITS = 64 - RANK_BITS
-_FIRST_LOOK, _SECOND_LOOK = 1, 8
+RANK_BITS = 22
+_BLOCK_BITS = 16
+_REST_BITS = np.uint64(64 - RANK_BITS)
+_FIRST_LOOK = 4
+_ROWS = 100_000
 _LAST_DOC = (1 << 63) - 1
+_CHUNK_BYTES = 512 * 1024
+
+_LINE = "doc bigint, text_key bigint, line_no int, k1 bigint, k2 bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>"
+_ARROW_LINE = pa.schema(
+    [
+        ("doc", pa.int64()),
+        ("text_key", pa.int64()),
+        ("line_no", pa.int32()),
+        ("k1", pa.int64()),
+        ("k2", pa.int64()),
+        ("n", pa.int32()),
+        ("s1", pa.int64()),
+        ("s2", pa.int64()),
+        ("prefix", pa.list_(pa.int64())),
+    ]
+)
+
+
+_SET = "doc bigint, line_no int, k1 bigint, k2 bigint, tokens array<bigint>"
+_ARROW_SET = pa.schema([f for f in _ARROW_LINE if f.name not in ("text_key", "n", "s1", "s2", "prefix")]).append(
+    pa.field("tokens", pa.list_(pa.int64()))
+)
+_PLACED = ["word", "doc", "line_no", "n", "pos", "s1", "s2"]
+_PAIR = "doc bigint, line_no int, other_doc bigint, other_line int"
+_ARROW_PAIR = pa.schema(
+    [("doc", pa.int64()), ("line_no", pa.int32()), ("other_doc", pa.int64()), ("other_line", pa.int32())]
+)
+
+
+def _lowered(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass")
+
+
+def _chunks(docs, texts) -> Iterator[tuple[list, list[bytes]]]:
+    """Texts in groups that bound the memory; null texts are left out."""
+    ids, held, size = [], [], 0
+    for doc, text in zip(docs, texts, strict=False):
+        if text is None:
+            continue
+        ids.append(doc)
+        held.append(_lowered(text))
+        size += len(held[-1])
+        if size > _CHUNK_BYTES:
+            yield ids, held
+            ids, held, size = [], [], 0
+    if held:
+        yield ids, held
+
+
+def _texts(column) -> Iterator[str | None]:
+    """The texts of an Arrow column, one at a time."""
+    return (value.as_py() for value in column)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words per hash cell of one task, as one row per block of cells."""
+    counts = np.zeros(1 << RANK_BITS, dtype=np.int64)
+    cells: list[np.ndarray] = []
+
+    def add():
+        if cells:
+            counts[:] += np.bincount(np.concatenate(cells), minlength=len(counts))
+            cells.clear()
+
+    for batch in batches:
+        texts = _texts(batch.column(0))
+        for _, held in _chunks(itertools.repeat(0), texts):
+            cells.append((word_hashes(b"\n".join(held))[1] >> _REST_BITS).astype(np.int32))
+            if sum(map(len, cells)) > len(counts) // 2:
+                add()
+    add()
+    blocks = counts.reshape(-1, 1 << _BLOCK_BITS)
+    for i, block in enumerate(blocks):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["block", "counts"]
+        )
 
 
-def _bucket(token_hash: Column) -> Column:
-    return F.shiftrightunsigned(token_hash, _REST_BITS).cast("int")
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of the blocks in one partition; it sees each of its blocks from all tasks."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.block, batch.counts, strict=True):
+            found = np.frombuffer(counts, dtype=np.int64)
+            totals[block] = totals[block] + found if block in totals else found
+    yield pd.DataFrame(
+        {"block": list(totals), "counts": [t.tobytes() for t in totals.values()]}
+    ).astype({"block": "int32"})
 
 
-def word_ranks(docs: DataFrame, text_col: str) -> Column:
-    """An array literal: the rank of each bucket, rarest first, centred on zero."""
+def cell_ranks(docs: DataFrame) -> np.ndarray:
+    """The rank of each cell, rarest first: ``2 ** RANK_BITS`` numbers, whatever the corpus."""
+    schema = "block int, counts binary"
     counted = (
-        docs.select(F.explode(F.split(F.lower(F.col(text_col)), SPACES)).alias("word"))
-        .groupBy(_bucket(F.xxhash64("word")).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        docs.select("text").mapInArrow(_cell_counts, schema)
+        .repartition(16, "block")
+        .mapInPandas(_summed, schema)
+        .collect()  # 2 ** RANK_BITS counts in all
     )
-    size = 1 << RANK_BITS
-    counts = [0] * size
-    for row in counted.collect():  # at most 2 ** RANK_BITS rows
-        counts[row.bucket] = row.n
-    ranks = [0] * size
-    for rank, bucket in enumerate(sorted(range(size), key=lambda b: (counts[b], b))):
-        ranks[bucket] = rank - size // 2
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
-
-
-def _token(ranks: Column):
-    rest = F.lit((1 << _REST_BITS) - 1)
-
-    def of(word: Column) -> Column:
-        hashed = F.xxhash64(word)
-        rank = F.element_at(ranks, _bucket(hashed) + 1).cast("bigint")
-        return F.shiftleft(rank, _REST_BITS).bitwiseOR(hashed.bitwiseAND(rest))
-
-    return of
-
-
-def _tokens(line: Column, ranks: Column) -> Column:
-    """Distinct word ids of a line, rarest first."""
-    return F.sort_array(F.array_distinct(F.transform(words(line), _token(ranks))))
-
-
-def _prefix(tokens: Column, threshold: tuple[int, int]) -> Column:
+    counts = np.zeros((1 << (RANK_BITS - _BLOCK_BITS), 1 << _BLOCK_BITS), dtype=np.int64)
+    for row in counted:
+        counts[row.block] += np.frombuffer(row.counts, dtype=np.int64)
+    ranks = np.empty(1 << RANK_BITS, dtype=np.uint32)
+    ranks[np.argsort(counts.ravel(), kind="stable")] = np.arange(1 << RANK_BITS, dtype=np.uint32)
+    return ranks
+
+
+def _line_sets(held: list[bytes], ranks: np.ndarray):
+    """``(line, ids)``: distinct word ids by line, rarest first; lines count through all texts."""
+    data = b"\n".join(held)
+    starts, hashes = word_hashes(data)
+    breaks = np.cumsum(np.frombuffer(data, dtype=np.uint8) == 10)
+    line = breaks[starts]
+    low = hashes & ((np.uint64(1) << _REST_BITS) - np.uint64(1))
+    ids = (ranks[(hashes >> _REST_BITS).astype(np.int64)].astype(np.uint64) << _REST_BITS) | low
+    order = np.lexsort((ids, line))
+    line, ids = line[order], ids[order]
+    fresh = np.ones(len(ids), dtype=bool)
+    fresh[1:] = (line[1:] != line[:-1]) | (ids[1:] != ids[:-1])
+    return line[fresh], ids[fresh]
+
+
+def _signed(ids: np.ndarray) -> np.ndarray:
+    return ids.view(np.int64)
+
+
+def _set_keys(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set."""
+    one = np.add.reduceat(mix(ids ^ np.uint64(0x8EBC6AF09C88C6E3)), first)
+    two = np.add.reduceat(mix(ids + np.uint64(0x589965CC75374CC3)), first)
+    return _signed(mix(one)), _signed(mix(two))
+
+
+def _sketches(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The XOR of one of 128 bits per word, as two numbers."""
+    place = mix(ids ^ np.uint64(0x1D8E4E27C47D124F)) >> np.uint64(57)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    low = place < 64
+    return [
+        _signed(np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), first)) for half in (low, ~low)
+    ]
+
+
+def _line_rows(batches, ranks, threshold) -> Iterator[pa.RecordBatch]:
     part, whole = threshold
-    n = F.size(tokens)
-    return F.slice(tokens, 1, n - F.ceil(n * part / whole).cast("int") + 1)
-
-
-def _line_table(docs: DataFrame, ranks: Column, threshold) -> DataFrame:
-    """One row per line with words: place, 128-bit key of its set, size, prefix."""
-    split = docs.select(
-        "doc", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line")
-    )
-    sets = split.select("doc", "line_no", _tokens(F.col("line"), ranks).alias("tokens"))
-    return sets.filter(F.size("tokens") > 0).select(
-        "doc",
-        "line_no",
-        F.xxhash64("tokens").alias("k1"),
-        F.xxhash64(F.lit(1), "tokens").alias("k2"),
-        F.size("tokens").alias("n"),
-        _prefix(F.col("tokens"), threshold).alias("prefix"),
-    )
-
-
-def _may_match(threshold, a_n: Column, a_pos: Column, b_n: Column, b_pos: Column) -> Column:
-    """Length and positional filters for two sets that share the word at these places."""
+    for batch in batches:
+        docs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for ids_of, held in _chunks(docs, _texts(batch.column(2))):
+            line, ids = _line_sets(held, ranks.value)
+            if not len(line):
+                continue
+            first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+            n = np.diff(np.append(first, len(line)))
+            k1, k2 = _set_keys(ids, first)
+            size = n - -(-n * part // whole) + 1
+            stops = np.cumsum(size)
+            places = np.arange(stops[-1]) + np.repeat(first - (stops - size), size)
+            # Lines of the texts before come first.
+            lines_to = np.cumsum([t.count(b"\n") + 1 for t in held])
+            of = np.searchsorted(lines_to, line[first], side="right")
+            before = np.append(0, lines_to)[of]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[pa.array(c[of]) for c in np.array(ids_of, dtype=np.int64).T],
+                    pa.array((line[first] - before).astype(np.int32)),
+                    pa.array(k1),
+                    pa.array(k2),
+                    pa.array(n.astype(np.int32)),
+                    *map(pa.array, _sketches(ids, first)),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.append(0, stops).astype(np.int32)), pa.array(_signed(ids[places]))
+                    ),
+                ],
+                schema=_ARROW_LINE,
+            )
+
+
+def _wanted_sets(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
+    """The full sets of the lines asked for."""
+    for batch in batches:
+        rows = []
+        docs = batch.column(0).to_pylist()
+        for doc, text, wanted in zip(docs, _texts(batch.column(1)), _texts(batch.column(2)), strict=True):
+            lines = _lowered(text).split(b"\n")
+            asked = [w for w in wanted if w < len(lines)]
+            line, ids = _line_sets([lines[w] for w in asked], ranks.value) if asked else ([], [])
+            if not len(line):
+                continue
+            first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+            k1, k2 = (k.tolist() for k in _set_keys(ids, first))
+            for at, one, two, tokens in zip(
+                line[first].tolist(), k1, k2, np.split(_signed(ids), first[1:]), strict=True
+            ):
+                rows.append((doc, asked[at], one, two, tokens))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_ARROW_SET)
+        made = [pa.array(c, f.type) for c, f in zip(columns, _ARROW_SET, strict=True)]
+        yield pa.RecordBatch.from_arrays(made, schema=_ARROW_SET)
+
+
+def _near(rows: dict[str, np.ndarray], threshold, look: int):
+    """``(later, earlier, unsure)``: places in ``rows``, which are sorted by word and corpus order.
+
+    Of each row the nearest ``look`` rows before it under its word that the filters let pass;
+    ``unsure`` are the rows that stopped there though there are more.
+    """
     part, whole = threshold
-    sizes = F.least(a_n, b_n) * whole >= F.greatest(a_n, b_n) * part
-    at_most = 1 + F.least(a_n - a_pos - 1, b_n - b_pos - 1)
-    # The words before the shared one may be shared as well.
-    at_most = at_most + F.least(a_pos, b_pos)
-    return sizes & (at_most * (whole + part) >= (a_n + b_n) * part)
-
+    word, doc, line, n, pos, s1, s2 = (rows[c] for c in _PLACED)
+    taken = np.zeros(len(word), dtype=np.int64)
+    later, earlier, unsure = [], [], []
+    open_, back = np.arange(len(word)), 1
+    while True:
+        open_ = open_[open_ >= back]
+        open_ = open_[word[open_] == word[open_ - back]]
+        if not len(open_):
+            break
+        full = taken[open_] >= look
+        unsure.append(open_[full])
+        a = open_ = open_[~full]
+        b = a - back
+        at_most = np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b])
+        apart = np.bitwise_count(s1[a] ^ s1[b]).astype(np.int64) + np.bitwise_count(s2[a] ^ s2[b])
+        both = n[a] + n[b]
+        passes = (
+            (np.minimum(n[a], n[b]) * whole >= np.maximum(n[a], n[b]) * part)
+            & (at_most * (whole + part) >= both * part)
+            & (apart * (whole + part) <= both * (whole - part))
+            & ((doc[a] != doc[b]) | (line[a] != line[b]))
+        )
+        later.append(a[passes])
+        earlier.append(b[passes])
+        taken[a[passes]] += 1
+        back += 1
+    none = [np.zeros(0, dtype=np.int64)]
+    return tuple(np.concatenate(parts or none) for parts in (later, earlier, unsure))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], threshold, look: int) -> Iterator[pa.RecordBatch]:
+    """Pairs to verify, from rows sorted by word; without another line for rows that are unsure."""
+    held: list[pa.RecordBatch] = []
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        rows = {c: table.column(c).to_numpy() for c in _PLACED}
+        rows |= {c: rows[c].astype(np.int64) for c in ("n", "pos")}
+        rows |= {c: rows[c].view(np.uint64) for c in ("s1", "s2")}
+        later, earlier, unsure = _near(rows, threshold, look)
+        own = np.concatenate((later, unsure))
+        other = np.concatenate((earlier, unsure))
+        lacks = np.arange(len(own)) >= len(later)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(rows["doc"][own]),
+                pa.array(rows["line_no"][own]),
+                pa.array(rows["doc"][other], mask=lacks),
+                pa.array(rows["line_no"][other], mask=lacks),
+            ],
+            schema=_ARROW_PAIR,
+        )
 
-def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, ranks: Column, threshold):
-    """The ``sid`` of the pairs ``(sid, other)`` whose full sets are similar enough."""
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            word = table.column("word").to_numpy()
+            # The last word may go on in the next batch.
+            cut = int(np.searchsorted(word, word[-1]))
+            held = table.slice(cut).to_batches()
+            yield compare(table.slice(0, cut))
+    if held:
+        yield compare(pa.Table.from_batches(held))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, ranks, threshold) -> DataFrame:
+    """``(doc, line_no, k1, k2)`` of the lines whose full sets match that of an earlier line."""
     part, whole = threshold
-    wanted = pairs.select(F.explode(F.array("sid", "other")).alias("sid")).distinct()
-    places = (
-        firsts.join(wanted, "sid", "left_semi")
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("sid", "line_no", "k1", "k2")).alias("wanted"))
+    here, there = ["doc", "line_no"], ["other_doc", "other_line"]
+    wanted = pairs.select(*here).unionByName(
+        pairs.select(*[F.col(t).alias(h) for h, t in zip(here, there, strict=True)])
     )
-    found = lookup_join(docs, stage(places, "wanted_lines"), ["doc"], "inner")
-    one = found.select(F.split(F.lower("text"), "\n").alias("lines"), F.explode("wanted").alias("w"))
-    sets = one.select(
-        "w.*", _tokens(F.get("lines", F.col("w.line_no")), ranks).alias("tokens")
-    ).filter(
-        # Rows of one doc_id may differ.
-        (F.xxhash64("tokens") == F.col("k1")) & (F.xxhash64(F.lit(1), "tokens") == F.col("k2"))
+    places = stage(
+        wanted.groupBy("doc").agg(F.collect_set("line_no").alias("wanted")), "wanted_lines"
     )
-    sets = stage(sets.select("sid", "tokens").dropDuplicates(["sid"]), "line_sets")
-    both = pairs.join(sets.withColumnRenamed("tokens", "a"), "sid").join(
-        sets.select(F.col("sid").alias("other"), F.col("tokens").alias("b")), "other"
+    found = lookup_join(docs.filter(F.col("text").isNotNull()), places, ["doc"], "inner")
+    sets = found.select("doc", "text", "wanted").mapInArrow(
+        lambda batches: _wanted_sets(batches, ranks), _SET
     )
-    shared = F.size(F.array_intersect("a", "b"))
-    similar = shared * (whole + part) >= (F.size("a") + F.size("b")) * part
-    return both.filter(similar).select("sid").distinct()
+    sets = stage(sets.dropDuplicates(["doc", "line_no", "k1", "k2"]), "line_sets")
+    others = sets.select(
+        F.col("doc").alias("other_doc"), F.col("line_no").alias("other_line"), F.col("tokens").alias("b")
+    )
+    both = pairs.join(sets, here).join(others, there)
+    shared = F.size(F.array_intersect("tokens", "b"))
+    similar = shared * (whole + part) >= (F.size("tokens") + F.size("b")) * part
+    return both.filter(similar).select("doc", "line_no", "k1", "k2").distinct()
 
 
 def removed_lines(
@@ -136,78 +347,85 @@ def removed_lines(
     text_col: str = "text",
     threshold: tuple[int, int] = THRESHOLD,
 ) -> DataFrame:
-    """``(doc, line_no, k1, k2)`` of the lines that an earlier line matches; ``doc`` is the id, or the
-    largest number for a null id."""
+    """``(doc, text_key, line_no)`` of the lines that an earlier line matches; ``doc`` is the id, or the
+    largest number for a null id, and ``text_key`` the hash of the text."""
     docs = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST_DOC)).alias("doc"),
         F.col(text_col).alias("text"),
+        F.xxhash64(F.col(text_col)).alias("text_key"),
+    )
+    # 16 MB, the same for any corpus.
+    ranks = docs.sparkSession.sparkContext.broadcast(cell_ranks(docs))
+    lines = stage(
+        docs.select("doc", "text_key", "text").mapInArrow(
+            lambda batches: _line_rows(batches, ranks, threshold), _LINE
+        ),
+        "lines",
     )
-    ranks = word_ranks(docs, "text")
-    lines = stage(_line_table(docs, ranks, threshold), "lines")
 
-    # The first line of each set; ``sid`` numbers the sets in corpus order.
+    # Sets with several lines, and the first of those by corpus order.
     step = F.lit(1 << 32).cast("decimal(10,0)")
     at = F.col("doc").cast("decimal(20,0)") * step + F.col("line_no").cast("decimal(10,0)")
-    first = lines.groupBy("k1", "k2").agg(F.min(at).alias("at"))
-    numbered = stage(
-        first.orderBy("at").withColumn("sid", F.monotonically_increasing_id()), "numbered"
+    repeated = stage(
+        lines.groupBy("k1", "k2")
+        .agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("lines"))
+        .filter("lines > 1")
+        .select(
+            "k1",
+            "k2",
+            F.floor(F.col("at") / step).cast("bigint").alias("first_doc"),
+            F.pmod(F.col("at"), step).cast("int").alias("first_line"),
+        ),
+        "repeated_sets",
     )
-    firsts = numbered.select(
-        "k1",
-        "k2",
-        F.floor(F.col("at") / step).cast("bigint").alias("doc"),
-        F.pmod(F.col("at"), step).cast("int").alias("line_no"),
-        "sid",
-    )
-
-    # Words under which two sets or more are looked up.
-    placed = lines.join(firsts, ["k1", "k2", "doc", "line_no"]).select(
-        "sid", "n", F.posexplode("prefix").alias("pos", "word")
+    place, keys = ["doc", "line_no"], ["k1", "k2"]
+    earliest = (F.col("doc") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
+    firsts = lookup_join(lines.drop("text_key"), repeated, keys, "left").filter(
+        F.col("first_doc").isNull() | earliest
     )
-    by_word = W.partitionBy("word").orderBy("sid")
-    met = placed.withColumns(
-        {"nth": F.row_number().over(by_word), "next": F.lead("sid").over(by_word)}
-    ).filter("nth > 1 OR next IS NOT NULL")
-    met = stage(met.select("word", "sid", "n", "pos", "nth"), "shared_words")
-
-    gone = None
-    seen_to = 0
-    for look in (_FIRST_LOOK, _SECOND_LOOK, None):
-        near = (F.col("nth") > seen_to) & (F.lit(True) if look is None else F.col("nth") <= look)
-        earlier = met.filter(near).select(
-            "word",
-            F.col("sid").alias("other"),
-            F.col("n").alias("other_n"),
-            F.col("pos").alias("other_pos"),
-        )
-        later = met.filter(F.col("nth") > seen_to + 1)
-        if gone is not None:
-            later = lookup_join(later, gone, ["sid"], "left_anti")
-        possible = (F.col("other") < F.col("sid")) & _may_match(
-            threshold, F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos")
-        )
-        pairs = stage(
-            later.join(earlier, "word").filter(possible).select("sid", "other").distinct(),
+    placed = firsts.select(
+        F.posexplode("prefix").alias("pos", "word"), *place, "n", "s1", "s2"
+    ).select(*_PLACED)
+
+    matched = None
+    look = _FIRST_LOOK
+    while True:
+        compared = stage(
+            placed.repartition("word")
+            .sortWithinPartitions("word", *place)
+            .mapInArrow(lambda batches, look=look: _candidates(batches, threshold, look), _PAIR)
+            .distinct(),
             "line_pairs",
         )
-        matched = _verified(pairs, firsts, docs, ranks, threshold)
-        gone = stage(matched if gone is None else gone.unionByName(matched), "matched_lines")
-        seen_to = look
-
-    # Later lines of a set go, and its first one if the set has an earlier match.
-    matched = gone.distinct().withColumn("matched", F.lit(True))
-    sets = firsts.join(matched, "sid", "left").select(
-        "k1", "k2", F.col("doc").alias("first_doc"), F.col("line_no").alias("first_line"), "matched"
-    )
-    several = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("lines"))
-    open_sets = stage(
-        sets.join(several, ["k1", "k2"]).filter("lines > 1 OR matched").drop("lines"), "open_sets"
+        pairs = compared.filter(F.col("other_doc").isNotNull())
+        if matched is not None:
+            pairs = lookup_join(pairs, matched.select(*place).distinct(), place, "left_anti")
+        found = _verified(pairs, docs, ranks, threshold)
+        matched = stage(found if matched is None else matched.unionByName(found), "matched_lines")
+        if look > _FIRST_LOOK:
+            break
+        # Lines whose first possible matches all failed: with all others, under the same words.
+        unsure = compared.filter(F.col("other_doc").isNull()).select(*place)
+        unsure = stage(unsure.join(matched, place, "left_anti").distinct(), "unsure_lines")
+        if unsure.isEmpty():
+            break
+        words = stage(
+            lookup_join(placed, unsure, place, "left_semi").select("word").distinct(), "unsure_words"
+        )
+        placed, look = lookup_join(placed, words, ["word"], "left_semi"), 1 << 62
+
+    # Later lines of a set go, and its first one if that has an earlier match.
+    none = {"first_doc": F.lit(None).cast("bigint"), "first_line": F.lit(None).cast("int")}
+    open_sets = (
+        repeated.withColumn("matched", F.lit(False))
+        .unionByName(matched.select(*keys).withColumns(none | {"matched": F.lit(True)}))
+        .groupBy(*keys)
+        .agg(*[F.max(c).alias(c) for c in ("first_doc", "first_line", "matched")])
     )
-    found = lookup_join(lines.drop("prefix", "n"), open_sets, ["k1", "k2"], "inner")
-    earliest = (F.col("doc") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    return found.filter(F.col("matched").isNotNull() | ~earliest).select(
-        "doc", "line_no", "k1", "k2"
+    found = lookup_join(
+        lines.select(*keys, "text_key", *place), stage(open_sets, "open_sets"), keys, "inner"
     )
+    return found.filter(F.col("matched") | ~earliest).select("doc", "text_key", "line_no")
 
 
 def without_repeated_lines(
@@ -219,29 +437,32 @@ def without_repeated_lines(
     count_as: str | None = None,
 ) -> DataFrame:
     """``docs`` with ``out``: the text without the removed lines; ``count_as`` adds their number."""
-    gone = removed_lines(docs, id_col, text_col, threshold)
+    names = docs.columns
+    # Positions stand for names, so that no column of ``docs`` clashes.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    gone = removed_lines(plain, f"c{names.index(id_col)}", f"c{names.index(text_col)}", threshold)
     by_doc = stage(
-        gone.groupBy("doc").agg(F.collect_set("line_no").alias("_gone")), "removed_lines"
+        gone.groupBy("doc", "text_key").agg(F.collect_set("line_no").alias("gone")), "removed_lines"
     )
-    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST_DOC))
-    joined = lookup_join(docs.withColumn("doc", doc), by_doc, ["doc"], "left")
-    lines = F.split(F.col(text_col), "\n")
-    places = F.sequence(F.lit(0), F.size("_lines") - 1)
-    kept = F.array_except(places, F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(let(F.col("_lines"), lambda v: F.transform(kept, lambda i: F.get(v, i))), "\n")
+    doc = F.coalesce(doc_id.cast("bigint"), F.lit(_LAST_DOC))
+    keyed = plain.withColumns({"doc": doc, "text_key": F.xxhash64(text)})
+    joined = lookup_join(keyed, by_doc, ["doc", "text_key"], "left").withColumn(
+        "lines", F.split(text, "\n")
     )
-    result = joined.withColumn("_lines", lines).withColumn(out, text).drop("_lines", "doc")
-    if count_as:
-        number = F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint")
-        result = result.withColumn(count_as, F.when(F.col("_gone").isNull(), 0).otherwise(number).cast("bigint"))
-    return result.drop("_gone")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    left = F.array_join(let(F.col("lines"), lambda v: F.transform(kept, lambda i: F.get(v, i))), "\n")
+    left = F.when(F.col("gone").isNull() | text.isNull(), text).otherwise(left)
+    number = F.coalesce(F.size("gone"), F.lit(0))
+    number = F.when(F.col("gone").isNull(), 0).otherwise(number).cast("bigint")
+    made = {out: left} | ({count_as: number} if count_as else {})
+    columns = [F.col(f"c{i}") if n not in made else made[n] for i, n in enumerate(names)]
+    added = [n for n in made if n not in names]
+    return joined.select(
+        *[c.alias(f"o{i}") for i, c in enumerate(columns)], *[made[n].alias(f"m{i}") for i, n in enumerate(added)]
+    ).toDF(*names, *added)
 
 
 def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; all rows and columns stay."""
-    names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    doc_id, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
-    cleaned = without_repeated_lines(plain, doc_id, text, out=text, **settings)
-    return cleaned.select(*plain.columns).toDF(*names)
+    return without_repeated_lines(docs, **settings)
