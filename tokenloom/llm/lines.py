@@ -9,7 +9,7 @@ A line is removed when an earlier line, by (doc_id, line number), matches it; al
 Equal sets are collapsed first.  The sets under one word are compared in corpus order, each with the ones
 before it, nearest first; a 128-bit parity sketch of each set, whose Hamming distance never exceeds the symmetric
 difference, rules out most pairs.  A line needs one match only, so a line stops after a few possible ones; where those fail the
-verification it is looked up again without that limit.  Lines that vary one common original, however many, thus meet a few of
+verification it is looked up again with more of them, and so on while there are any.  Lines that vary one common original, however many, thus meet a few of
 them and not each other.
 
 The rank of a word is that of its hash cell among ``2 ** RANK_BITS`` by the count of the cell over all texts, rarest
@@ -43,7 +43,7 @@ THRESHOLD = (80, 100)
 RANK_BITS = 22
 _BLOCK_BITS = 16
 _REST_BITS = np.uint64(64 - RANK_BITS)
-_FIRST_LOOK = 4
+_FIRST_LOOK, _MORE = 2, 8
 _ROWS = 100_000
 _LAST_DOC = (1 << 63) - 1
 _CHUNK_BYTES = 512 * 1024
@@ -68,7 +68,7 @@ _SET = "doc bigint, line_no int, k1 bigint, k2 bigint, tokens array<bigint>"
 _ARROW_SET = pa.schema([f for f in _ARROW_LINE if f.name not in ("text_key", "n", "s1", "s2", "prefix")]).append(
     pa.field("tokens", pa.list_(pa.int64()))
 )
-_PLACED = ["word", "doc", "line_no", "n", "pos", "s1", "s2"]
+_PLACED = ["word", "doc", "line_no", "n", "pos", "s1", "s2", "open"]
 _PAIR = "doc bigint, line_no int, other_doc bigint, other_line int"
 _ARROW_PAIR = pa.schema(
     [("doc", pa.int64()), ("line_no", pa.int32()), ("other_doc", pa.int64()), ("other_line", pa.int32())]
@@ -245,17 +245,17 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(made, schema=_ARROW_SET)
 
 
-def _near(rows: dict[str, np.ndarray], threshold, look: int):
+def _near(rows: dict[str, np.ndarray], threshold, skip: int, look: int):
     """``(later, earlier, unsure)``: places in ``rows``, which are sorted by word and corpus order.
 
-    Of each row the nearest ``look`` rows before it under its word that the filters let pass;
-    ``unsure`` are the rows that stopped there though there are more.
+    Of each open row the nearest ``look`` rows before it under its word that the filters let pass,
+    without the first ``skip`` of them; ``unsure`` are the rows that stopped there though there are more.
     """
     part, whole = threshold
-    word, doc, line, n, pos, s1, s2 = (rows[c] for c in _PLACED)
+    word, doc, line, n, pos, s1, s2, is_open = (rows[c] for c in _PLACED)
     taken = np.zeros(len(word), dtype=np.int64)
     later, earlier, unsure = [], [], []
-    open_, back = np.arange(len(word)), 1
+    open_, back = np.flatnonzero(is_open), 1
     while True:
         open_ = open_[open_ >= back]
         open_ = open_[word[open_] == word[open_ - back]]
@@ -274,23 +274,26 @@ def _near(rows: dict[str, np.ndarray], threshold, look: int):
             & (apart * (whole + part) <= both * (whole - part))
             & ((doc[a] != doc[b]) | (line[a] != line[b]))
         )
-        later.append(a[passes])
-        earlier.append(b[passes])
+        fresh = passes & (taken[a] >= skip)
+        later.append(a[fresh])
+        earlier.append(b[fresh])
         taken[a[passes]] += 1
         back += 1
     none = [np.zeros(0, dtype=np.int64)]
     return tuple(np.concatenate(parts or none) for parts in (later, earlier, unsure))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], threshold, look: int) -> Iterator[pa.RecordBatch]:
+def _candidates(
+    batches: Iterator[pa.RecordBatch], threshold, skip: int, look: int
+) -> Iterator[pa.RecordBatch]:
     """Pairs to verify, from rows sorted by word; without another line for rows that are unsure."""
     held: list[pa.RecordBatch] = []
 
     def compare(table: pa.Table) -> pa.RecordBatch:
-        rows = {c: table.column(c).to_numpy() for c in _PLACED}
+        rows = {c: table.column(c).to_numpy(zero_copy_only=False) for c in _PLACED}
         rows |= {c: rows[c].astype(np.int64) for c in ("n", "pos")}
         rows |= {c: rows[c].view(np.uint64) for c in ("s1", "s2")}
-        later, earlier, unsure = _near(rows, threshold, look)
+        later, earlier, unsure = _near(rows, threshold, skip, look)
         own = np.concatenate((later, unsure))
         other = np.concatenate((earlier, unsure))
         lacks = np.arange(len(own)) >= len(later)
@@ -385,26 +388,24 @@ def removed_lines(
     )
     placed = firsts.select(
         F.posexplode("prefix").alias("pos", "word"), *place, "n", "s1", "s2"
-    ).select(*_PLACED)
-
+    )
+    compared_rows = placed.withColumn("open", F.lit(True))
     matched = None
-    look = _FIRST_LOOK
+    skip, look = 0, _FIRST_LOOK
     while True:
         compared = stage(
-            placed.repartition("word")
+            compared_rows.select(*_PLACED)
+            .repartition("word")
             .sortWithinPartitions("word", *place)
-            .mapInArrow(lambda batches, look=look: _candidates(batches, threshold, look), _PAIR)
+            .mapInArrow(
+                lambda batches, skip=skip, look=look: _candidates(batches, threshold, skip, look), _PAIR
+            )
             .distinct(),
             "line_pairs",
         )
-        pairs = compared.filter(F.col("other_doc").isNotNull())
-        if matched is not None:
-            pairs = lookup_join(pairs, matched.select(*place).distinct(), place, "left_anti")
-        found = _verified(pairs, docs, ranks, threshold)
+        found = _verified(compared.filter(F.col("other_doc").isNotNull()), docs, ranks, threshold)
         matched = stage(found if matched is None else matched.unionByName(found), "matched_lines")
-        if look > _FIRST_LOOK:
-            break
-        # Lines whose first possible matches all failed: with all others, under the same words.
+        # Lines whose possible matches all failed so far, and that have more of them.
         unsure = compared.filter(F.col("other_doc").isNull()).select(*place)
         unsure = stage(unsure.join(matched, place, "left_anti").distinct(), "unsure_lines")
         if unsure.isEmpty():
@@ -412,7 +413,10 @@ def removed_lines(
         words = stage(
             lookup_join(placed, unsure, place, "left_semi").select("word").distinct(), "unsure_words"
         )
-        placed, look = lookup_join(placed, words, ["word"], "left_semi"), 1 << 62
+        again = lookup_join(placed, words, ["word"], "left_semi")
+        marked = lookup_join(again, unsure.withColumn("open", F.lit(True)), place, "left")
+        compared_rows = marked.withColumn("open", F.coalesce("open", F.lit(False)))
+        skip, look = look, look * _MORE
 
     # Later lines of a set go, and its first one if that has an earlier match.
     none = {"first_doc": F.lit(None).cast("bigint"), "first_line": F.lit(None).cast("int")}
