@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lookup import lookup_join
-from ..plans.staging import stage
+from ..plans.staging import new_path, stage, temporary
 from .shingles import mix, word_hashes
 from .text import let
 
@@ -445,10 +445,14 @@ def without_repeated_lines(
     # Positions stand for names, so that no column of ``docs`` clashes.
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     doc_id, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
-    gone = removed_lines(plain, f"c{names.index(id_col)}", f"c{names.index(text_col)}", threshold)
-    by_doc = stage(
-        gone.groupBy("doc", "text_key").agg(F.collect_set("line_no").alias("gone")), "removed_lines"
-    )
+    spark = docs.sparkSession
+    path = new_path(spark, "removed_lines")
+    # Only the removed lines are kept of what is staged on the way.
+    with temporary(spark):
+        gone = removed_lines(plain, f"c{names.index(id_col)}", f"c{names.index(text_col)}", threshold)
+        by_doc = gone.groupBy("doc", "text_key").agg(F.collect_set("line_no").alias("gone"))
+        by_doc.write.parquet(path)
+    by_doc = spark.read.schema(by_doc.schema).parquet(path)
     doc = F.coalesce(doc_id.cast("bigint"), F.lit(_LAST_DOC))
     keyed = plain.withColumns({"doc": doc, "text_key": F.xxhash64(text)})
     joined = lookup_join(keyed, by_doc, ["doc", "text_key"], "left").withColumn(

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.lookup import lookup_join
-from ..plans.staging import stage
+from ..plans.staging import new_path, stage, temporary
 from .components import components
 from .shingles import WIDTH, arrow_bytes, mix, shingle_sets
 
@@ -239,6 +239,16 @@ def near_duplicates(
     threshold: tuple[int, int] = THRESHOLD,
 ) -> DataFrame:
     """``(id, n_shingles, component_id)`` per row of ``docs``."""
+    spark = docs.sparkSession
+    path = new_path(spark, "near_duplicates")
+    # Only the result is kept of what is staged on the way.
+    with temporary(spark):
+        found = _near_duplicates(docs, id_col, text_col, width, threshold)
+        found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, threshold) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     read = stage(texts.mapInArrow(lambda batches: _read(batches, width), _READ), "sketches")
     rows = read.filter(F.col("same").isNotNull())
