@@ -38,6 +38,54 @@ def test_scattered_words_are_no_license():
     assert scan("") == [] and scan(" ".join(words(3, 5000))) == []
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_words_before_a_notice_do_not_cut_it(name):
+    notice = licenses.normal_words(licenses.TEMPLATES[name])
+    for word in sorted(set(notice)):
+        for distance in range(2 * len(notice) + 1):
+            before = [word, *(f"g{i}" for i in range(distance))]
+            found = [f for f in scan(" ".join([*before, *notice, "after"])) if f[0] == name]
+            assert (name, 1.0, len(notice), distance + 1, distance + len(notice)) in found
+
+
+def test_the_fuller_notice_wins():
+    gpl = licenses.TEMPLATES["GPL-3.0"]
+    for distance in range(30):
+        best = max(scan(f"the {'x ' * distance}{gpl}"), key=lambda f: f[1])
+        assert best[:3] == ("GPL-3.0", 1.0, 12)
+
+
+def best_places(template, need, words, lo, hi):
+    """All windows of what is left, the best place first, then both sides of it."""
+    places = []
+    for start in range(lo, hi):
+        if words[start] in template:
+            pairs = licenses.align(template, words[start : min(start + 2 * len(template), hi)])
+            if len(pairs) >= need:
+                first, last = start + pairs[0][1], start + pairs[-1][1]
+                places.append((-len(pairs), last - first, start, first, last))
+    if not places:
+        return []
+    n, _, _, first, last = min(places)
+    left = best_places(template, need, words, lo, first)
+    return [*left, (first, last, -n), *best_places(template, need, words, last + 1, hi)]
+
+
+def test_places_are_those_of_a_brute_force():
+    rng, several = random.Random(4), 0
+    for _ in range(400):
+        template = [rng.choice("abcdefghijkl") for _ in range(rng.randrange(1, 10))]
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            text += [rng.choice("abcxyz") for _ in range(rng.randrange(8))]
+            text += [w for w in template if rng.random() < 0.9]
+        got = [f[3:] + f[2:3] for f in scan(" ".join(text), templates={"t": " ".join(template)})]
+        need = -(-800 * len(template) // 1000)
+        assert got == best_places(template, need, text, 0, len(text))
+        several += len(got) > 1
+    assert several > 50
+
+
 def common(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

@@ -5,6 +5,10 @@ every window of twice a template's length that can hold enough of its words, the
 sides anchor the alignment, the longest increasing run of them is taken, and the gaps are aligned the same
 way; equal words at both ends of a gap are matched first.  Coverage is the share of the template's words that is matched.
 
+Windows start at every word a template has.  The place with the most matched words counts first (of equal ones
+the shortest, then the one whose window starts first); then the next best in what is left before and after it,
+with windows that end where a found place starts.
+
 Skipped without alignment are only windows and texts that lack so many of a template's words
 that the coverage asked for cannot be reached.
 
@@ -14,9 +18,9 @@ template, then the first by name, is the best; rows may repeat; other columns ar
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect, bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -100,6 +104,63 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _windows(vocab: Counter, width: int, need: int, words: list[str]) -> list[tuple[int, int]]:
+    """``(start, words it may match)`` of the windows that can hold enough."""
+    hits = [i for i, w in enumerate(words) if w in vocab]
+    inside: Counter = Counter()
+    out, have, upto = [], 0, 0
+    for k, start in enumerate(hits):
+        if k:
+            gone = words[hits[k - 1]]
+            inside[gone] -= 1
+            have -= inside[gone] < vocab[gone]
+        while upto < len(hits) and hits[upto] < start + width:
+            come = words[hits[upto]]
+            have += inside[come] < vocab[come]
+            inside[come] += 1
+            upto += 1
+        if have >= need:
+            out.append((start, have))
+    return out
+
+
+def _places(template: list[str], vocab: Counter, need: int, words: list[str]) -> list[tuple[int, int, int]]:
+    """``(first, last, matched)`` of the places that hold the template, the best of those that overlap."""
+    width = 2 * len(template)
+    stops = {}
+    # Best first: what a window may match stands in until it is aligned.
+    queue: list[tuple] = []
+    for start, have in _windows(vocab, width, need, words):
+        stops[start] = start + width
+        queue.append((-have, have - 1, start, start + width, None))
+    starts = list(stops)
+    heapify(queue)
+    taken: list[tuple[int, int, int]] = []
+    while queue:
+        _, _, start, stop, place = heappop(queue)
+        if stops[start] != stop:
+            continue
+        if place is None:
+            pairs = align(template, words[start:stop])
+            if len(pairs) >= need:
+                first, last = start + pairs[0][1], start + pairs[-1][1]
+                heappush(queue, (-len(pairs), last - first, start, stop, (first, last, len(pairs))))
+            continue
+        taken.append(place)
+        first, last, _ = place
+        for k in range(bisect(starts, first - width), bisect(starts, last)):
+            near = starts[k]
+            if near >= first:
+                stops[near] = near
+            elif stops[near] > first:
+                stops[near] = first
+                have = sum((Counter(words[near:first]) & vocab).values()) if first - near >= need else 0
+                if have >= need:
+                    heappush(queue, (-have, have - 1, near, first, None))
+    taken.sort()
+    return taken
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], min_coverage: float) -> None:
         self.templates = []
@@ -125,24 +186,8 @@ class Scanner:
                 continue
             if words is None:
                 words = normal_words(text)
-            hits = [i for i, w in enumerate(words) if w in vocab]
-            width, done, upto = 2 * len(template), 0, 0
-            for k, start in enumerate(hits):
-                upto = max(upto, k)
-                while upto < len(hits) and hits[upto] < start + width:
-                    upto += 1
-                if start < done or upto - k < need:
-                    continue
-                window = words[start : start + width]
-                if sum((Counter(window) & vocab).values()) < need:
-                    continue
-                pairs = align(template, window)
-                if len(pairs) >= need:
-                    last = start + pairs[-1][1]
-                    out.append(
-                        (name, len(pairs) / len(template), len(pairs), start + pairs[0][1], last)
-                    )
-                    done = last + 1
+            for first, last, n in _places(template, vocab, need, words):
+                out.append((name, n / len(template), n, first, last))
         return out
 
 
