@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from corpus import documents, varied, words
@@ -76,6 +77,43 @@ def test_shared_prefixes():
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected))
 
 
+def crowd(n):
+    """A phrase, then what differs in each document, two of which have it in common."""
+    phrase = " ".join(words(5, 16, 900))
+    return [(i, f"{phrase} no {(i - i % 2) * 7919:012d} of {(i - i % 2) * 104729:015d} and {i}") for i in range(n)]
+
+
+def test_crowded_anchors(spark, monkeypatch):
+    looked_up, calls = suffixes._looked_up, []
+    monkeypatch.setattr(suffixes, "_looked_up", lambda df, n: calls.append(df.count()) or looked_up(df, n))
+    rows = crowd(26_000)
+    got = check(spark, rows)
+    assert calls and calls[0] > 10_000
+    assert sum(r.n_removed > 0 for r in got) == len(rows) - 1
+
+
+def test_one_anchor_is_indexed_in_bounded_parts(monkeypatch):
+    sizes = []
+
+    def indexed(texts, length):
+        sizes.append(sum(map(len, texts)))
+        return shared_prefixes(texts, length)
+
+    monkeypatch.setattr(suffixes, "shared_prefixes", indexed)
+    fixed = "a phrase of thirty-three bytes or"
+    contexts = sorted({f"{fixed}{'x' * 16}{i:034d}".encode() for i in range(60_000)})
+    columns = ["key", "context", "doc", "text_key", "start", "anchor"]
+    frames = (
+        pd.DataFrame(
+            [(7, c, n + k, 1, 0, len(fixed)) for k, c in enumerate(contexts[n : n + 10_000])], columns=columns
+        )
+        for n in range(0, len(contexts), 10_000)
+    )
+    rows = pd.concat(list(suffixes._repeated(frames, 50, 16)))
+    assert max(sizes, default=0) <= 1 << 21
+    assert sorted(rows.context) == contexts and set(rows.to - rows["from"]) == {83}
+
+
 def test_anchors_do_not_depend_on_pieces(monkeypatch):
     raw = np.frombuffer(" ".join(words(1, 3000)).encode(), dtype=np.uint8)
     whole = suffixes.anchor_ranges(raw, 50, 16)

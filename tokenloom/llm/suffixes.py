@@ -8,6 +8,9 @@ the task that owns the anchor.  There the distinct contexts are indexed, block b
 Burrows-Wheeler transform, and threshold-bounded interval expansion finds the strings of 50 bytes that contexts share.
 A string is repeated if the smallest document that has it is not its own.
 
+An anchor whose distinct contexts are more than a task should hold is not indexed.  Its contexts are written out, and each
+of their strings looks up the smallest document that has it: an aggregate and a join by the string, spread over all tasks.
+
 Contexts that equal one of a smaller document need no index: they are repeated as a whole.  Exact copies of a
 document are recognised before and take no part.
 
@@ -36,6 +39,9 @@ from .shingles import mix
 LENGTH = 50
 GRAM = 16
 _BLOCK_BYTES = 1 << 18
+#: Bytes of the contexts of one anchor, with so many for each place, that one task indexes at once.
+_GROUP_BYTES = 1 << 20
+_OWNER_BYTES = 32
 _ROWS = 20_000
 _PIECE = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
@@ -210,34 +216,72 @@ class _Block:
         return out
 
 
-_RANGE = "doc bigint, text_key bigint, `from` bigint, `to` bigint"
+_RANGE = "doc bigint, text_key bigint, `from` bigint, `to` bigint, context binary"
 
 
 def _repeated(batches: Iterator[pd.DataFrame], length: int, gram: int) -> Iterator[pd.DataFrame]:
-    """Repeated ranges from contexts sorted by (key, context, doc)."""
+    """Repeated ranges from contexts sorted by (key, context, doc); ranges with their
+    context are those of crowded anchors and still to be looked up."""
     block = _Block(length, gram)
     key = context = None
     group: list[tuple[bytes, int, int, list]] = []
-    names = ["doc", "text_key", "from", "to"]
+    held, crowded = 0, False
+    names = ["doc", "text_key", "from", "to", "context"]
     for batch in batches:
         out = []
         for k, c, doc, text_key, start, anchor in zip(*(batch[n] for n in batch.columns), strict=True):
             if k != key:
                 block.add(group)
                 if block.size >= _BLOCK_BYTES:
-                    out += block.ranges()
+                    out += [(*r, None) for r in block.ranges()]
                 key, context, group = k, None, []
+                held, crowded = 0, False
             if c != context:
-                context = c
-                group.append((c, anchor, doc, []))
-            smallest = group[-1]
-            if doc == smallest[2]:
-                smallest[3].append((doc, text_key, start))
+                context, smallest = c, doc
+                if not crowded:
+                    group.append((c, anchor, doc, []))
+                    held += len(c)
+            if doc != smallest:
+                out.append((doc, text_key, start, start + len(c), None))
+            elif crowded:
+                out.append((doc, text_key, start, start + len(c), c))
             else:
-                out.append((doc, text_key, start, start + len(c)))
+                group[-1][3].append((doc, text_key, start))
+                held += _OWNER_BYTES
+                if held > _GROUP_BYTES:
+                    for one, _, _, places in group:
+                        out += [(d, t, s, s + len(one), one) for d, t, s in places]
+                    group, crowded = [], True
         yield pd.DataFrame(out, columns=names)
     block.add(group)
-    yield pd.DataFrame(block.ranges(), columns=names)
+    yield pd.DataFrame([(*r, None) for r in block.ranges()], columns=names)
+
+
+def _looked_up(crowded: DataFrame, length: int) -> DataFrame:
+    """Repeated ranges of the contexts of crowded anchors, string by string."""
+    placed = crowded.select(
+        "doc", "text_key", "from", "context",
+        F.explode(F.sequence(F.lit(0), F.octet_length("context") - length)).alias("offset"),
+    )
+    # Equal strings have equal anchors, so all of a string that counts is here.
+    piece = F.substring("context", F.col("offset") + 1, F.lit(length))
+    strings = placed.select(
+        "doc", "text_key", (F.col("from") + F.col("offset")).alias("from"),
+        F.xxhash64(piece).alias("string"), F.xxhash64(F.lit("second"), piece).alias("other_string"),
+    )
+    keys = ["string", "other_string"]
+    several = stage(
+        strings.groupBy(*keys)
+        .agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+        .filter("least < most")
+        .select(*keys, "least"),
+        "crowded_strings",
+    )
+    return (
+        lookup_join(strings, several, keys, "inner")
+        .filter("doc > least")
+        .select("doc", "text_key", "from", (F.col("from") + length).alias("to"))
+    )
 
 
 def _merge(packed: np.ndarray) -> list[int]:
@@ -301,11 +345,16 @@ def repeated_spans(
     contexts = followed.select("doc", "text_key", "text", "places").mapInArrow(
         lambda batches: _contexts(batches, length, gram), _CONTEXT
     )
-    ranges = (
+    followed_up = stage(
         contexts.repartition("key")
         .sortWithinPartitions("key", "context", "doc")
-        .mapInPandas(lambda batches: _repeated(batches, length, gram), _RANGE)
+        .mapInPandas(lambda batches: _repeated(batches, length, gram), _RANGE),
+        "ranges",
     )
+    ranges = followed_up.filter(F.col("context").isNull()).drop("context")
+    crowded = followed_up.filter(F.col("context").isNotNull())
+    if not crowded.isEmpty():
+        ranges = ranges.unionByName(_looked_up(crowded, length))
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
