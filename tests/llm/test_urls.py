@@ -69,6 +69,29 @@ def test_held_out_accuracy(spark):
     assert len(right) > 60 and sum(r.ok for r in right) > 0.8 * len(right)
 
 
+def test_the_sample_is_bounded_and_has_both_verdicts(spark, monkeypatch):
+    staged, stage = {}, urls.stage
+
+    def kept(df, label):
+        staged[label] = stage(df, label)
+        return staged[label]
+
+    monkeypatch.setattr(urls, "stage", kept)
+    hot = "https://h.example.net/es/everywhere"
+    rows = [(i, hot, None) for i in range(1500)]
+    rows += [(2000 + i, f"https://h{i % 7}.other.net/fr/{i}", None) for i in range(1500)]
+    rows += [(5000 + i, f"https://rare.com/{i}", None) for i in range(2)]
+    labelled = urls.featured(pages(spark, rows)).filter("verdict IS NOT NULL")
+    assert not isinstance(urls.train(labelled, 300), str)
+    sample = staged["url_sample"].collect()
+    assert len(sample) <= 400 and len({r.url for r in sample}) == len(sample)
+    assert sorted(r.url for r in sample if r.label == 0.0) == ["https://rare.com/0", "https://rare.com/1"]
+    assert all(r.weight == 1.0 for r in sample if r.label == 0.0)
+    urls.train(labelled, 10_000)
+    weights = {r.url: r.weight for r in staged["url_sample"].collect()}
+    assert weights[hot] == 1500.0 and len(weights) == 1503
+
+
 def test_entropy(spark):
     for text in ("", "aaaa", "abab", "http://é.x/%%"):
         counts = Counter(text).values()

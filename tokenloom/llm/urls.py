@@ -2,7 +2,8 @@
 
 A rule fits its host and the subdomains, on paths that start with its path; the longest fitting rule decides.
 The URLs that rules decide are the labelled ones.  Gradient-boosted trees learn from a
-bounded sample of them (``train_rows``, spread by hash over all) what blocked URLs look like: lengths, depth,
+bounded sample of the distinct ones (``train_rows``, spread by hash over those of either verdict, each
+weighted by the rows it stands for) what blocked URLs look like: lengths, depth,
 digit ratio, entropy, parameters, and how often the suffixes of the host are blocked, which is
 counted over all labelled URLs.  The trees then judge the rest.
 
@@ -34,6 +35,7 @@ TRAIN_ROWS = 20_000
 TREES = 12
 DEPTH = 4
 SEED = 11
+_PLACES = 1 << 62
 #: Added to the counts of a suffix, so that a rare one says little.
 SMOOTHING = 5.0
 
@@ -109,23 +111,38 @@ def _with_suffixes(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS):
     """A model from rows with the features and a verdict, or the only verdict there is."""
-    kinds = labelled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()
+    # Which URLs are taken depends on the URL alone.
+    place = F.pmod(F.xxhash64("url"), F.lit(_PLACES))
+    kinds = (
+        labelled.select("verdict", place.alias("place")).distinct()
+        .groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    ).collect()
     if len(kinds) < 2:
         return kinds[0].verdict if kinds else "allow"
-    share = min(1.0, train_rows / sum(k.n for k in kinds))
-    # Which rows are taken depends on the URL alone.
-    place = F.pmod(F.xxhash64("url"), F.lit(1 << 20))
-    chosen = labelled.filter(place < int(share * (1 << 20)))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
-        chosen.withColumn("label", (F.col("verdict") == "block").cast("double"))
+    rare, common = sorted(kinds, key=lambda k: k.n)
+    of_rare = min(rare.n, train_rows // 2)
+    chosen, weight = F.lit(False), F.lit(0.0)
+    for kind, rows in ((rare, of_rare), (common, train_rows - of_rare)):
+        share = min(1.0, max(1, rows) / kind.n)
+        taken = (place < int(share * _PLACES)) | (place == kind.least)
+        chosen = chosen | ((F.col("verdict") == kind.verdict) & taken)
+        weight = F.when(F.col("verdict") == kind.verdict, 1.0 / share).otherwise(weight)
+    sample = stage(
+        labelled.filter(chosen)
+        .groupBy("url", "verdict", *FEATURES)
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .select(
+            "url", *FEATURES, (F.col("verdict") == "block").cast("double").alias("label"),
+            (F.col("rows") * weight).alias("weight"),
+        ),
+        "url_sample",
     )
-    sample = stage(vectors.select("url", *FEATURES, "label"), "url_sample")
     ordered = sample.repartitionByRange(4, "url").sortWithinPartitions("url", *FEATURES)
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ordered)
     trees = GBTClassifier(
-        maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, cacheNodeIds=False
+        maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, cacheNodeIds=False, weightCol="weight"
     )
-    return trees.fit(ready.select("features", "label"))
+    return trees.fit(ready.select("features", "label", "weight"))
 
 
 def judge(rows: DataFrame, model) -> DataFrame:
