@@ -146,3 +146,47 @@ def test_agrees_with_the_public_lexer_on_real_code(spark):
     # What remains are dotted import names and words newer lexers add.
     assert total > 15_000
     assert different / total < 0.004
+
+
+def _public_tokens(lexer, source):
+    """The public lexer's tokens with each string literal joined into one."""
+    literal, delimiter, out = [], None, []
+    for kind, value in lexer.get_tokens(source):
+        name = str(kind).replace("Token.Text.Whitespace", L.TEXT)
+        if name in L.EXCLUDED_TYPES:
+            continue
+        if delimiter is None and value in ("'", '"', "'''", '"""') and "String" in name:
+            delimiter = value
+        elif delimiter is not None and value == delimiter:
+            out.append((name, "".join(literal)))
+            literal, delimiter = [], None
+        elif delimiter is not None:
+            literal.append(value)
+        elif value == "\n":
+            out.append(EOL)
+        elif value.isspace():
+            out.extend([SPACE] if len(value) % 4 else [TAB] * (len(value) // 4))
+        else:
+            out.append((name, value))
+    while out and out[0] == EOL:
+        out.pop(0)
+    return out
+
+
+def test_whole_tokens_agree_with_the_public_lexer(spark):
+    lexers = pytest.importorskip("pygments.lexers")
+    modules = [bisect, calendar, colorsys, csv, heapq, json.decoder, shlex, textwrap, difflib]
+    texts = [open(m.__file__, encoding="utf-8").read() for m in modules]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    rows = df.select("n", lex("text").alias("tokens")).collect()
+    ours = {r.n: [tuple(t) for t in r.tokens] for r in rows}
+    total = different = 0
+    for n, text in enumerate(texts):
+        theirs = _public_tokens(lexers.Python3Lexer(), text)
+        match = difflib.SequenceMatcher(None, theirs, ours[n], autojunk=False)
+        same = sum(b.size for b in match.get_matching_blocks())
+        total += max(len(theirs), len(ours[n]))
+        different += max(len(theirs), len(ours[n])) - same
+    # What remains are dotted import names and words newer lexers add.
+    assert total > 30_000
+    assert different / total < 0.002
