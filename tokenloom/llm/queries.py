@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import new_path
-from . import exact, licenses, lines, mixing, ngrams, pieces, quality, suffixes, urls, warc
+from . import exact, idstore, licenses, lines, mixing, ngrams, pieces, quality, suffixes, urls, warc
 
 
 def make_importable(spark: SparkSession) -> None:
@@ -92,6 +92,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = idstore.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return idstore.stored_checksums(store)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -103,6 +111,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_ngram_join": op10_ngram_join,
+    "op12_token_index": op12_token_index,
 }
 
 _W = r"[\x20\x09-\x0D]+"
