@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import new_path
-from . import exact, idstore, licenses, lines, mixing, ngrams, pieces, quality, suffixes, urls, warc
+from . import alignment, exact, idstore, licenses, lines, mixing, ngrams, pieces, quality, suffixes, urls, warc
 
 
 def make_importable(spark: SparkSession) -> None:
@@ -92,6 +92,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    paths = tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), *paths)
+
+
 def op12_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,6 +118,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_ngram_join": op10_ngram_join,
+    "op11_token_alignment": op11_token_alignment,
     "op12_token_index": op12_token_index,
 }
 
