@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import new_path
-from . import alignment, exact, idstore, licenses, lines, mixing, ngrams, pieces, quality, suffixes, urls, warc
+from . import alignment, exact, idstore, licenses, lines, mixing, ngrams, pieces, quality, spelling, suffixes, urls, warc
 
 
 def make_importable(spark: SparkSession) -> None:
@@ -107,6 +107,10 @@ def op12_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.stored_checksums(store)
 
 
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -120,6 +124,7 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_token_alignment": op11_token_alignment,
     "op12_token_index": op12_token_index,
+    "op13_spelling_groups": op13_spelling_groups,
 }
 
 _W = r"[\x20\x09-\x0D]+"
@@ -292,5 +297,55 @@ WITH RECURSIVE words AS (
 )
 SELECT doc_id, any_value(n) AS n_shingles, min(r) AS component_id
 FROM sizes JOIN reached USING (doc_id) GROUP BY doc_id
+""",
+    # The checksum's table of 256 numbers follows from its polynomial.
+    "op13_spelling_groups": r"""
+WITH RECURSIVE bits(v, x, k) AS (
+    SELECT i, i, 0 FROM range(256) t(i)
+    UNION ALL
+    SELECT v, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+    SELECT list(x ORDER BY v) AS t FROM bits WHERE k = 8
+), runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS before, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents
+), distinct_runs AS (
+    SELECT before, run, count(*) AS c, hex(encode(before || run)) AS x FROM runs GROUP BY before, run
+), hashed AS (
+    SELECT run, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(x) // 2),
+        lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+        lambda a, b: xor(t[CAST(xor(a, b) & 255 AS BIGINT) + 1], a >> 8)), 4294967295) AS h
+    FROM distinct_runs CROSS JOIN crc
+), words AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT))
+        || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM hashed
+), counted AS (
+    SELECT word, CAST(sum(c) AS BIGINT) AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), shorter AS (
+    SELECT word, n, unnest(list_transform(range(1, length(word) + 1),
+        lambda i: {'at': i, 'rest': substr(word, 1, i - 1) || substr(word, i + 1)}), recursive := true)
+    FROM counted
+), pairs AS (
+    SELECT DISTINCT a.word AS word, b.word AS near FROM shorter a JOIN counted b ON a.rest = b.word
+    UNION
+    SELECT DISTINCT b.word, a.word FROM shorter a JOIN counted b ON a.rest = b.word
+    UNION
+    SELECT DISTINCT a.word, b.word FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.at = b.at AND a.word <> b.word
+), ranked AS (
+    SELECT p.word, p.near, b.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+        row_number() OVER (PARTITION BY p.word ORDER BY b.n DESC, p.near) AS place
+    FROM pairs p JOIN counted b ON p.near = b.word
+), formed AS (
+    SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * c.n THEN near END AS form,
+        CASE WHEN near_n >= 2 * c.n THEN near_n END AS form_n
+    FROM counted c LEFT JOIN ranked r ON c.word = r.word AND place = 1
+), followed AS (
+    SELECT word, word AS root, form AS onward FROM formed
+    UNION ALL
+    SELECT w.word, f.word, f.form FROM followed w JOIN formed f ON w.onward = f.word
+)
+SELECT word, form, root, n, n_near, form_n
+FROM formed JOIN (SELECT word, root FROM followed WHERE onward IS NULL) USING (word)
 """,
 }
