@@ -12,6 +12,7 @@ sentencepiece = pytest.importorskip("sentencepiece")
 tokenizers = pytest.importorskip("tokenizers")
 
 from tokenloom.llm import alignment  # noqa: E402
+from tokenloom.llm.words import byte_characters  # noqa: E402
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -28,7 +29,7 @@ PIECES = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
 def tokens(text):
     """Ids and bytes of both sides, by encoding the whole text at once."""
     byte_level, pieces = BYTES, PIECES
-    of = alignment.byte_characters()
+    of = byte_characters()
     a = byte_level.encode(" " + text, add_special_tokens=False).ids
     a_bytes = [bytes(of[c] for c in byte_level.id_to_token(i)) for i in a]
     b = pieces.encode(text)

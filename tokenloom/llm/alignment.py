@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lookup import lookup_join
 from ..plans.staging import stage
-from .words import Remembered, cut, word_tokenizer
+from .words import NewWords, Remembered, byte_characters, cut, word_tokenizer
 
 MARK = "▁"
 _TEXT_BYTES = 1 << 19
@@ -51,14 +51,6 @@ class Side:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
 
 
-def byte_characters() -> dict[str, int]:
-    """The byte each character of a byte-level vocabulary stands for: printable Latin-1 characters for
-    themselves, the other bytes in order from U+0100 on."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    others = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def byte_level(path: str) -> Side:
     """A byte-level tokenizer; what would be special tokens is ordinary text."""
     tokenizer = word_tokenizer(path)
@@ -67,10 +59,7 @@ def byte_level(path: str) -> Side:
     entries = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
     token_bytes = [bytes(of[c] for c in e) if all(c in of for c in e) else e.encode() for e in entries]
 
-    def encode_new(chunks: list[str]):
-        return (e.ids for e in tokenizer.encode_batch(chunks, add_special_tokens=False))
-
-    return Side(Remembered(encode_new), token_bytes)
+    return Side(Remembered(NewWords(tokenizer)), token_bytes)
 
 
 def piece_level(path: str) -> Side:

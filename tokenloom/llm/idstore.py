@@ -38,7 +38,7 @@ from ..plans.lookup import lookup_join
 from ..plans.staging import new_path, stage
 from . import perfect
 from .files import file_system
-from .words import Remembered, cut, word_tokenizer
+from .words import NewWords, Remembered, cut, word_tokenizer
 
 SHARD_BYTES = 256 * 1024 * 1024
 BLOCK_KEYS = 8192
@@ -56,12 +56,7 @@ _PLACE = "key bigint, shard_no bigint, at bigint, n bigint"
 def _encoder(tokenizer: str, dtype) -> Remembered:
     held = _encoders.get((tokenizer, dtype))
     if held is None:
-        library = word_tokenizer(tokenizer)
-
-        def encode_new(chunks: list[str]):
-            return (e.ids for e in library.encode_batch(chunks, add_special_tokens=False))
-
-        held = _encoders[tokenizer, dtype] = Remembered(encode_new, dtype)
+        held = _encoders[tokenizer, dtype] = Remembered(NewWords(word_tokenizer(tokenizer)), dtype)
     return held
 
 
