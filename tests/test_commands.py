@@ -125,3 +125,55 @@ def test_arguments(spark, tree):
     for wrong in ({}, {"src": "x", "file": "y"}):
         with pytest.raises(ValueError):
             commands.complete(spark, None, None, **wrong)
+
+
+def test_a_run_that_dies_leaves_the_old_one_whole(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "repositories/u/r"
+    folder.mkdir(parents=True)
+    (folder / "a.py").write_text(SOURCE)
+    dataset = str(tmp_path / "dataset")
+    assert run(spark, tmp_path)
+
+    def state():
+        vocab = sorted(map(tuple, commands.dataset_vocab(spark, dataset).collect()))
+        return store.read_run(spark, dataset), vocab, [r.ids for r in store.read_encoded(spark, dataset).collect()]
+
+    before = state()
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "write_encoded", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            commands.encode(
+                spark, str(tmp_path / "repositories"), output_file=dataset, model_dir=str(tmp_path / "models"),
+                frequency_threshold=5, redo=True,
+            )
+    assert state() == before and before[0].threshold == 1
+    assert not run(spark, tmp_path)
+    # An edit of equal length is another corpus.
+    (folder / "a.py").write_text(SOURCE.replace("w", "v"))
+    assert run(spark, tmp_path, redo=True)
+    after = state()
+    assert after[0].corpus != before[0].corpus and any(r[2] == "v" for r in after[1])
+    # Superseded runs go, but for the last one.
+    assert run(spark, tmp_path, redo=True)
+    assert len(list((tmp_path / "dataset.runs").iterdir())) == 2
+
+
+def test_counts_belong_to_their_run(spark, tmp_path):
+    folder = tmp_path / "repositories/u/r"
+    folder.mkdir(parents=True)
+    (folder / "a.py").write_text(SOURCE)
+    (folder / "b.py").write_text("x = 1\ny = 2\nz = 3\n")
+    dataset = str(tmp_path / "dataset")
+    assert run(spark, tmp_path)
+    first = commands.fit(spark, dataset, k=1).count()
+    assert run(spark, tmp_path, redo=True, token_count_threshold=16)
+    assert commands.fit(spark, dataset, k=1).count() < first
+
+
+def test_archives_without_sources_are_taken_once(spark, tmp_path):
+    packed, base = tmp_path / "archives", str(tmp_path / "repositories")
+    packed.mkdir()
+    _pack(packed / "u_nopy.zip", [("nopy-1/readme.txt", "text")])
+    (packed / "u_bad.zip").write_bytes(b"nonsense")
+    assert commands.ingest(spark, str(packed), base) == 0
+    assert [(r.user, r.repo) for r in store.read_manifest(spark, base).collect()] == [("u", "nopy")]

@@ -42,6 +42,9 @@ def ingest(
             members = stage(members, "members")
             bad = archives.rejected(members).unionByName(archives.oversized_archives(spark, source))
             bad.write.parquet(f"{base}/rejected/run={run}")
+            # All archives read to their end, also those without a source file.
+            repos = corpus.skip_ingested(archives.scan_archives(spark, source).select("user", "repo"), known)
+            repos = repos.join(bad.select("user", "repo"), ["user", "repo"], "left_anti").distinct()
             found = archives.accepted(members).select(
                 "user", "repo", F.col("member_path").alias("path"),
                 files.decode_utf8(F.col("content")).alias("text"),
@@ -52,12 +55,12 @@ def ingest(
             found = corpus.skip_ingested(
                 scanned.select("user", "repo", below.alias("path"), "text"), known
             )
+            repos = found.select("user", "repo").distinct()
         chosen = corpus.choose_files(found, suffix)
         filed = P.destination(F.col("user"), F.col("repo"), F.col("path"), base)
         taken = store.write_table(
             chosen.select("user", "repo", filed.alias("path"), "text"), f"{base}/files/run={run}"
         )
-        repos = found.select("user", "repo").distinct()
         store.write_table(repos, f"{base}/manifest/run={run}")
         return taken.count()
 
@@ -93,14 +96,18 @@ def encode(
     """Encode the source files below ``dataset_dir`` into ``output_file``.
 
     A finished output is kept unless ``redo``; tells whether it was written.
-    Texts are lexed where they are read, and only the tokens are staged.  Beside the dataset, ``.ignored`` lists the
-    files too short to keep, ``.report`` the vocabulary statistics, and ``.run``
-    has the settings of the run, the vocabulary's size and place among them.
+    Texts are lexed where they are read, and only the tokens are staged.
+
+    A run writes dataset, vocabulary and settings into a folder of its own below ``.runs``; a pointer
+    file, replaced last, makes it the current one.  Until then, and if the run dies, the dataset is the old one with
+    its own vocabulary and settings.  Beside the dataset, ``.ignored`` lists the
+    files of the current run that are too short to keep, ``.report`` the vocabulary statistics.
     """
     if not store.exists(spark, dataset_dir):
         raise FileNotFoundError(f"{dataset_dir} not found: unpack the repositories first")
-    if store.complete(spark, output_file) and not redo:
+    if not redo and (store.current_run(spark, output_file) or store.complete(spark, output_file)):
         return False
+    run = store.new_run(output_file)
     with temporary(spark):
         listed, texts = _sources(spark, dataset_dir, suffix)
         lexed = _numbered(stage(lex_documents(texts, "path"), "lexed"), listed)
@@ -110,34 +117,33 @@ def encode(
             return vocabulary.token_frequency(explode_tokens(tokens), "doc_id")
 
         counted = stage(frequency(), "frequency")
-        name = store.fingerprint(listed)
+        # Two corpora with the same tokens under the same paths have the same vocabulary.
+        name = store.fingerprint(lexed, "tokens")
         vocab = store.get_vocab(
             spark, f"{model_dir}/vocab",
             lambda threshold: vocabulary.build_vocab(counted, threshold),
-            frequency_threshold, name, redo,
+            frequency_threshold, name,
         )
-        rare = vocabulary.rare_tokens_by_type(counted.drop(vocabulary.FIRST_SEEN), frequency_threshold)
-        store.write_report(counted, rare, f"{output_file}.report")
+        vocab = store.write_table(vocab, f"{run}/vocab")
         settings = vocabulary.run_metadata(vocab).select(
             "*",
             F.lit(frequency_threshold).alias("threshold"),
+            F.lit(token_count_threshold).alias("min_tokens"),
             F.lit(name).alias("corpus"),
             F.lit(f"{model_dir}/vocab").alias("vocab_base"),
         )
-        store.write_table(settings, f"{output_file}.run")
+        store.write_table(settings, f"{run}/settings")
         # Each token gives one id and the start token one more, so short files are
         # known before they are encoded.
         long_enough = F.size("tokens") + 1 >= token_count_threshold
-        short = lexed.filter(~long_enough)
-        store.write_ignored(
-            short.select("doc_id", (F.size("tokens") + 1).alias("n_tokens"), "path"),
-            f"{output_file}.ignored",
-        )
-        # Last, since a finished dataset is what tells that the run is done.
-        store.write_encoded(
-            encoding.encode_lexed(tokens.filter(long_enough), vocab, on_missing=on_missing),
-            output_file, redo=True,
-        )
+        encoded = encoding.encode_lexed(tokens.filter(long_enough), vocab, on_missing=on_missing)
+        store.write_encoded(encoded, f"{run}/dataset")
+        short = lexed.filter(~long_enough).select("doc_id", (F.size("tokens") + 1).alias("n_tokens"), "path")
+        short = store.write_table(short, f"{run}/ignored")
+        store.publish_run(spark, output_file, run)
+        store.write_ignored(short, f"{output_file}.ignored")
+        rare = vocabulary.rare_tokens_by_type(counted.drop(vocabulary.FIRST_SEEN), frequency_threshold)
+        store.write_report(counted, rare, f"{output_file}.report")
     return True
 
 
@@ -158,6 +164,8 @@ def batches(
 
 def dataset_vocab(spark: SparkSession, dataset: str = "dataset") -> DataFrame:
     """The vocabulary that ``dataset`` was encoded with."""
+    if folder := store.current_run(spark, dataset):
+        return store.read_table(spark, f"{folder}/vocab", vocabulary.VOCAB_SCHEMA)
     run = store.read_run(spark, dataset)
     return store.read_vocab(spark, run.vocab_base, run.threshold, run.corpus)
 
@@ -173,13 +181,14 @@ def fit(
     """Next-token counts of a dataset for contexts of up to ``k`` ids; counting
     needs one pass, not epochs.
 
-    The counts are stored beside the dataset, once per encoding of it.  With
+    The counts are stored with the run they were made from, so another run has its own.  With
     ``held_out`` documents ``(doc_id, text)``, loss and accuracy of the counts on
     them are written to ``.metrics``, eight neighbouring ids to a batch.
     """
     run = store.read_run(spark, dataset)
     encoded = store.read_encoded(spark, dataset)
-    path = f"{dataset}.counts/corpus={run.corpus}/threshold={run.threshold}/n_ctx={n_ctx}/k={k}"
+    folder = store.current_run(spark, dataset) or f"{dataset}.counts/corpus={run.corpus}/threshold={run.threshold}"
+    path = f"{folder}/counts/n_ctx={n_ctx}/k={k}"
     if redo or not store.complete(spark, path):
         pairs = sequences.shift_pairs(sequences.chunk_sequences(encoded, n_ctx))
         store.write_table(completion.backoff_counts(pairs, k), path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,57 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    return hadoop, hadoop.Path(path).getFileSystem(configuration)
+
+
+def new_run(dataset: str) -> str:
+    """A folder for everything one run of ``dataset`` writes."""
+    return f"{dataset.rstrip('/')}.runs/{uuid.uuid4().hex}"
+
+
+def current_run(spark: SparkSession, dataset: str) -> str | None:
+    """The folder of the run that ``dataset`` stands for, if one was published."""
+    pointer = f"{dataset.rstrip('/')}.current"
+    hadoop, system = _file_system(spark, pointer)
+    if not system.exists(hadoop.Path(pointer)):
+        return None
+    stream = system.open(hadoop.Path(pointer))
+    try:
+        name = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return f"{dataset.rstrip('/')}.runs/{name}"
+
+
+def publish_run(spark: SparkSession, dataset: str, run: str) -> None:
+    """Make ``run`` the current one.  The pointer is replaced in one step, so readers see either
+    run as a whole.  The run before stays for those that read it; older ones are removed."""
+    dataset = dataset.rstrip("/")
+    before = current_run(spark, dataset)
+    pointer, fresh = f"{dataset}.current", f"{dataset}.current-{uuid.uuid4().hex}"
+    hadoop, system = _file_system(spark, pointer)
+    stream = system.create(hadoop.Path(fresh), True)
+    try:
+        stream.write(bytearray(run.rsplit("/", 1)[1].encode()))
+    finally:
+        stream.close()
+    context = hadoop.FileContext.getFileContext(
+        system.getUri(), spark.sparkContext._jsc.hadoopConfiguration()
+    )
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    context.rename(
+        system.makeQualified(hadoop.Path(fresh)), system.makeQualified(hadoop.Path(pointer)), options
+    )
+    kept = {path.rsplit("/", 1)[1] for path in (run, before) if path}
+    for status in system.listStatus(hadoop.Path(f"{dataset}.runs")):
+        if status.getPath().getName() not in kept:
+            system.delete(status.getPath(), True)
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` holds a table that was written to its end."""
     return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
@@ -29,7 +82,9 @@ def write_encoded(encoded: DataFrame, path: str, redo: bool = False) -> None:
 
 
 def read_encoded(spark: SparkSession, path: str) -> DataFrame:
-    """An encoded dataset; a missing one, or one without ids, is an error."""
+    """An encoded dataset, or that of its current run; a missing one, or one without ids, is an error."""
+    run = current_run(spark, path)
+    path = path if run is None else f"{run}/dataset"
     if not complete(spark, path):
         raise FileNotFoundError(f"{path} not found or not finished: encode the corpus first")
     encoded = spark.read.parquet(path)
@@ -94,24 +149,29 @@ def write_table(table: DataFrame, path: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_ignored(short: DataFrame, path: str) -> None:
     """The documents left out for their length."""
     short.write.mode("overwrite").parquet(path)
 
 
-def fingerprint(listed: DataFrame) -> str:
-    """A name for a set of files, from their paths and lengths."""
-    row = listed.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
-        F.sum(F.xxhash64("path", "length").cast("decimal(38,0)")).alias("mixed"),
-    )
-    return row.select(F.md5(F.concat_ws("-", "n", "bytes", "mixed"))).head()[0]
+def fingerprint(files: DataFrame, *contents: str) -> str:
+    """A name for a set of files, from their paths and contents, in any order."""
+    mixed = [
+        F.sum(F.xxhash64(F.lit(salt), "path", *contents).cast("decimal(38,0)")).alias(f"mixed{salt}")
+        for salt in (0, 1)
+    ]
+    row = files.agg(F.count(F.lit(1)).alias("n"), *mixed)
+    return row.select(F.md5(F.concat_ws("-", "n", "mixed0", "mixed1"))).head()[0]
 
 
 def read_run(spark: SparkSession, dataset: str):
-    """The one row of settings that encoding stored beside ``dataset``."""
-    path = f"{dataset}.run"
+    """The one row of settings of the current run of ``dataset``."""
+    run = current_run(spark, dataset)
+    path = f"{dataset}.run" if run is None else f"{run}/settings"
     if not complete(spark, path):
         raise FileNotFoundError(f"{path} not found: encode the corpus first")
     rows = spark.read.parquet(path).limit(2).collect()
