@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lookup import lookup_join
 from ..plans.staging import stage
-from .words import NewWords, Remembered, byte_characters, cut, word_tokenizer
+from .words import NewWords, Remembered, byte_characters, word_tokenizer
 
 MARK = "▁"
 _TEXT_BYTES = 1 << 19
@@ -45,7 +45,7 @@ class Side:
         self.lengths = np.array([len(b) for b in token_bytes], dtype=np.int64)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return self.remembered.ids([cut(t) for t in texts])
+        return self.remembered.ids(texts)
 
     def joined(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))

@@ -38,7 +38,7 @@ from ..plans.lookup import lookup_join
 from ..plans.staging import new_path, stage
 from . import perfect
 from .files import file_system
-from .words import NewWords, Remembered, cut, word_tokenizer
+from .words import NewWords, Remembered, word_tokenizer
 
 SHARD_BYTES = 256 * 1024 * 1024
 BLOCK_KEYS = 8192
@@ -219,7 +219,7 @@ def _write_shards(folder: str, tokenizer: str, end_id: int, width: int, shard_by
         out, name, at, part = None, "", 0, -1
         for doc_ids, texts in _portions(batches):
             names, parts, places, sizes = [], [], [], []
-            for ids in encoder.ids([cut(t) for t in texts]):
+            for ids in encoder.ids(texts):
                 if out is None:
                     name, at, part = f"{base}/{uuid.uuid4().hex}.ids", 0, part + 1
                     out = system.open_output_stream(name, compression=None)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -30,11 +32,23 @@ def cut(text: str) -> list[str]:
     return chunks if chunks[0] else chunks[1:]
 
 
+def split(text: str) -> list[str]:
+    """``text`` in words, for a tokenizer that drops white space; some may be empty."""
+    return text.replace("\n", " ").split(" ")
+
+
 class Remembered:
     """Packed ids by chunk.  ``encode_new(chunks)`` gives the ids of chunks as lists."""
 
     def __init__(self, encode_new, dtype=np.int32) -> None:
         self.encode_new, self.dtype, self.held = encode_new, np.dtype(dtype), {}
+        self.cut = split if getattr(encode_new, "drops_blanks", False) else cut
+
+    def _packed(self, ids: list[int]) -> bytes:
+        packed = array({2: "H", 4: "i"}[self.dtype.itemsize], ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of those chunks that are not remembered; remembers the short ones."""
@@ -45,16 +59,14 @@ class Remembered:
             # Those in use are encoded again, which is rare and costs no more than a first batch.
             self.held.clear()
             new = list(chunks)
-        dtype = self.dtype
-        found = {
-            c: np.array(ids, dtype=dtype).tobytes()
-            for c, ids in zip(new, self.encode_new(new), strict=True)
-        }
+        packed = self._packed
+        found = {c: packed(ids) for c, ids in zip(new, self.encode_new(new), strict=True)}
         self.held.update((c, ids) for c, ids in found.items() if len(c) <= _LONGEST)
         return found
 
-    def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The ids of each text, given in chunks."""
+    def ids(self, whole: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        texts = [self.cut(text) for text in whole]
         fresh = self.learn(set().union(*texts))
         long = {c: ids for c, ids in fresh.items() if len(c) > _LONGEST}
         held = {**self.held, **long}.__getitem__ if long else self.held.__getitem__
@@ -90,6 +102,7 @@ class NewWords:
         of_byte = {b: c for c, b in byte_characters().items()}
         self.table = {ord(c): "".join(of_byte[b] for b in c.encode()) for c in letters if not c.isascii()}
         self.form, self.before, self.signs = None, "", {}
+        self.drops_blanks = not self._units(" \n ") and self._units(" a\nb ") == self._units("a b")
         alone, before = self._units(letters), self._units(" " + letters)
         for form in (str, str.lower):
             unit = form(letters).translate(self.table)
@@ -108,7 +121,7 @@ class NewWords:
         others = []
         form, signs, tokenize = self.form, self.signs, self.model.tokenize
         for i, chunk in enumerate(chunks):
-            letters, before, end = chunk, "", signs.get(chunk[-1])
+            letters, before, end = chunk, "", signs.get(chunk[-1:])
             if end is not None:
                 letters = letters[:-1]
             if letters[:1] == " ":
