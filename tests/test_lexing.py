@@ -6,7 +6,9 @@ import colorsys
 import csv
 import difflib
 import heapq
+import itertools
 import json.decoder
+import re
 import shlex
 import textwrap
 
@@ -149,28 +151,41 @@ def test_agrees_with_the_public_lexer_on_real_code(spark):
 
 
 def _public_tokens(lexer, source):
-    """The public lexer's tokens with each string literal joined into one."""
-    literal, delimiter, out = [], None, []
-    for kind, value in lexer.get_tokens(source):
-        name = str(kind).replace("Token.Text.Whitespace", L.TEXT)
-        if name in L.EXCLUDED_TYPES:
+    """What is expected of a text, from the offsets of the public lexer's tokens: literals are
+    the text between two equal quotes, blanks are found by an expression in what is left."""
+    source = source.strip("\n") + "\n"
+    named = [
+        (at, str(kind).replace("Token.Text.Whitespace", L.TEXT), value)
+        for at, kind, value in lexer.get_tokens_unprocessed(source)
+    ]
+    quotes = [
+        mark for mark in named
+        if mark[2] in {"'", '"', 3 * "'", 3 * '"'} and "String" in mark[1] and mark[1] not in L.EXCLUDED_TYPES
+    ]
+    placed, taken, end = [], [], 0
+    for i, (start, _, quote) in enumerate(quotes):
+        if start < end:
             continue
-        if delimiter is None and value in ("'", '"', "'''", '"""') and "String" in name:
-            delimiter = value
-        elif delimiter is not None and value == delimiter:
-            out.append((name, "".join(literal)))
-            literal, delimiter = [], None
-        elif delimiter is not None:
-            literal.append(value)
-        elif value == "\n":
-            out.append(EOL)
-        elif value.isspace():
-            out.extend([SPACE] if len(value) % 4 else [TAB] * (len(value) // 4))
-        else:
-            out.append((name, value))
-    while out and out[0] == EOL:
-        out.pop(0)
-    return out
+        last, name, _ = next(mark for mark in quotes[i + 1 :] if mark[2] == quote)
+        end = last + len(quote)
+        placed.append((start, (name, source[start + len(quote) : last])))
+        taken.append((start, end))
+    inside = bytearray(len(source))
+    for start, end in taken:
+        inside[start:end] = b"\1" * (end - start)
+    rest = list(source)
+    for at, name, value in named:
+        skipped = name in L.EXCLUDED_TYPES
+        if inside[at] or skipped or value.strip():
+            rest[at : at + len(value)] = "\0" * len(value)
+            if not inside[at] and not skipped:
+                placed.append((at, (name, value)))
+    for blank in re.finditer(r"\n|[^\S\n]+", "".join(rest)):
+        tabs, odd = divmod(len(blank[0]), 4)
+        kinds = [EOL] if blank[0] == "\n" else [SPACE] if odd else [TAB] * tabs
+        placed += [(blank.start(), kind) for kind in kinds]
+    ordered = [token for _, token in sorted(placed, key=lambda x: x[0])]
+    return list(itertools.dropwhile(lambda token: token == EOL, ordered))
 
 
 def test_whole_tokens_agree_with_the_public_lexer(spark):
