@@ -15,6 +15,8 @@ from .plans.lookup import BROADCAST_LIMIT, measured_bytes
 from .plans.staging import stage, temporary
 from .sources import archives, files, store
 
+TOKENS_SCHEMA = "path string, tokens array<struct<t_type: string, token: string>>"
+
 
 def ingest(
     spark: SparkSession,
@@ -56,32 +58,52 @@ def ingest(
                 scanned.select("user", "repo", below.alias("path"), "text"), known
             )
             repos = found.select("user", "repo").distinct()
-        chosen = corpus.choose_files(found, suffix)
-        filed = P.destination(F.col("user"), F.col("repo"), F.col("path"), base)
-        taken = store.write_table(
-            chosen.select("user", "repo", filed.alias("path"), "text"), f"{base}/files/run={run}"
-        )
-        store.write_table(repos, f"{base}/manifest/run={run}")
-        return taken.count()
+        return store.file_run(found, repos, base, f"run={run}", suffix).count()
+
+
+def count_runs(spark: SparkSession, base: str = "repositories") -> DataFrame:
+    """``(t_type, token, count, first_seen)`` of all files ingested into ``base``.
+
+    Tokens and counts of the ingestion runs are stored below ``counts``; only files of runs that
+    were not counted before are opened, and those are counted together.  All is then merged.
+    The result, and the vocabulary built from it, is that of one count over all files.  A text that
+    is null counts as empty.
+    """
+    known = {run for runs in store.count_parts(spark, base).values() for run in runs}
+    new = [run for run in store.finished_runs(spark, base) if run not in known]
+    if new:
+        with temporary(spark):
+            texts = store.read_ingested(spark, base, new).select("path", F.coalesce("text", F.lit("")).alias("text"))
+
+            def count(lexed: DataFrame) -> DataFrame:
+                paths = stage(corpus.number_documents(lexed.select("path")), "numbers")
+                numbered = _join_numbers(lexed, paths).select("doc_id", "tokens")
+                counts = vocabulary.token_frequency(explode_tokens(numbered), "doc_id")
+                return vocabulary.located_frequency(stage(counts, "frequency"), paths)
+
+            store.write_counts(spark, base, new, lex_documents(texts, "path"), count)
+    return vocabulary.merge_frequencies(
+        store.read_counts(spark, base, "frequency", vocabulary.LOCATED_SCHEMA)
+    )
 
 
 def _sources(spark: SparkSession, folder: str, suffix: str) -> tuple[DataFrame, DataFrame]:
-    """``(path, length)`` of the files below ``folder``, and ``(path, text)``."""
-    if store.exists(spark, f"{folder}/manifest"):
-        filed = store.read_ingested(spark, folder)
-        return filed.select("path", F.octet_length("text").alias("length")), filed.select("path", "text")
+    """``(path, length)`` of the files of the tree ``folder``, and ``(path, text)``."""
     listed = files.list_source_files(spark, folder, suffix).select("path", "length")
     return listed, files.scan_source_files(spark, folder, suffix).select("path", "text")
 
 
-def _numbered(lexed: DataFrame, listed: DataFrame) -> DataFrame:
-    """Lexed files with a document id in path order.  Only paths are sorted."""
-    numbers = stage(corpus.number_documents(listed.select("path")), "numbers")
+def _join_numbers(lexed: DataFrame, numbers: DataFrame) -> DataFrame:
     if measured_bytes(numbers) <= BROADCAST_LIMIT:
         return lexed.join(F.broadcast(numbers), "path")
     return stage(lexed.join(numbers.hint("merge"), "path"), "numbered")
 
 
+def _numbered(lexed: DataFrame, listed: DataFrame) -> DataFrame:
+    """Lexed files with a document id in path order.  Only paths are sorted."""
+    return _join_numbers(lexed, stage(corpus.number_documents(listed.select("path")), "numbers"))
+
+
 def encode(
     spark: SparkSession,
     dataset_dir: str = "repositories",
@@ -96,7 +118,8 @@ def encode(
     """Encode the source files below ``dataset_dir`` into ``output_file``.
 
     A finished output is kept unless ``redo``; tells whether it was written.
-    Texts are lexed where they are read, and only the tokens are staged.
+    Texts are lexed where they are read, and only the tokens are staged.  Of an ingested folder only files
+    of runs not counted before are read; see :func:`count_runs`.
 
     A run writes dataset, vocabulary and settings into a folder of its own below ``.runs``; a pointer
     file, replaced last, makes it the current one.  Until then, and if the run dies, the dataset is the old one with
@@ -109,14 +132,16 @@ def encode(
         return False
     run = store.new_run(output_file)
     with temporary(spark):
-        listed, texts = _sources(spark, dataset_dir, suffix)
-        lexed = _numbered(stage(lex_documents(texts, "path"), "lexed"), listed)
-        tokens = lexed.select("doc_id", "tokens")
-
-        def frequency() -> DataFrame:
-            return vocabulary.token_frequency(explode_tokens(tokens), "doc_id")
-
-        counted = stage(frequency(), "frequency")
+        if store.exists(spark, f"{dataset_dir}/manifest"):
+            counted = stage(count_runs(spark, dataset_dir), "frequency")
+            read = store.read_counts(spark, dataset_dir, "tokens", TOKENS_SCHEMA)
+            lexed = _numbered(read, read)
+            tokens = lexed.select("doc_id", "tokens")
+        else:
+            listed, texts = _sources(spark, dataset_dir, suffix)
+            lexed = _numbered(stage(lex_documents(texts, "path"), "lexed"), listed)
+            tokens = lexed.select("doc_id", "tokens")
+            counted = stage(vocabulary.token_frequency(explode_tokens(tokens), "doc_id"), "frequency")
         # Two corpora with the same tokens under the same paths have the same vocabulary.
         name = store.fingerprint(lexed, "tokens")
         vocab = store.get_vocab(

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..plans.lookup import lookup_join
 from ..plans.ordering import dense_index, running
 from .tokens import typed_key, unknown_key
 
 VOCAB_SCHEMA = "id int, t_type string, token string, key string, count bigint"
 FIRST_SEEN = "first_seen"
+LOCATED_SCHEMA = "t_type string, token string, count bigint, first_seen struct<path: string, pos: int>"
 _POSITIONS = 1 << 31
 
 
@@ -33,6 +35,30 @@ def token_frequency(tokens: DataFrame, doc_col: str | None = None) -> DataFrame:
     return tokens.groupBy("t_type", "token").agg(*aggregates)
 
 
+def located_frequency(frequency: DataFrame, documents: DataFrame) -> DataFrame:
+    """Counts with ``first_seen`` as ``(path, pos)`` in place of a document number.
+
+    A place by path stays the same when files are added, so counts of several sets of
+    files can be merged.  ``documents`` are ``(doc_id, path)``; only one row a token is joined.
+    """
+    seen = frequency.withColumn("doc_id", F.expr(f"{FIRST_SEEN} div {_POSITIONS}"))
+    pos = F.pmod(F.col(FIRST_SEEN), F.lit(_POSITIONS)).cast("int")
+    return lookup_join(seen, documents, ["doc_id"], "inner").select(
+        "t_type", "token", "count", F.struct("path", pos.alias("pos")).alias(FIRST_SEEN)
+    )
+
+
+def merge_frequencies(parts: DataFrame) -> DataFrame:
+    """One count of the counts of several sets of files, which share no file.
+
+    Sums and least places, so any grouping of the sets gives the same; no rows give none.
+    The order by path is that of :func:`token_frequency` over documents numbered by path.
+    """
+    return parts.groupBy("t_type", "token").agg(
+        F.sum("count").alias("count"), F.min(FIRST_SEEN).alias(FIRST_SEEN)
+    )
+
+
 def most_common(frequency: DataFrame) -> DataFrame:
     return frequency.orderBy(F.desc("count"), "t_type", "token")
 

@@ -13,11 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import commands
 from ..functions import lexicon as L
 from ..functions import paths as P
 from ..functions.lexing import lex, typed_raw
 from ..operators import completion, corpus, encoding, metrics, sequences, vocabulary
 from ..operators import tokens as tok
+from ..plans.lookup import lookup_join
 from ..plans.ordering import dense_index
 from ..plans.parallel import spread
 from ..plans.staging import new_path, stage
@@ -262,14 +264,12 @@ def skip_ingested(spark, sf_dir):
     return corpus.skip_ingested(docs, manifest, ["doc_id"])
 
 
-@query
-def ingest_pages(spark, sf_dir):
-    """Two runs, hosts as repositories: pages served without encryption, then
-    all pages; the second run skips the hosts of the first."""
+def _found_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files, hosts as repositories; ``plain`` for pages served without encryption."""
     pages = _pages(spark, sf_dir).join(
         _table(spark, sf_dir, "pages").select("page_id", "url", F.md5("html").alias("content")), "page_id"
     )
-    found = pages.select(
+    return pages.select(
         F.regexp_extract("host", r"[^.]+\.[^.]+$", 0).alias("user"),
         F.col("host").alias("repo"),
         F.concat_ws("/", "host", "path").alias("path"),
@@ -277,6 +277,13 @@ def ingest_pages(spark, sf_dir):
         "content",
         F.col("url").startswith("http://").alias("plain"),
     )
+
+
+@query
+def ingest_pages(spark, sf_dir):
+    """Two runs, hosts as repositories: pages served without encryption, then
+    all pages; the second run skips the hosts of the first."""
+    found = _found_pages(spark, sf_dir)
     base = new_path(spark, "repositories")
     plain = found.filter("plain")
     store.write_table(plain.select("user", "repo").distinct(), f"{base}/manifest/run=1")
@@ -288,6 +295,24 @@ def ingest_pages(spark, sf_dir):
     )
 
 
+@query
+def stream_ingest_pages(spark, sf_dir):
+    """As ``ingest_pages``, by a stream of announced deliveries, one to a trigger."""
+    root = new_path(spark, "deliveries")
+    found = stage(_found_pages(spark, sf_dir), "pages")
+    for number, part in enumerate([found.filter("plain"), found], start=1):
+        folder = f"{root}/{number}"
+        part.drop("plain").write.parquet(folder)
+        announced = spark.createDataFrame([(number, folder)], ingest.DELIVERY_SCHEMA)
+        announced.coalesce(1).write.mode("append").parquet(f"{root}/announced")
+    base, values = f"{root}/repositories", "page_id bigint, content string"
+    arrivals = ingest.document_stream(spark, f"{root}/announced", ingest.DELIVERY_SCHEMA, 1)
+    read = ingest.read_deliveries(f"user string, repo string, path string, {values}")
+    ingest.stream_ingest(arrivals, base, f"{root}/state", read, "").awaitTermination()
+    filed = store.read_ingested(spark, base, values=values)
+    return filed.withColumn("path", F.replace("path", F.lit(base), F.lit("repositories")))
+
+
 @query
 def drop_comments(spark, sf_dir):
     raw = tok.raw_tokens(_table(spark, sf_dir, "pages"), "page_id", "html")
@@ -451,6 +476,24 @@ def build_vocab(spark, sf_dir):
     return _vocab(_lexed(spark, sf_dir))
 
 
+@query
+def merged_vocab(spark, sf_dir):
+    """As ``build_vocab``, from counts of two runs: documents with labels were counted first,
+    and the others, when they came, by themselves."""
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.format_string("%020d", "doc_id").alias("path")
+    )
+    labelled = _table(spark, sf_dir, "labels").select("doc_id").distinct()
+    base = new_path(spark, "repositories")
+    for run, how in (("run=1", "left_semi"), ("run=2", "left_anti")):
+        files_of = lookup_join(docs, labelled, ["doc_id"], how)
+        named = files_of.select(F.lit("u").alias("user"), F.lit(run).alias("repo"), "path", "text")
+        store.write_table(named, f"{base}/files/{run}")
+        store.write_table(spark.createDataFrame([("u", run)], "user string, repo string"), f"{base}/manifest/{run}")
+        counted = commands.count_runs(spark, base)
+    return stage(vocabulary.build_vocab(stage(counted, "frequency")), "vocab")
+
+
 @query
 def vocab_ids(spark, sf_dir):
     tokens = tok.tokenize(_documents(spark, sf_dir))

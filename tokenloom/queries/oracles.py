@@ -610,3 +610,5 @@ FROM asked JOIN walk USING (start) WHERE status IS NOT NULL""",
 }
 ORACLES["stream_encode"] = ORACLES["write_encoded"]
 ORACLES["encode_large_vocabulary"] = ORACLES["encode_documents"]
+ORACLES["merged_vocab"] = ORACLES["build_vocab"]
+ORACLES["stream_ingest_pages"] = ORACLES["ingest_pages"]

@@ -32,19 +32,23 @@ _BAD = (
 )
 
 
-def _archive_files(spark: SparkSession, directory: str) -> DataFrame:
+def named(archives: DataFrame) -> DataFrame:
+    """Add ``user`` and ``repo`` from the name of the file in ``path``."""
     stem = F.regexp_extract("path", r"([^/]+)\.zip$", 1)
-    return (
+    return archives.withColumns(
+        {
+            "user": F.substring_index(stem, "_", 1),
+            "repo": F.regexp_replace(stem, F.lit("^[^_]*_"), F.lit("")),
+        }
+    )
+
+
+def _archive_files(spark: SparkSession, directory: str) -> DataFrame:
+    return named(
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.zip")
         .load(directory)
-        .withColumns(
-            {
-                "user": F.substring_index(stem, "_", 1),
-                "repo": F.regexp_replace(stem, F.lit("^[^_]*_"), F.lit("")),
-            }
-        )
     )
 
 

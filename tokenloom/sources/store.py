@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import paths as P
+from ..operators.corpus import choose_files
 from ..operators.vocabulary import VOCAB_SCHEMA, rare_lines, report_lines
 
 ENCODED_COLUMN = "ids"
@@ -180,22 +184,77 @@ def read_run(spark: SparkSession, dataset: str):
     return rows[0]
 
 
-def _finished_runs(spark: SparkSession, base: str) -> list[str]:
+def finished_runs(spark: SparkSession, base: str) -> list[str]:
     """The ingestion runs whose manifest was written to its end."""
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/manifest/run=*/_SUCCESS")
-    system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(m.getPath().getParent().getName() for m in system.globStatus(pattern) or [])
+    return _finished(spark, f"{base}/manifest/run=*")
+
+
+def _finished(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the tables matching ``pattern`` that were written to their end."""
+    hadoop, system = _file_system(spark, pattern)
+    marked = system.globStatus(hadoop.Path(f"{pattern}/_SUCCESS")) or []
+    return sorted(m.getPath().getParent().getName() for m in marked)
 
 
 def read_manifest(spark: SparkSession, base: str) -> DataFrame:
     """``(user, repo)`` of everything ingested into ``base``."""
-    runs = [f"{base}/manifest/{run}" for run in _finished_runs(spark, base)]
+    runs = [f"{base}/manifest/{run}" for run in finished_runs(spark, base)]
     reader = spark.read.schema("user string, repo string")
     return reader.parquet(*runs) if runs else spark.createDataFrame([], "user string, repo string")
 
 
-def read_ingested(spark: SparkSession, base: str) -> DataFrame:
-    """``(user, repo, path, text)`` of the files of the finished runs."""
-    schema = "user string, repo string, path string, text string"
-    runs = [f"{base}/files/{run}" for run in _finished_runs(spark, base)]
-    return spark.read.schema(schema).parquet(*runs) if runs else spark.createDataFrame([], schema)
+def read_ingested(
+    spark: SparkSession, base: str, runs: Sequence[str] | None = None, values: str = "text string"
+) -> DataFrame:
+    """``(user, repo, path, values)`` of the files of the finished runs, or of ``runs`` alone."""
+    schema = f"user string, repo string, path string, {values}"
+    folders = [f"{base}/files/{run}" for run in (finished_runs(spark, base) if runs is None else runs)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def file_run(found: DataFrame, repos: DataFrame, base: str, run: str, suffix: str = ".py") -> DataFrame:
+    """File the chosen ones of the ``found`` files, and list ``repos`` as taken.
+
+    ``found`` are ``(user, repo, path)`` and any values.  The manifest is written last and
+    marks the run as finished; a run of the same name that died is replaced.
+    """
+    chosen = choose_files(found, suffix)
+    filed = P.destination(F.col("user"), F.col("repo"), F.col("path"), base)
+    values = [c for c in found.columns if c not in ("user", "repo", "path")]
+    files = chosen.select("user", "repo", filed.alias("path"), *values)
+    written = write_table(files, f"{base}/files/{run}")
+    write_table(repos.select("user", "repo"), f"{base}/manifest/{run}")
+    return written
+
+
+def count_parts(spark: SparkSession, base: str) -> dict[str, list[str]]:
+    """The stored counts of ``base``: name of the part, runs it covers.  A run in two parts raises."""
+    names = [name.split("=", 1)[1] for name in _finished(spark, f"{base}/counts/covers/part=*")]
+    parts: dict[str, list[str]] = {name: [] for name in names}
+    if names:
+        folders = [f"{base}/counts/covers/part={name}" for name in names]
+        # One name for each run, not for each repository or file.
+        for row in spark.read.schema("part string, run string").parquet(*folders).toLocalIterator():
+            parts[row.part].append(row.run)
+    covered = [run for runs in parts.values() for run in runs]
+    if len(covered) != len(set(covered)):
+        raise ValueError(f"{base}/counts covers a run twice")
+    return parts
+
+
+def write_counts(
+    spark: SparkSession, base: str, runs: Sequence[str], lexed: DataFrame, count
+) -> None:
+    """Store the tokens of ``runs`` and ``count(tokens)`` as one part.  The list of the runs it
+    covers is written last; without it the part does not count."""
+    name = hashlib.md5(",".join(sorted(runs)).encode()).hexdigest()
+    tokens = write_table(lexed, f"{base}/counts/tokens/part={name}")
+    write_table(count(tokens), f"{base}/counts/frequency/part={name}")
+    covers = spark.createDataFrame([(name, run) for run in sorted(runs)], "part string, run string")
+    write_table(covers, f"{base}/counts/covers/part={name}")
+
+
+def read_counts(spark: SparkSession, base: str, table: str, schema) -> DataFrame:
+    """``tokens`` or ``frequency`` of all finished parts."""
+    folders = [f"{base}/counts/{table}/part={name}" for name in count_parts(spark, base)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
