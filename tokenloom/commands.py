@@ -208,7 +208,7 @@ def fit(
 
     The counts are stored with the run they were made from, so another run has its own.  With
     ``held_out`` documents ``(doc_id, text)``, loss and accuracy of the counts on
-    them are written to ``.metrics``, eight neighbouring ids to a batch.
+    them, shorter contexts included, are written to ``.metrics``, eight neighbouring ids to a batch.
     """
     run = store.read_run(spark, dataset)
     encoded = store.read_encoded(spark, dataset)
@@ -222,8 +222,8 @@ def fit(
         vocab = dataset_vocab(spark, dataset)
         coded = encoding.encode_documents(held_out, vocab, on_missing="null")
         pairs = sequences.shift_pairs(sequences.chunk_sequences(encoding.long_enough(coded, 2), n_ctx))
-        judged = metrics.ngram_metrics(
-            pairs.withColumn("batch", F.floor(F.col("doc_id") / L.BATCH_SIZE)), counts.filter(F.size("context") == 1), run.n_vocab, ["batch"]
+        judged = metrics.backoff_metrics(
+            pairs.withColumn("batch", F.floor(F.col("doc_id") / L.BATCH_SIZE)), counts, run.n_vocab, k, ["batch"]
         )
         store.write_table(judged, f"{dataset}.metrics")
     return counts

@@ -9,6 +9,7 @@ Arrays are returned as comma-joined text, so that results compare by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -637,6 +638,26 @@ def heldout_metrics(spark, sf_dir):
     return judged.withColumns({c: F.round(c, 6) for c in ("loss", "accuracy")})
 
 
+@query
+def heldout_backoff(spark, sf_dir):
+    """As ``heldout_metrics``, for contexts of up to 1, 2 and 3 ids backing off to shorter ones."""
+    encoded, vocab = _corpus(spark, sf_dir)
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    coded = encoding.long_enough(encoding.encode_documents(items, vocab, on_missing="null"), 2)
+    asked = sequences.shift_pairs(sequences.chunk_sequences(coded))
+    asked = stage(asked.withColumn("batch", F.floor(F.col("doc_id") / 8)), "asked")
+    pairs = sequences.shift_pairs(sequences.chunk_sequences(encoded))
+    counts = stage(completion.backoff_counts(pairs, 3), "counts")
+    n_vocab = vocab.count()
+    judged = [
+        metrics.backoff_metrics(asked, counts, n_vocab, k, ["batch"]).withColumn("k", F.lit(k))
+        for k in (1, 2, 3)
+    ]
+    return reduce(DataFrame.unionByName, judged).withColumns(
+        {c: F.round(c, 6) for c in ("loss", "accuracy")}
+    )
+
+
 # --- next-token counts and completion ----------------------------------------
 
 
@@ -660,6 +681,14 @@ def next_token_counts(spark, sf_dir):
     return both[0].unionByName(both[1]).withColumn("context", _joined("context"))
 
 
+@query
+def backoff_counts(spark, sf_dir):
+    """Contexts of up to three ids, of one count of the steps."""
+    encoded, _ = _corpus(spark, sf_dir)
+    pairs = sequences.shift_pairs(sequences.chunk_sequences(encoded))
+    return completion.backoff_counts(pairs, 3).withColumn("context", _joined("context"))
+
+
 @query
 def top_k_next(spark, sf_dir):
     encoded, _ = _corpus(spark, sf_dir)

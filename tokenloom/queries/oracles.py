@@ -331,6 +331,50 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
+def _heldout_backoff() -> str:
+    totals = ",\n".join(
+        f"""t{j} AS (
+  SELECT context, sum(n)::DOUBLE AS total, count(*) AS kinds,
+         arg_min(target, -n * 1000000000 + target) AS guess FROM counts{j} GROUP BY context)"""
+        for j in range(4)
+    )
+    chances, lookups = ["1.0 / (SELECT count(*) FROM vocab)"], []
+    for j in range(4):
+        lookups.append(
+            f"LEFT JOIN counts{j} s{j} ON s{j}.context = q.x{j} AND s{j}.target = q.target "
+            f"LEFT JOIN t{j} ON t{j}.context = q.x{j}"
+        )
+        chances.append(
+            f"CASE WHEN t{j}.total IS NULL THEN {chances[-1]} ELSE "
+            f"(coalesce(s{j}.n, 0) + t{j}.kinds * ({chances[-1]})) / (t{j}.total + t{j}.kinds) END"
+        )
+    guess = lambda k: "coalesce(" + ", ".join(f"t{j}.guess" for j in range(k, -1, -1)) + ")"
+    judged = ", ".join(
+        f"-ln({chances[k + 1]}) AS loss{k}, coalesce({guess(k)} = q.target, false)::INT AS hit{k}" for k in (1, 2, 3)
+    )
+    items = _tokens("SELECT item_id AS doc_id, text FROM benchmark", "b_")
+    return _with(
+        f"""{_pairs()},{items},{_coded("b_")},
+steps AS (
+  SELECT doc_id // 8 AS batch, u.c AS a, ids[u.nr + 1] AS target,
+         CASE WHEN (u.nr - 1) % {L.N_CTX} >= 1 THEN ids[u.nr - 1] END AS b,
+         CASE WHEN (u.nr - 1) % {L.N_CTX} >= 2 THEN ids[u.nr - 2] END AS bb
+  FROM b_listed, unnest(ids) WITH ORDINALITY AS u(c, nr)
+  WHERE len(ids) >= 2 AND u.nr < len(ids) AND u.nr % {L.N_CTX} <> 0),
+asked AS (
+  SELECT batch, target, '' AS x0, a::VARCHAR AS x1, b || ',' || a AS x2, bb || ',' || b || ',' || a AS x3 FROM steps),
+{totals},
+judged AS (SELECT q.batch, q.target, {judged} FROM asked q {" ".join(lookups)})""",
+        " UNION ALL ".join(
+            f"""SELECT batch, {k} AS k, count(target)::BIGINT AS n_targets,
+  count(*) FILTER (target IS NULL)::BIGINT AS n_unknown,
+  round(avg(loss{k}) FILTER (target IS NOT NULL), 6) AS loss,
+  round(avg(hit{k}) FILTER (target IS NOT NULL), 6) AS accuracy FROM judged GROUP BY batch"""
+            for k in (1, 2, 3)
+        ),
+    )
+
+
 ORACLES: dict[str, str] = {
     # scans, sources, sinks
     "repo_list": r"""
@@ -564,7 +608,11 @@ judged AS (
   round(avg(loss) FILTER (target IS NOT NULL), 6) AS loss,
   round(avg(hit) FILTER (target IS NOT NULL), 6) AS accuracy FROM judged GROUP BY batch""",
     ),
+    "heldout_backoff": _heldout_backoff(),
     # next-token counts and completion
+    "backoff_counts": _with(
+        _pairs(), " UNION ALL ".join(f"SELECT context, target, n FROM counts{j}" for j in range(4))
+    ),
     "next_token_counts": _with(
         _pairs(),
         """SELECT 1 AS k, context, target, n FROM counts1
