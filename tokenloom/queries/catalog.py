@@ -581,6 +581,18 @@ def padded_batches(spark, sf_dir):
     return batches.withColumn("x", _joined("x")).withColumn("y", _joined("y"))
 
 
+@query
+def epoch_batches(spark, sf_dir):
+    """The batches of two epochs from one stored numbering of the sequences."""
+    encoded, _ = _corpus(spark, sf_dir)
+    index = stage(sequences.sequence_index(encoded), "index")
+    both = [
+        sequences.epoch_batches(encoded, index, seed=3, epoch=e).withColumn("epoch", F.lit(e)) for e in (0, 1)
+    ]
+    batches = both[0].unionByName(both[1])
+    return batches.withColumn("x", _joined("x")).withColumn("y", _joined("y"))
+
+
 # --- metrics -----------------------------------------------------------------
 
 

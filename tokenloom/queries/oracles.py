@@ -213,6 +213,38 @@ padded AS (
   SELECT batch_id, row_in_batch, width, doc_id, chunk_no,
          list_resize(x, width, 0) AS x, list_resize(y, width, 0) AS y FROM batches)"""
 
+
+
+def _digits_moved() -> str:
+    """One move of ``v`` through the rounds: both digits in turn, each by the other one."""
+    rows = "SELECT *, v // low AS l0, v % low AS r0 FROM walk JOIN dims USING (epoch) WHERE moves = 0 OR v >= n"
+    for i in range(4):
+        key = f"('0x' || md5('3-' || epoch || '-{i}')[:7])::BIGINT"
+        for new, old, other, radix in ((f"l{i + 1}", f"l{i}", f"r{i}", "high"), (f"r{i + 1}", f"r{i}", f"l{i + 1}", "low")):
+            by = f"(({other} * 48271 + {key}) % 2147483647 * 69621 + {key}) % 2147483629"
+            rows = f"SELECT *, ({old} + {by}) % {radix} AS {new} FROM ({rows})"
+    return f"SELECT doc_id, chunk_no, chunk, epoch, l4 * low + r4, moves + 1 FROM ({rows})"
+
+
+_EPOCHS = f"""RECURSIVE {_chunks()},
+dims AS (
+  SELECT epoch, n, high, ((n + high - 1) // high)::BIGINT AS low
+  FROM (SELECT count(*)::BIGINT AS n, ceil(sqrt(count(*)))::BIGINT AS high FROM chunks),
+       (VALUES (0), (1)) AS e(epoch)),
+walk AS (
+  SELECT doc_id, chunk_no, chunk, epoch, (row_number() OVER (PARTITION BY epoch ORDER BY doc_id, chunk_no) - 1)::BIGINT AS v,
+         0 AS moves
+  FROM chunks, dims
+  UNION ALL
+  {_digits_moved()}),
+batches AS (
+  SELECT epoch, v // 8 AS batch_id, (v % 8)::INT AS row_in_batch, doc_id, chunk_no, chunk[:-2] AS x, chunk[2:] AS y,
+         max(len(chunk) - 1) OVER (PARTITION BY epoch, v // 8)::INT AS width
+  FROM walk JOIN dims USING (epoch) WHERE moves > 0 AND v < n),
+padded AS (
+  SELECT epoch, batch_id, row_in_batch, width, doc_id, chunk_no,
+         list_resize(x, width, 0) AS x, list_resize(y, width, 0) AS y FROM batches)"""
+
 _PIECE = f"""CASE WHEN id = 0 THEN ''
      WHEN t_type = '{L.TEXT}' AND token = '<|endofline|>' THEN chr(10)
      WHEN t_type = '{L.TEXT}' AND token = '<|space|>' THEN ' '
@@ -569,6 +601,11 @@ FROM chunks""",
     "padded_batches": _with(
         _BATCHES,
         f"""SELECT batch_id, row_in_batch, width, doc_id, chunk_no, {_text_of('x')} AS x,
+  {_text_of('y')} AS y FROM padded""",
+    ),
+    "epoch_batches": _with(
+        _EPOCHS,
+        f"""SELECT epoch, batch_id, row_in_batch, width, doc_id, chunk_no, {_text_of('x')} AS x,
   {_text_of('y')} AS y FROM padded""",
     ),
     # metrics
