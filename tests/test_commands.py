@@ -177,3 +177,19 @@ def test_archives_without_sources_are_taken_once(spark, tmp_path):
     (packed / "u_bad.zip").write_bytes(b"nonsense")
     assert commands.ingest(spark, str(packed), base) == 0
     assert [(r.user, r.repo) for r in store.read_manifest(spark, base).collect()] == [("u", "nopy")]
+
+
+def test_epochs_share_one_numbering(spark, tree, monkeypatch):
+    run(spark, tree)
+    dataset = str(tree / "dataset")
+    rows = lambda epoch: sorted(
+        (r.batch_id, r.row_in_batch, r.doc_id, r.chunk_no)
+        for r in commands.batches(spark, dataset, batch_size=2, n_ctx=4, epoch=epoch).collect()
+    )
+    first = rows(0)
+    # Later epochs number nothing again.
+    monkeypatch.setattr(commands.sequences, "sequence_index", None)
+    assert rows(0) == first
+    later = rows(1)
+    assert {r[2:] for r in later} == {r[2:] for r in first} and [r[:2] for r in later] == [r[:2] for r in first]
+    assert later != first

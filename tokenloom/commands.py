@@ -181,10 +181,19 @@ def batches(
     epoch: int = 0,
 ) -> DataFrame:
     """Padded batches of one epoch.  The shuffle covers all sequences, so there
-    is no buffer size to choose."""
-    return sequences.padded_batches(
-        store.read_encoded(spark, dataset), batch_size, n_ctx, seed, epoch
-    )
+    is no buffer size to choose.
+
+    The sequences of a run are numbered once, and the numbers are stored with it; the order of an epoch is a
+    permutation of them, so epochs after the first sort nothing."""
+    encoded = store.read_encoded(spark, dataset)
+    folder = store.current_run(spark, dataset)
+    path = f"{folder}/index/n_ctx={n_ctx}" if folder else None
+    if path and store.complete(spark, path):
+        index = spark.read.parquet(path)
+    else:
+        index = sequences.sequence_index(encoded, n_ctx)
+        index = store.write_table(index, path) if path else stage(index, "index")
+    return sequences.epoch_batches(encoded, index, batch_size, n_ctx, seed, epoch)
 
 
 def dataset_vocab(spark: SparkSession, dataset: str = "dataset") -> DataFrame:
