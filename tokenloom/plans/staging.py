@@ -65,5 +65,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a scan of what was written."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "lz4_raw").parquet(path)
+    # Not lz4_raw: pages are written that the reader refuses ("all input must be consumed").
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
