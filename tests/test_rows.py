@@ -1,9 +1,32 @@
-"""The files tables are staged in."""
+"""Encoding of whole rows, and the files tables are staged in."""
 
+from pyspark.sql import functions as F
+
+from tokenloom.operators import encoding, vocabulary
+from tokenloom.operators import tokens as tok
 from tokenloom.plans.staging import stage
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_staged_files_are_ones_the_reader_takes(spark):
     # LZ4_RAW pages of some sizes cannot be read back: "all input must be consumed".
     staged = stage(spark.range(3), "numbers")
     assert all("lz4" not in name for name in staged.inputFiles()) and staged.count() == 3
+
+
+def test_encoding_moves_only_documents_that_share_an_id(spark):
+    texts = [(i, f"x{i % 7} = {i % 3}\n" * 2) for i in range(20)]
+    texts += [(3, "x1 = 2\n"), (3, ""), (None, "x2 = 1\n"), (None, None), (30, None), (31, "")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    lexed = stage(tok.lex_documents(docs), "lexed")
+    frequency = vocabulary.token_frequency(tok.explode_tokens(lexed), "doc_id")
+    vocab = stage(vocabulary.build_vocab(frequency.filter("t_type IS NOT NULL"), 2), "vocab")
+    encoded = encoding.encode_lexed(lexed, vocab)
+    # The vocabulary is looked up inside of the rows: no row of the plan holds a token.
+    assert "Generate" not in _plan(encoded)
+    plain = encoding.encode_tokens(tok.explode_tokens(lexed, outer=True), vocab)
+    expected = encoding.collect_ids(plain).withColumn("n_tokens", F.size("ids"))
+    assert sorted(map(str, encoded.collect())) == sorted(map(str, expected.collect()))
