@@ -30,3 +30,17 @@ def test_encoding_moves_only_documents_that_share_an_id(spark):
     plain = encoding.encode_tokens(tok.explode_tokens(lexed, outer=True), vocab)
     expected = encoding.collect_ids(plain).withColumn("n_tokens", F.size("ids"))
     assert sorted(map(str, encoded.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_decoding_moves_only_documents_that_share_an_id(spark):
+    vocab = spark.createDataFrame(
+        [(0, None, "<|start|>"), (1, "Token.Name", "a"), (7, "Token.Name", "b")],
+        "id int, t_type string, token string",
+    )
+    rows = [(1, [0, 1, 7]), (2, []), (3, None), (4, [1, None]), (5, [7, 99]), (6, [1]), (6, [7, 7]), (None, [1]), (None, [7])]
+    coded = stage(spark.createDataFrame(rows, "doc_id int, ids array<int>"), "encoded")
+    decoded = encoding.decode_documents(coded, vocab, on_missing="null")
+    # The pieces of documents with an id of their own are never rows of their own.
+    assert "Union" in _plan(decoded)
+    plain = encoding.decode_documents(coded, vocab, limit=0, on_missing="null")
+    assert sorted(map(str, decoded.collect())) == sorted(map(str, plain.collect()))
