@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tokenloom.functions import lexicon as L
 from tokenloom.operators import encoding, vocabulary
 from tokenloom.operators import tokens as tok
 from tokenloom.plans.staging import stage
@@ -44,3 +45,35 @@ def test_decoding_moves_only_documents_that_share_an_id(spark):
     assert "Union" in _plan(decoded)
     plain = encoding.decode_documents(coded, vocab, limit=0, on_missing="null")
     assert sorted(map(str, decoded.collect())) == sorted(map(str, plain.collect()))
+
+
+def _rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_a_filter_by_length_encodes_each_document_once(spark):
+    docs = spark.createDataFrame([(1, "a = b + 1\n" * 4), (2, "x\n"), (2, "y\n"), (3, None)], "doc_id long, text string")
+    lexed = stage(tok.lex_documents(docs), "lexed")
+    frequency = vocabulary.token_frequency(tok.explode_tokens(lexed), "doc_id")
+    encoded = encoding.encode_lexed(lexed, stage(vocabulary.build_vocab(frequency, 0), "vocab"))
+    kept = encoding.long_enough(encoded, 5)
+    assert kept.columns == encoded.columns
+    assert _rows_of(kept) == _rows_of(stage(encoded, "encoded").filter("size(ids) >= 5"))
+    # Each lookup of a document's tokens hashes them; a filter must not.
+    filters = [line for line in _plan(kept).splitlines() if "Filter" in line]
+    assert not any("xxhash64" in line for line in filters)
+
+
+def test_texts_of_single_tokens_need_no_array_for_each(spark):
+    """Several tabs, comments and docstrings among tokens that stand for themselves."""
+    text = '\n\nif x:\n        y = "s"  # note\n    """doc"""\n            z(1)\n'
+    docs = spark.createDataFrame([(1, text), (2, "a  b\n"), (3, "    c\n"), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: [t.token for t in r.tokens] for r in tok.lex_documents(docs).collect()}
+    end, tab, space = L.END_OF_LINE, L.TAB, L.SPACE
+    assert got[1] == [
+        "if", space, "x", ":", end, tab, tab, "y", space, "=", space, "s", space, end, tab, end,
+        tab, tab, tab, "z", "(", "1", ")", end,
+    ]
+    assert got[2] == ["a", space, "b", end]
+    assert got[3] == [tab, "c", end]
+    assert got[4] == []
