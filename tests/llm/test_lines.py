@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corpus import documents, lines_of, varied, words
@@ -86,3 +87,36 @@ def test_stage_keeps_rows_and_columns(spark):
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "x y", 2: "", 3: None}
     assert lines.dedup_lines(documents(spark, [])).collect() == []
+
+
+def test_looked_up_again_only_under_words_with_more():
+    """Two rows before the last one pass the filters; a third passes or is far too long."""
+
+    def rows(n_first):
+        same = dict.fromkeys(["word", "pos", "line_no"], np.zeros(4, dtype=np.int64))
+        sketch = dict.fromkeys(["s1", "s2"], np.zeros(4, dtype=np.uint64))
+        n = np.array([n_first, 10, 10, 10])
+        return same | sketch | {"doc": np.arange(4), "n": n, "open": np.arange(4) == 3}
+
+    for n_first, more in ((100, []), (11, [3])):
+        later, earlier, unsure = lines._near(rows(n_first), (80, 100), 0, 2)
+        assert (later.tolist(), earlier.tolist(), unsure.tolist()) == ([3, 3], [2, 1], more)
+    later, earlier, unsure = lines._near(rows(11), (80, 100), 2, 32)
+    assert (later.tolist(), earlier.tolist(), unsure.tolist()) == ([3], [0], [])
+
+
+def test_ranks_take_a_byte_a_cell(spark):
+    docs = documents(spark, [(0, "a b b c c c c"), (1, "c c c c"), (2, None)]).select("text")
+    ranks = lines.cell_ranks(docs)
+    assert ranks.nbytes == 1 << lines.CELL_BITS
+    assert sorted(ranks[ranks > 0].tolist()) == [8, 12, 25]
+
+
+@pytest.mark.parametrize("high", [0, 1])
+def test_order_by_line_and_id(high):
+    # Ids that differ in their last bits alone are ordered as well.
+    line = np.array([0, 0, 0, 1, 1])
+    ids = np.array([3, 1 - high, 3, 2, 0], dtype=np.uint64) << np.uint64(40 * high)
+    order = lines._by_line(line, ids)
+    assert line[order].tolist() == line.tolist()
+    assert ids[order].tolist() == ids[np.lexsort((ids, line))].tolist()

@@ -8,12 +8,12 @@ A line is removed when an earlier line, by (doc_id, line number), matches it; al
 
 Equal sets are collapsed first.  The sets under one word are compared in corpus order, each with the ones
 before it, nearest first; a 128-bit parity sketch of each set, whose Hamming distance never exceeds the symmetric
-difference, rules out most pairs.  A line needs one match only, so a line stops after a few possible ones; where those fail the
-verification it is looked up again with more of them, and so on while there are any.  Lines that vary one common original, however many, thus meet a few of
-them and not each other.
+difference, rules out most pairs.  A line needs one match only, so a line stops after a few possible ones under a word; where those
+fail the verification and the word has more, the line is looked up again under that word, and so on while there are any.  Lines that
+vary one common original, however many, thus meet a few of them and not each other.
 
-The rank of a word is that of its hash cell among ``2 ** RANK_BITS`` by the count of the cell over all texts, rarest
-first; the table of ranks has a fixed size.  Rank and the rest of the hash together are the word's 64-bit id.
+The rank of a word is the size of its hash cell among ``2 ** CELL_BITS``, counted over all texts, in eighths of a power of
+two; the table of ranks has a fixed size of a byte a cell.  Rank and 56 bits of the hash together are the word's 64-bit id.
 
 Words are hashed, ranked and compared with numpy on batches.  The same in DataFrame functions needed about
 four times the CPU time this operator may take, and more disk; Spark deals, sorts, joins and counts.
@@ -40,10 +40,11 @@ from .shingles import mix, word_hashes
 from .text import let
 
 THRESHOLD = (80, 100)
-RANK_BITS = 22
+CELL_BITS = 22
 _BLOCK_BITS = 16
-_REST_BITS = np.uint64(64 - RANK_BITS)
-_FIRST_LOOK, _MORE = 2, 8
+_REST_BITS = np.uint64(64 - CELL_BITS)
+_RANK_BITS = np.uint64(8)
+_FIRST_LOOK, _MORE = 4, 16
 _ROWS = 100_000
 _LAST_DOC = (1 << 63) - 1
 _CHUNK_BYTES = 512 * 1024
@@ -69,9 +70,15 @@ _ARROW_SET = pa.schema([f for f in _ARROW_LINE if f.name not in ("text_key", "n"
     pa.field("tokens", pa.list_(pa.int64()))
 )
 _PLACED = ["word", "doc", "line_no", "n", "pos", "s1", "s2", "open"]
-_PAIR = "doc bigint, line_no int, other_doc bigint, other_line int"
+_PAIR = "doc bigint, line_no int, other_doc bigint, other_line int, word bigint"
 _ARROW_PAIR = pa.schema(
-    [("doc", pa.int64()), ("line_no", pa.int32()), ("other_doc", pa.int64()), ("other_line", pa.int32())]
+    [
+        ("doc", pa.int64()),
+        ("line_no", pa.int32()),
+        ("other_doc", pa.int64()),
+        ("other_line", pa.int32()),
+        ("word", pa.int64()),
+    ]
 )
 
 
@@ -102,7 +109,7 @@ def _texts(column) -> Iterator[str | None]:
 
 def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words per hash cell of one task, as one row per block of cells."""
-    counts = np.zeros(1 << RANK_BITS, dtype=np.int64)
+    counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
     cells: list[np.ndarray] = []
 
     def add():
@@ -124,33 +131,40 @@ def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of the blocks in one partition; it sees each of its blocks from all tasks."""
+def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ranks of the cells of the blocks in one partition; it sees each of its blocks from all tasks."""
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.block, batch.counts, strict=True):
             found = np.frombuffer(counts, dtype=np.int64)
             totals[block] = totals[block] + found if block in totals else found
-    yield pd.DataFrame(
-        {"block": list(totals), "counts": [t.tobytes() for t in totals.values()]}
-    ).astype({"block": "int32"})
+    ranks = [np.minimum(8 * np.log2(t + 1), 255).astype(np.uint8).tobytes() for t in totals.values()]
+    yield pd.DataFrame({"block": list(totals), "ranks": ranks}).astype({"block": "int32"})
 
 
 def cell_ranks(docs: DataFrame) -> np.ndarray:
-    """The rank of each cell, rarest first: ``2 ** RANK_BITS`` numbers, whatever the corpus."""
-    schema = "block int, counts binary"
-    counted = (
-        docs.select("text").mapInArrow(_cell_counts, schema)
+    """The rank of each cell, rarest first: ``2 ** CELL_BITS`` bytes, whatever the corpus."""
+    ranked = (
+        docs.select("text").mapInArrow(_cell_counts, "block int, counts binary")
         .repartition(16, "block")
-        .mapInPandas(_summed, schema)
-        .collect()  # 2 ** RANK_BITS counts in all
+        .mapInPandas(_ranked, "block int, ranks binary")
+        .collect()  # 2 ** CELL_BITS bytes in all
     )
-    counts = np.zeros((1 << (RANK_BITS - _BLOCK_BITS), 1 << _BLOCK_BITS), dtype=np.int64)
-    for row in counted:
-        counts[row.block] += np.frombuffer(row.counts, dtype=np.int64)
-    ranks = np.empty(1 << RANK_BITS, dtype=np.uint32)
-    ranks[np.argsort(counts.ravel(), kind="stable")] = np.arange(1 << RANK_BITS, dtype=np.uint32)
-    return ranks
+    ranks = np.zeros((1 << (CELL_BITS - _BLOCK_BITS), 1 << _BLOCK_BITS), dtype=np.uint8)
+    for row in ranked:
+        ranks[row.block] = np.frombuffer(row.ranks, dtype=np.uint8)
+    return ranks.ravel()
+
+
+def _by_line(line: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order by line and id, by one sort of the line with the first bits of the id if that tells all ids apart."""
+    if len(line) and line[-1] < 1 << 19:
+        keys = (line.astype(np.uint64) << np.uint64(45)) | (ids >> np.uint64(19))
+        order = np.argsort(keys)
+        keys, sorted_ids = keys[order], ids[order]
+        if not np.any((keys[1:] == keys[:-1]) & (sorted_ids[1:] != sorted_ids[:-1])):
+            return order
+    return np.lexsort((ids, line))
 
 
 def _line_sets(held: list[bytes], ranks: np.ndarray):
@@ -159,9 +173,9 @@ def _line_sets(held: list[bytes], ranks: np.ndarray):
     starts, hashes = word_hashes(data)
     breaks = np.cumsum(np.frombuffer(data, dtype=np.uint8) == 10)
     line = breaks[starts]
-    low = hashes & ((np.uint64(1) << _REST_BITS) - np.uint64(1))
-    ids = (ranks[(hashes >> _REST_BITS).astype(np.int64)].astype(np.uint64) << _REST_BITS) | low
-    order = np.lexsort((ids, line))
+    rank = ranks[(hashes >> _REST_BITS).astype(np.int64)].astype(np.uint64)
+    ids = (rank << (np.uint64(64) - _RANK_BITS)) | (hashes & (~np.uint64(0) >> _RANK_BITS))
+    order = _by_line(line, ids)
     line, ids = line[order], ids[order]
     fresh = np.ones(len(ids), dtype=bool)
     fresh[1:] = (line[1:] != line[:-1]) | (ids[1:] != ids[:-1])
@@ -249,7 +263,7 @@ def _near(rows: dict[str, np.ndarray], threshold, skip: int, look: int):
     """``(later, earlier, unsure)``: places in ``rows``, which are sorted by word and corpus order.
 
     Of each open row the nearest ``look`` rows before it under its word that the filters let pass,
-    without the first ``skip`` of them; ``unsure`` are the rows that stopped there though there are more.
+    without the first ``skip`` of them; ``unsure`` are the rows for which more would pass.
     """
     part, whole = threshold
     word, doc, line, n, pos, s1, s2, is_open = (rows[c] for c in _PLACED)
@@ -261,10 +275,7 @@ def _near(rows: dict[str, np.ndarray], threshold, skip: int, look: int):
         open_ = open_[word[open_] == word[open_ - back]]
         if not len(open_):
             break
-        full = taken[open_] >= look
-        unsure.append(open_[full])
-        a = open_ = open_[~full]
-        b = a - back
+        a, b = open_, open_ - back
         at_most = np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b])
         apart = np.bitwise_count(s1[a] ^ s1[b]).astype(np.int64) + np.bitwise_count(s2[a] ^ s2[b])
         both = n[a] + n[b]
@@ -274,10 +285,13 @@ def _near(rows: dict[str, np.ndarray], threshold, skip: int, look: int):
             & (apart * (whole + part) <= both * (whole - part))
             & ((doc[a] != doc[b]) | (line[a] != line[b]))
         )
-        fresh = passes & (taken[a] >= skip)
+        more = passes & (taken[a] >= look)
+        unsure.append(a[more])
+        fresh = passes & (taken[a] >= skip) & ~more
         later.append(a[fresh])
         earlier.append(b[fresh])
         taken[a[passes]] += 1
+        open_ = a[~more]
         back += 1
     none = [np.zeros(0, dtype=np.int64)]
     return tuple(np.concatenate(parts or none) for parts in (later, earlier, unsure))
@@ -286,7 +300,7 @@ def _near(rows: dict[str, np.ndarray], threshold, skip: int, look: int):
 def _candidates(
     batches: Iterator[pa.RecordBatch], threshold, skip: int, look: int
 ) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify, from rows sorted by word; without another line for rows that are unsure."""
+    """Pairs to verify, from rows sorted by word; for rows that are unsure the word in place of another line."""
     held: list[pa.RecordBatch] = []
 
     def compare(table: pa.Table) -> pa.RecordBatch:
@@ -303,6 +317,7 @@ def _candidates(
                 pa.array(rows["line_no"][own]),
                 pa.array(rows["doc"][other], mask=lacks),
                 pa.array(rows["line_no"][other], mask=lacks),
+                pa.array(rows["word"][own], mask=~lacks),
             ],
             schema=_ARROW_PAIR,
         )
@@ -357,7 +372,7 @@ def removed_lines(
         F.col(text_col).alias("text"),
         F.xxhash64(F.col(text_col)).alias("text_key"),
     )
-    # 16 MB, the same for any corpus.
+    # 4 MB, the same for any corpus.
     ranks = docs.sparkSession.sparkContext.broadcast(cell_ranks(docs))
     lines = stage(
         docs.select("doc", "text_key", "text").mapInArrow(
@@ -403,18 +418,16 @@ def removed_lines(
             .distinct(),
             "line_pairs",
         )
-        found = _verified(compared.filter(F.col("other_doc").isNotNull()), docs, ranks, threshold)
+        pairs = compared.filter(F.col("word").isNull()).drop("word")
+        found = _verified(pairs, docs, ranks, threshold)
         matched = stage(found if matched is None else matched.unionByName(found), "matched_lines")
-        # Lines whose possible matches all failed so far, and that have more of them.
-        unsure = compared.filter(F.col("other_doc").isNull()).select(*place)
-        unsure = stage(unsure.join(matched, place, "left_anti").distinct(), "unsure_lines")
+        # Lines whose possible matches all failed so far, with the words under which they have more of them.
+        unsure = compared.filter(F.col("word").isNotNull()).select("word", *place)
+        unsure = stage(unsure.join(matched.select(*place), place, "left_anti"), "unsure_lines")
         if unsure.isEmpty():
             break
-        words = stage(
-            lookup_join(placed, unsure, place, "left_semi").select("word").distinct(), "unsure_words"
-        )
-        again = lookup_join(placed, words, ["word"], "left_semi")
-        marked = lookup_join(again, unsure.withColumn("open", F.lit(True)), place, "left")
+        again = lookup_join(placed, unsure.select("word").distinct(), ["word"], "left_semi")
+        marked = lookup_join(again, unsure.withColumn("open", F.lit(True)), ["word", *place], "left")
         compared_rows = marked.withColumn("open", F.coalesce("open", F.lit(False)))
         skip, look = look, look * _MORE
 
