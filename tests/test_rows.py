@@ -1,5 +1,6 @@
 """Encoding of whole rows, and the files tables are staged in."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.functions import lexicon as L
@@ -77,3 +78,35 @@ def test_texts_of_single_tokens_need_no_array_for_each(spark):
     assert got[2] == ["a", space, "b", end]
     assert got[3] == [tab, "c", end]
     assert got[4] == []
+
+
+def test_a_large_vocabulary_moves_rare_tokens_alone(spark):
+    texts = [(i, f"x{i % 7} = {i % 3}\n" * 2) for i in range(20)]
+    texts += [(3, "x1 = 2\n"), (3, ""), (None, "x2 = 1\n"), (None, None), (30, None), (31, ""), (32, "once = 0\n")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    lexed = stage(tok.lex_documents(docs), "lexed")
+    frequency = vocabulary.token_frequency(tok.explode_tokens(lexed), "doc_id")
+    vocab = stage(vocabulary.build_vocab(frequency.filter("t_type IS NOT NULL"), 2), "vocab")
+    plain = encoding.encode_tokens(tok.explode_tokens(lexed, outer=True), vocab)
+    expected = encoding.collect_ids(plain, add_start=False)
+    # No entry, some and all of them are frequent.
+    for share in (1, 20, 10**6):
+        found = encoding._encode_rare(lexed, vocab, "doc_id", "error", L.OPEN_CLASS_TYPES, share)
+        assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())), share
+    encoded = encoding.encode_lexed(lexed, vocab, limit=0)
+    # Every token was a row before; now the rare ones that were staged.
+    assert "posexplode" not in _plan(encoded)
+
+
+def test_a_large_vocabulary_tells_what_it_lacks(spark):
+    lexed = spark.createDataFrame(
+        [(1, [("Token.Keyword", "if"), ("Token.Keyword", "else"), (None, None)])],
+        "doc_id int, tokens array<struct<t_type: string, token: string>>",
+    )
+    vocab = spark.createDataFrame(
+        [(50, "Token.Keyword", "if", "k", 3)], "id int, t_type string, token string, key string, count bigint"
+    )
+    found = encoding.encode_lexed(lexed, vocab, add_start=False, on_missing="null", limit=0)
+    assert [tuple(r) for r in found.collect()] == [(1, [50, None, None], 3)]
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        encoding.encode_lexed(lexed, vocab, limit=0).collect()

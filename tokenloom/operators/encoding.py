@@ -9,11 +9,15 @@ from ..functions import lexicon as L
 from ..functions.lexing import let
 from ..plans.lookup import BROADCAST_LIMIT, counted_lookup, lookup_join, measured_bytes
 from ..plans.staging import stage
-from .tokens import explode_tokens, lex_documents, typed_key
+from .tokens import lex_documents, typed_key
 
 
 #: Stands for a missing id while ids travel; no vocabulary is that large.
 _NO_ID = (1 << 31) - 1
+#: Stands for a token that is not among the frequent ones.
+_RARE = -1
+#: An entry with at least one token in so many is frequent; there are no more such entries.
+_FREQUENT_SHARE = 100_000
 
 
 def _unknown_id(open_types) -> Column:
@@ -49,6 +53,11 @@ def encode_tokens(
         # The vocabulary knows its hot keys, so the tokens are read once.
         counted = vocab.filter(F.col("id") > len(open_types)).select("t_type", "token", "id", "count")
         joined = counted_lookup(tokens, counted, ["t_type", "token"], "count", limit=-1)
+    return joined.withColumn("id", _resolved(on_missing, open_types))
+
+
+def _resolved(on_missing: str, open_types) -> Column:
+    """The id found for a token, else the unknown id of its type."""
     found = F.coalesce(F.col("id"), _unknown_id(open_types))
     if on_missing == "error":
         # A null token stands for an empty document.
@@ -59,7 +68,7 @@ def encode_tokens(
                 F.raise_error(F.concat(F.lit("not in the vocabulary: "), typed_key())).cast("int"),
             ),
         )
-    return joined.withColumn("id", found)
+    return found
 
 
 def collect_ids(encoded_tokens: DataFrame, id_col: str = "doc_id", add_start: bool = True) -> DataFrame:
@@ -111,37 +120,42 @@ def _by_sharing(rows: DataFrame, id_col: str) -> tuple[DataFrame | None, DataFra
     return tuple(rows.join(F.broadcast(shared), same, how) for how in ("left_anti", "left_semi"))
 
 
+def _known(table: Column, n: int, token: Column) -> Column:
+    """The id of a token by the ``n`` slots of ``table``."""
+    at = F.pmod(F.xxhash64(token), F.lit(n)).cast("int")
+    return F.try_element_at(F.get(table, at), token)
+
+
+def _known_all(tokens: Column, table: Column, n: int, one) -> Column:
+    """``one(token, id)`` of each token with the id that the slots give, null if they lack it."""
+    blank = F.struct(F.lit(L.TEXT).alias("t_type"), F.lit(L.SPACE).alias("token"))
+
+    def found(token: Column, blank_id: Column) -> Column:
+        # Half of the tokens are single blanks, so their id is looked up once for each document.
+        is_blank = (token["token"] == L.SPACE) & (token["t_type"] == L.TEXT)
+        return F.coalesce(F.when(is_blank, blank_id), _known(table, n, token))
+
+    return let(
+        _known(table, n, blank),
+        lambda blank_id: F.transform(tokens, lambda token: one(token, found(token, blank_id))),
+    )
+
+
 def _coded(tokens: Column, slots: Column, n: int, on_missing: str, open_types) -> Column:
     """Ids of an array of tokens, as :func:`encode_tokens` gives them; ``slots`` are the ``n`` of :func:`_slots`."""
     unknown = F.create_map(
         *[v for i, t in enumerate(sorted(open_types), start=1) for v in (F.lit(t), F.lit(i))]
     )
 
-    def known(table: Column, token: Column) -> Column:
-        at = F.pmod(F.xxhash64(token), F.lit(n)).cast("int")
-        return F.try_element_at(F.get(table, at), token)
-
-    def one(table: Column, token: Column, space_id: Column) -> Column:
-        # Half of the tokens are single blanks, so their id is looked up once for each document.
-        found = F.coalesce(
-            F.when((token["token"] == L.SPACE) & (token["t_type"] == L.TEXT), space_id),
-            known(table, token),
-            F.try_element_at(unknown, token["t_type"]),
-        )
+    def one(token: Column, found: Column) -> Column:
+        found = F.coalesce(found, F.try_element_at(unknown, token["t_type"]))
         if on_missing == "error":
             key = F.concat(F.lit("|"), token["t_type"], F.lit("|_"), token["token"])
             lacking = F.raise_error(F.concat(F.lit("not in the vocabulary: "), key)).cast("int")
             found = F.coalesce(found, F.when(token["t_type"].isNotNull(), lacking))
         return found
 
-    blank = F.struct(F.lit(L.TEXT).alias("t_type"), F.lit(L.SPACE).alias("token"))
-    coded = let(
-        slots,
-        lambda table: let(
-            known(table, blank),
-            lambda space_id: F.transform(tokens, lambda token: one(table, token, space_id)),
-        ),
-    )
+    coded = let(slots, lambda table: _known_all(tokens, table, n, one))
     return F.coalesce(coded, F.array().cast("array<int>"))
 
 
@@ -155,6 +169,48 @@ def _merged(coded: DataFrame, id_col: str) -> DataFrame:
     return coded.groupBy(id_col).agg(ids.alias("ids"))
 
 
+def _encode_rare(
+    lexed: DataFrame, vocab: DataFrame, id_col: str, on_missing: str, open_types, share: int = _FREQUENT_SHARE
+) -> DataFrame:
+    """``(id, ids)`` by a vocabulary beyond a broadcast.
+
+    The entries with at least one token in ``share``, by the counts of the vocabulary, are looked up inside of the rows.
+    Only the other tokens are moved to their entries, and ids, not tokens, are brought together by document.
+    """
+    counted = vocab.filter(F.col("id") > len(open_types)).select("t_type", "token", "id", "count")
+    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint")).head()[0]
+    often = F.coalesce((F.col("count") > 0) & (F.col("count") * share >= F.lit(total)), F.lit(False))
+    table, n = _slots(counted.filter(often), open_types)
+    slots = stage(table, "slots").scalar()
+    rare = lambda token, found: F.coalesce(found, F.lit(_RARE))
+    # As in encode_lexed.
+    ids = let(F.col("_slots"), lambda table: _known_all(F.col("tokens"), table, n, rare))
+    coded = lexed.select(id_col, "tokens", slots.alias("_slots")).select(id_col, "tokens", ids.alias("ids"))
+    placed = F.transform(
+        "tokens",
+        lambda token, i: F.struct(
+            i.alias("pos"), token["t_type"].alias("t_type"), token["token"].alias("token"), F.get("ids", i).alias("id")
+        ),
+    )
+    left = F.transform(F.filter(placed, lambda p: p["id"] == _RARE), lambda p: p.dropFields("id"))
+    coded = stage(coded.select(id_col, "ids", left.alias("rare")), "coded")
+
+    rows = coded.select(id_col, F.inline("rare"))
+    joined = rows.join(counted.filter(~often).drop("count").hint("merge"), ["t_type", "token"], "left")
+    packed = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce(_resolved(on_missing, open_types), F.lit(_NO_ID))
+    nothing = F.array().cast("array<int>")
+    parts = coded.select(id_col, F.coalesce("ids", nothing).alias("ids"), F.lit(None).cast("bigint").alias("packed"))
+    parts = parts.unionByName(
+        joined.select(id_col, F.lit(None).cast("array<int>").alias("ids"), packed.alias("packed"))
+    )
+    found = lambda ids: F.filter(
+        F.transform(ids, lambda v, i: F.when(v != _RARE, F.shiftleft(i.cast("bigint"), 32) + v)), lambda p: p.isNotNull()
+    )
+    every = F.concat(F.flatten(F.transform(F.collect_list("ids"), found)), F.collect_list("packed"))
+    low = lambda v: F.nullif(v.bitwiseAND(F.lit(_NO_ID)).cast("int"), F.lit(_NO_ID))
+    return parts.groupBy(id_col).agg(F.transform(F.sort_array(every), low).alias("ids"))
+
+
 def encode_lexed(
     lexed: DataFrame,
     vocab: DataFrame,
@@ -168,17 +224,18 @@ def encode_lexed(
 
     A vocabulary that fits into a broadcast is sent to all tasks as a table of hash slots, and the tokens of a
     document are looked up where it lies: nothing is exploded, sorted or moved.  Only documents that share an id,
-    found by a count of the ids alone, are brought together.
+    found by a count of the ids alone, are brought together.  With a larger vocabulary only the tokens that are not
+    frequent are moved to their entries.
     """
     if on_missing not in ("error", "null"):
         raise ValueError("on_missing must be 'error' or 'null'")
     if fits is None:
         fits = vocab_fits(vocab, limit=limit)
     if not fits:
-        encoded = encode_tokens(
-            explode_tokens(lexed, id_col, outer=True), vocab, on_missing, limit=limit, fits=fits
-        )
-        return collect_ids(encoded, id_col, add_start).withColumn("n_tokens", F.size("ids"))
+        encoded = _encode_rare(lexed, vocab, id_col, on_missing, L.OPEN_CLASS_TYPES)
+        if add_start:
+            encoded = encoded.withColumn("ids", F.concat(F.array(F.lit(L.START_ID)), "ids"))
+        return encoded.withColumn("n_tokens", F.size("ids"))
     table, n = _slots(vocab, L.OPEN_CLASS_TYPES)
     slots = stage(table, "slots").scalar()
 
