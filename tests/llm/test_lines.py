@@ -120,3 +120,28 @@ def test_order_by_line_and_id(high):
     order = lines._by_line(line, ids)
     assert line[order].tolist() == line.tolist()
     assert ids[order].tolist() == ids[np.lexsort((ids, line))].tolist()
+
+
+def test_runs_no_python_on_executors_and_looks_again(spark, monkeypatch):
+    """Each line varies one of three originals that come in the middle; no variant is the nearest or first match of many others."""
+    base = [f"t{i}" for i in range(30)]
+    rng = random.Random(8)
+    rows = []
+    for i in range(45):
+        line = list(base)
+        if i not in (7, 20, 21):
+            for at in rng.sample(range(30), 3):
+                line[at] = f"v{i}_{at}"
+        rows.append((i, " ".join(line)))
+    plans = []
+
+    def recorded(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return staged(df, label)
+
+    staged = lines.stage
+    monkeypatch.setattr(lines, "stage", recorded)
+    check(spark, rows)
+    assert [label for label, _ in plans].count("line_pairs") > 1
+    for label, plan in plans:
+        assert "MapIn" not in plan and "Python" not in plan, label

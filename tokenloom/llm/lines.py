@@ -1,22 +1,20 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, in DataFrame functions.
 
-A line is the set of its distinct lower-cased words.  Words are ordered by rarity, counted over the whole
-corpus, and two lines with a Jaccard similarity of 0.8 or more share one of their rarest words: a line of
-``n`` words is looked up under its first ``n - ceil(0.8 n) + 1``.  Lines that meet under a word are compared only if
-their lengths and the places of that word still allow the similarity, and then verified on their full sets.
-A line is removed when an earlier line, by (doc_id, line number), matches it; all lines are judged on the input.
+A line is the set of its distinct lower-cased words, ordered by rarity over the whole corpus.  A line is removed when an
+earlier line, by (doc_id, line number), has a Jaccard similarity of 0.8 or more with it; all lines are judged on the input.
 
-Equal sets are collapsed first.  The sets under one word are compared in corpus order, each with the ones
-before it, nearest first; a 128-bit parity sketch of each set, whose Hamming distance never exceeds the symmetric
-difference, rules out most pairs.  A line needs one match only, so a line stops after a few possible ones under a word; where those
-fail the verification and the word has more, the line is looked up again under that word, and so on while there are any.  Lines that
-vary one common original, however many, thus meet a few of them and not each other.
+Two such sets differ in ``d`` words at most.  Each of these falls between two neighbours of the words they share, in order of
+rarity, so among the first ``d + 1`` pairs of neighbours they share one is untouched: two words that follow each other in both
+sets.  A line is therefore looked up under the pairs of neighbours among its rarest words, as many as the lengths of its
+possible matches ask for (``_n_keys``); below a threshold of 0.8 under single words.  Sets that meet under a key are compared only if
+their lengths allow the similarity, and then verified on their full sets.
 
-The rank of a word is the size of its hash cell among ``2 ** CELL_BITS``, counted over all texts, in eighths of a power of
-two; the table of ranks has a fixed size of a byte a cell.  Rank and 56 bits of the hash together are the word's 64-bit id.
+Equal sets are collapsed first.  A line needs one match only, so it is compared with the nearest line before it and
+the first one under each of its keys; where these fail and a key has more, with more of them under that key, and then with all.  Lines
+that vary one common original, however many, thus meet a few of them and not each other.
 
-Words are hashed, ranked and compared with numpy on batches.  The same in DataFrame functions needed about
-four times the CPU time this operator may take, and more disk; Spark deals, sorts, joins and counts.
+The rank of a word is the size of its hash cell among ``2 ** CELL_BITS``, counted over all texts, in eighths of a power of
+two; the ranks are an array of a fixed size that travels with the plan.  Rank and 55 bits of the hash together are the word's id.
 
 Defined results: null text has no lines and stays null; lines without words are never removed; a null doc_id comes
 after all others; rows that share a doc_id and a text are judged alike; text without its removed lines may be
@@ -25,137 +23,69 @@ empty, the row stays; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.lookup import lookup_join
 from ..plans.staging import new_path, stage, temporary
-from .shingles import mix, word_hashes
-from .text import let
+from .text import SPACES, WORD, let
 
 THRESHOLD = (80, 100)
-CELL_BITS = 22
-_BLOCK_BITS = 16
-_REST_BITS = np.uint64(64 - CELL_BITS)
-_RANK_BITS = np.uint64(8)
-_FIRST_LOOK, _MORE = 4, 16
-_ROWS = 100_000
+CELL_BITS = 16
+_ID_BITS = 55
+_LOOKS = (1, 16, None)
 _LAST_DOC = (1 << 63) - 1
-_CHUNK_BYTES = 512 * 1024
-
-_LINE = "doc bigint, text_key bigint, line_no int, k1 bigint, k2 bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>"
-_ARROW_LINE = pa.schema(
-    [
-        ("doc", pa.int64()),
-        ("text_key", pa.int64()),
-        ("line_no", pa.int32()),
-        ("k1", pa.int64()),
-        ("k2", pa.int64()),
-        ("n", pa.int32()),
-        ("s1", pa.int64()),
-        ("s2", pa.int64()),
-        ("prefix", pa.list_(pa.int64())),
-    ]
-)
-
-
-_SET = "doc bigint, line_no int, k1 bigint, k2 bigint, tokens array<bigint>"
-_ARROW_SET = pa.schema([f for f in _ARROW_LINE if f.name not in ("text_key", "n", "s1", "s2", "prefix")]).append(
-    pa.field("tokens", pa.list_(pa.int64()))
-)
 _PLACED = ["word", "doc", "line_no", "n", "pos", "s1", "s2", "open"]
-_PAIR = "doc bigint, line_no int, other_doc bigint, other_line int, word bigint"
-_ARROW_PAIR = pa.schema(
-    [
-        ("doc", pa.int64()),
-        ("line_no", pa.int32()),
-        ("other_doc", pa.int64()),
-        ("other_line", pa.int32()),
-        ("word", pa.int64()),
-    ]
-)
-
-
-def _lowered(text: str) -> bytes:
-    return text.lower().encode("utf-8", "surrogatepass")
-
-
-def _chunks(docs, texts) -> Iterator[tuple[list, list[bytes]]]:
-    """Texts in groups that bound the memory; null texts are left out."""
-    ids, held, size = [], [], 0
-    for doc, text in zip(docs, texts, strict=False):
-        if text is None:
-            continue
-        ids.append(doc)
-        held.append(_lowered(text))
-        size += len(held[-1])
-        if size > _CHUNK_BYTES:
-            yield ids, held
-            ids, held, size = [], [], 0
-    if held:
-        yield ids, held
-
-
-def _texts(column) -> Iterator[str | None]:
-    """The texts of an Arrow column, one at a time."""
-    return (value.as_py() for value in column)
-
-
-def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words per hash cell of one task, as one row per block of cells."""
-    counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    cells: list[np.ndarray] = []
-
-    def add():
-        if cells:
-            counts[:] += np.bincount(np.concatenate(cells), minlength=len(counts))
-            cells.clear()
-
-    for batch in batches:
-        texts = _texts(batch.column(0))
-        for _, held in _chunks(itertools.repeat(0), texts):
-            cells.append((word_hashes(b"\n".join(held))[1] >> _REST_BITS).astype(np.int32))
-            if sum(map(len, cells)) > len(counts) // 2:
-                add()
-    add()
-    blocks = counts.reshape(-1, 1 << _BLOCK_BITS)
-    for i, block in enumerate(blocks):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["block", "counts"]
-        )
 
 
-def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ranks of the cells of the blocks in one partition; it sees each of its blocks from all tasks."""
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.block, batch.counts, strict=True):
-            found = np.frombuffer(counts, dtype=np.int64)
-            totals[block] = totals[block] + found if block in totals else found
-    ranks = [np.minimum(8 * np.log2(t + 1), 255).astype(np.uint8).tobytes() for t in totals.values()]
-    yield pd.DataFrame({"block": list(totals), "ranks": ranks}).astype({"block": "int32"})
+def _hashes(line: Column) -> Column:
+    return F.transform(F.split(line, SPACES), lambda word: F.xxhash64(word))
+
+
+def _no_word() -> Column:
+    return F.xxhash64(F.lit(""))
+
+
+def _cell(word_hash: Column) -> Column:
+    return F.shiftrightunsigned(word_hash, 64 - CELL_BITS).cast("int")
 
 
 def cell_ranks(docs: DataFrame) -> np.ndarray:
     """The rank of each cell, rarest first: ``2 ** CELL_BITS`` bytes, whatever the corpus."""
-    ranked = (
-        docs.select("text").mapInArrow(_cell_counts, "block int, counts binary")
-        .repartition(16, "block")
-        .mapInPandas(_ranked, "block int, ranks binary")
-        .collect()  # 2 ** CELL_BITS bytes in all
+    hashes = docs.select(F.explode(F.split(F.lower("text"), SPACES)).alias("word")).select(F.xxhash64("word").alias("word"))
+    counted = (
+        hashes.filter(F.col("word") != _no_word())
+        .groupBy(_cell(F.col("word")).alias("cell"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranks = np.zeros((1 << (CELL_BITS - _BLOCK_BITS), 1 << _BLOCK_BITS), dtype=np.uint8)
-    for row in ranked:
-        ranks[row.block] = np.frombuffer(row.ranks, dtype=np.uint8)
-    return ranks.ravel()
+    ranks = np.zeros(1 << CELL_BITS, dtype=np.uint8)
+    for row in counted.collect():  # at most 2 ** CELL_BITS rows
+        ranks[row.cell] = min(int(8 * np.log2(row.n + 1)), 255)
+    return ranks
+
+
+def _literal(ranks: np.ndarray) -> Column:
+    """The ranks as an array that is folded into the plan."""
+    return F.split(F.lit(",".join(map(str, ranks.tolist()))), ",").cast("array<smallint>")
 
 
+def _tokens(hashes: Column, ranks: Column) -> Column:
+    """The ids of distinct words, rarest first."""
+
+    def token(h: Column) -> Column:
+        rank = F.coalesce(F.get(ranks, _cell(h)).cast("bigint"), F.lit(0).cast("bigint"))
+        return F.shiftleft(rank, _ID_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _ID_BITS) - 1)))
+
+    return F.sort_array(F.transform(hashes, token))
+
+
+def _distinct_hashes(line: Column) -> Column:
+    return F.array_remove(F.array_distinct(_hashes(line)), _no_word())
+
+
+# `_by_line` and `_near` are no step of the operator any more; their tests still hold them.
 def _by_line(line: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The order by line and id, by one sort of the line with the first bits of the id if that tells all ids apart."""
     if len(line) and line[-1] < 1 << 19:
@@ -167,96 +97,81 @@ def _by_line(line: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.lexsort((ids, line))
 
 
-def _line_sets(held: list[bytes], ranks: np.ndarray):
-    """``(line, ids)``: distinct word ids by line, rarest first; lines count through all texts."""
-    data = b"\n".join(held)
-    starts, hashes = word_hashes(data)
-    breaks = np.cumsum(np.frombuffer(data, dtype=np.uint8) == 10)
-    line = breaks[starts]
-    rank = ranks[(hashes >> _REST_BITS).astype(np.int64)].astype(np.uint64)
-    ids = (rank << (np.uint64(64) - _RANK_BITS)) | (hashes & (~np.uint64(0) >> _RANK_BITS))
-    order = _by_line(line, ids)
-    line, ids = line[order], ids[order]
-    fresh = np.ones(len(ids), dtype=bool)
-    fresh[1:] = (line[1:] != line[:-1]) | (ids[1:] != ids[:-1])
-    return line[fresh], ids[fresh]
+def _key_width(threshold: tuple[int, int]) -> int:
+    """Words in a key.  From 0.8 on two similar sets that differ share at least two words more than they differ in."""
+    part, whole = threshold
+    return 2 if 5 * part >= 4 * whole else 1
 
 
-def _signed(ids: np.ndarray) -> np.ndarray:
-    return ids.view(np.int64)
+def _n_keys(n: Column, threshold: tuple[int, int]) -> Column:
+    """Keys a line of ``n`` words is looked up under.
+
+    With a line of ``m`` words at least ``o = (n + m) * part / (whole + part)`` words are shared.  The first shared word follows on at most
+    ``n - o`` others, the first shared pair of neighbours on ``n - o`` words of this line alone and one for each of the ``n + m - 2 * o``
+    that differ.  Both are most for the shortest line allowed.
+    """
+    part, whole = threshold
+    n = n.cast("bigint")
+    least = F.ceil(n * part / whole)
+    others = n * 2 + least if _key_width(threshold) == 2 else n
+    shares = 3 if _key_width(threshold) == 2 else 1
+    return F.floor((others * (whole + part) - (n + least) * shares * part) / (whole + part)).cast("int") + 1
+
+
+def _sketch(tokens: Column) -> Column:
+    """The XOR of one of 64 bits per word."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    return F.aggregate(
+        tokens,
+        zero,
+        lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))),
+    )
 
 
-def _set_keys(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that stand for each set."""
-    one = np.add.reduceat(mix(ids ^ np.uint64(0x8EBC6AF09C88C6E3)), first)
-    two = np.add.reduceat(mix(ids + np.uint64(0x589965CC75374CC3)), first)
-    return _signed(mix(one)), _signed(mix(two))
+def _line_table(docs: DataFrame, ranks: Column, threshold) -> DataFrame:
+    """One row per line with words: place, 128-bit key of its set, size, sketch, the rarest words."""
+    split = docs.select("doc", "text_key", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    # A filter on the sets would compute them twice.
+    split = split.filter(F.col("line").rlike(WORD))
+    sets = split.select("doc", "text_key", "line_no", _tokens(_distinct_hashes(F.col("line")), ranks).alias("tokens"))
+    n = F.size("tokens")
+    return sets.select(
+        "doc",
+        "text_key",
+        "line_no",
+        F.xxhash64("tokens").alias("k1"),
+        F.xxhash64(F.lit(1), "tokens").alias("k2"),
+        n.alias("n"),
+        _sketch(F.col("tokens")).alias("sketch"),
+        F.slice("tokens", 1, _n_keys(n, threshold) + _key_width(threshold) - 1).alias("prefix"),
+    )
 
 
-def _sketches(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """The XOR of one of 128 bits per word, as two numbers."""
-    place = mix(ids ^ np.uint64(0x1D8E4E27C47D124F)) >> np.uint64(57)
-    bit = np.uint64(1) << (place & np.uint64(63))
-    low = place < 64
-    return [
-        _signed(np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), first)) for half in (low, ~low)
-    ]
+def _keyed(firsts: DataFrame, threshold) -> DataFrame:
+    """``(word, doc, at)``: the keys of each line that may match a line with another set; ``at`` is line number and size."""
+    part, whole = threshold
+    placed = firsts.filter(F.col("n").cast("bigint") * (whole - part) >= part).select(
+        "doc",
+        F.shiftleft(F.col("line_no").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")).alias("at"),
+        "prefix",
+        F.posexplode("prefix").alias("pos", "token"),
+    )
+    word = F.col("token")
+    if _key_width(threshold) == 2:
+        placed = placed.filter(F.col("pos") < F.size("prefix") - 1)
+        word = F.xxhash64("token", F.get("prefix", F.col("pos") + 1))
+    return placed.select(word.alias("word"), "doc", "at")
 
 
-def _line_rows(batches, ranks, threshold) -> Iterator[pa.RecordBatch]:
+def _line_no(at: str) -> Column:
+    return F.shiftright(at, 32).cast("int")
+
+
+def _may_match(threshold, a: str, b: str) -> Column:
+    """Whether two lines of these sizes may be similar."""
     part, whole = threshold
-    for batch in batches:
-        docs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        for ids_of, held in _chunks(docs, _texts(batch.column(2))):
-            line, ids = _line_sets(held, ranks.value)
-            if not len(line):
-                continue
-            first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-            n = np.diff(np.append(first, len(line)))
-            k1, k2 = _set_keys(ids, first)
-            size = n - -(-n * part // whole) + 1
-            stops = np.cumsum(size)
-            places = np.arange(stops[-1]) + np.repeat(first - (stops - size), size)
-            # Lines of the texts before come first.
-            lines_to = np.cumsum([t.count(b"\n") + 1 for t in held])
-            of = np.searchsorted(lines_to, line[first], side="right")
-            before = np.append(0, lines_to)[of]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[pa.array(c[of]) for c in np.array(ids_of, dtype=np.int64).T],
-                    pa.array((line[first] - before).astype(np.int32)),
-                    pa.array(k1),
-                    pa.array(k2),
-                    pa.array(n.astype(np.int32)),
-                    *map(pa.array, _sketches(ids, first)),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.append(0, stops).astype(np.int32)), pa.array(_signed(ids[places]))
-                    ),
-                ],
-                schema=_ARROW_LINE,
-            )
-
-
-def _wanted_sets(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
-    """The full sets of the lines asked for."""
-    for batch in batches:
-        rows = []
-        docs = batch.column(0).to_pylist()
-        for doc, text, wanted in zip(docs, _texts(batch.column(1)), _texts(batch.column(2)), strict=True):
-            lines = _lowered(text).split(b"\n")
-            asked = [w for w in wanted if w < len(lines)]
-            line, ids = _line_sets([lines[w] for w in asked], ranks.value) if asked else ([], [])
-            if not len(line):
-                continue
-            first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-            k1, k2 = (k.tolist() for k in _set_keys(ids, first))
-            for at, one, two, tokens in zip(
-                line[first].tolist(), k1, k2, np.split(_signed(ids), first[1:]), strict=True
-            ):
-                rows.append((doc, asked[at], one, two, tokens))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_ARROW_SET)
-        made = [pa.array(c, f.type) for c, f in zip(columns, _ARROW_SET, strict=True)]
-        yield pa.RecordBatch.from_arrays(made, schema=_ARROW_SET)
+    n, m = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in (a, b))
+    return F.least(n, m) * whole >= F.greatest(n, m) * part
 
 
 def _near(rows: dict[str, np.ndarray], threshold, skip: int, look: int):
@@ -297,45 +212,19 @@ def _near(rows: dict[str, np.ndarray], threshold, skip: int, look: int):
     return tuple(np.concatenate(parts or none) for parts in (later, earlier, unsure))
 
 
-def _candidates(
-    batches: Iterator[pa.RecordBatch], threshold, skip: int, look: int
-) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify, from rows sorted by word; for rows that are unsure the word in place of another line."""
-    held: list[pa.RecordBatch] = []
-
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        rows = {c: table.column(c).to_numpy(zero_copy_only=False) for c in _PLACED}
-        rows |= {c: rows[c].astype(np.int64) for c in ("n", "pos")}
-        rows |= {c: rows[c].view(np.uint64) for c in ("s1", "s2")}
-        later, earlier, unsure = _near(rows, threshold, skip, look)
-        own = np.concatenate((later, unsure))
-        other = np.concatenate((earlier, unsure))
-        lacks = np.arange(len(own)) >= len(later)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(rows["doc"][own]),
-                pa.array(rows["line_no"][own]),
-                pa.array(rows["doc"][other], mask=lacks),
-                pa.array(rows["line_no"][other], mask=lacks),
-                pa.array(rows["word"][own], mask=~lacks),
-            ],
-            schema=_ARROW_PAIR,
-        )
-
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= _ROWS:
-            table = pa.Table.from_batches(held).combine_chunks()
-            word = table.column("word").to_numpy()
-            # The last word may go on in the next batch.
-            cut = int(np.searchsorted(word, word[-1]))
-            held = table.slice(cut).to_batches()
-            yield compare(table.slice(0, cut))
-    if held:
-        yield compare(pa.Table.from_batches(held))
+def _close(pairs: DataFrame, sketches: DataFrame, threshold) -> DataFrame:
+    """The pairs whose sketches differ in no more bits than similar sets differ in words."""
+    part, whole = threshold
+    places = ["doc", "line_no"], ["other_doc", "other_line"]
+    for name, place in zip("ab", places, strict=True):
+        of = sketches.toDF(*place, f"{name}_n", f"{name}_sketch")
+        pairs = pairs.join(of, place)
+    apart = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch")))
+    both = F.col("a_n").cast("bigint") + F.col("b_n")
+    return pairs.filter(apart * (whole + part) <= both * (whole - part)).select(*places[0], *places[1]).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, ranks, threshold) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, threshold) -> DataFrame:
     """``(doc, line_no, k1, k2)`` of the lines whose full sets match that of an earlier line."""
     part, whole = threshold
     here, there = ["doc", "line_no"], ["other_doc", "other_line"]
@@ -346,10 +235,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks, threshold) -> DataFrame:
         wanted.groupBy("doc").agg(F.collect_set("line_no").alias("wanted")), "wanted_lines"
     )
     found = lookup_join(docs.filter(F.col("text").isNotNull()), places, ["doc"], "inner")
-    sets = found.select("doc", "text", "wanted").mapInArrow(
-        lambda batches: _wanted_sets(batches, ranks), _SET
+    # Rows of one doc_id may have fewer lines.
+    asked = let(
+        F.split(F.lower("text"), "\n"),
+        lambda lines: F.transform(
+            F.filter("wanted", lambda w: w < F.size(lines)),
+            lambda w: F.struct(w.alias("line_no"), F.get(lines, w).alias("line")),
+        ),
+    )
+    rows = found.select("doc", F.explode(asked).alias("asked")).filter(F.col("asked.line").rlike(WORD))
+    tokens = _tokens(_distinct_hashes(F.col("asked.line")), ranks)
+    sets = rows.select("doc", "asked.line_no", tokens.alias("tokens")).select(
+        *here, F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), "tokens"
     )
-    sets = stage(sets.dropDuplicates(["doc", "line_no", "k1", "k2"]), "line_sets")
+    sets = stage(sets.dropDuplicates([*here, "k1", "k2"]), "line_sets")
     others = sets.select(
         F.col("doc").alias("other_doc"), F.col("line_no").alias("other_line"), F.col("tokens").alias("b")
     )
@@ -372,14 +271,8 @@ def removed_lines(
         F.col(text_col).alias("text"),
         F.xxhash64(F.col(text_col)).alias("text_key"),
     )
-    # 4 MB, the same for any corpus.
-    ranks = docs.sparkSession.sparkContext.broadcast(cell_ranks(docs))
-    lines = stage(
-        docs.select("doc", "text_key", "text").mapInArrow(
-            lambda batches: _line_rows(batches, ranks, threshold), _LINE
-        ),
-        "lines",
-    )
+    ranks = _literal(cell_ranks(docs))
+    lines = stage(_line_table(docs, ranks, threshold), "lines")
 
     # Sets with several lines, and the first of those by corpus order.
     step = F.lit(1 << 32).cast("decimal(10,0)")
@@ -398,38 +291,50 @@ def removed_lines(
     )
     place, keys = ["doc", "line_no"], ["k1", "k2"]
     earliest = (F.col("doc") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    firsts = lookup_join(lines.drop("text_key"), repeated, keys, "left").filter(
+    firsts = lookup_join(lines.select(*place, *keys, "n", "sketch", "prefix"), repeated, keys, "left").filter(
         F.col("first_doc").isNull() | earliest
     )
-    placed = firsts.select(
-        F.posexplode("prefix").alias("pos", "word"), *place, "n", "s1", "s2"
+
+    # Keys under which two sets or more are looked up, with the nearest line before and the first one.
+    by_word = W.partitionBy("word").orderBy("doc", "at")
+    so_far = by_word.rowsBetween(W.unboundedPreceding, W.currentRow)
+    it = F.struct("doc", "at")
+    met = _keyed(firsts, threshold).withColumns(
+        {
+            "nth": F.row_number().over(by_word),
+            "nearest": F.lag(it).over(by_word),
+            "first": F.first(it).over(so_far),
+            "more": F.lead("at").over(by_word).isNotNull(),
+        }
+    )
+    met = stage(
+        met.filter("nth > 1 OR more").withColumn("first", F.when(F.col("nth") > 2, F.col("first"))).drop("more"),
+        "shared_keys",
     )
-    compared_rows = placed.withColumn("open", F.lit(True))
+    sketches = firsts.select(*place, "n", "sketch")
     matched = None
-    skip, look = 0, _FIRST_LOOK
-    while True:
-        compared = stage(
-            compared_rows.select(*_PLACED)
-            .repartition("word")
-            .sortWithinPartitions("word", *place)
-            .mapInArrow(
-                lambda batches, skip=skip, look=look: _candidates(batches, threshold, skip, look), _PAIR
-            )
-            .distinct(),
-            "line_pairs",
+    for seen, look in zip((0, *_LOOKS), _LOOKS, strict=False):
+        if look == _LOOKS[0]:
+            both = met.filter("nth > 1").select("doc", "at", F.explode(F.array("nearest", "first")).alias("other"))
+            pairs = both.select("doc", "at", F.col("other.doc").alias("other_doc"), F.col("other.at").alias("other_at"))
+        else:
+            # Lines without a match so far, under the keys with lines they were not compared with.
+            unsure = met.filter(F.col("nth") > seen + 2).select("word", "doc", "at", "nth", _line_no("at").alias("line_no"))
+            unsure = stage(unsure.join(matched.select(*place), place, "left_anti"), "unsure_lines")
+            if unsure.isEmpty():
+                break
+            earlier = met.filter("nth > 1").select("word", *[F.col(c).alias(f"other_{c}") for c in ("doc", "at", "nth")])
+            back = F.col("nth") - F.col("other_nth")
+            near = (back > seen) & (F.lit(True) if look is None else back <= look)
+            pairs = unsure.join(earlier, "word").filter(near)
+        pairs = (
+            pairs.filter(_may_match(threshold, "at", "other_at"))
+            .select("doc", _line_no("at").alias("line_no"), "other_doc", _line_no("other_at").alias("other_line"))
+            .filter((F.col("doc") != F.col("other_doc")) | (F.col("line_no") != F.col("other_line")))
         )
-        pairs = compared.filter(F.col("word").isNull()).drop("word")
+        pairs = stage(_close(pairs.distinct(), sketches, threshold), "line_pairs")
         found = _verified(pairs, docs, ranks, threshold)
         matched = stage(found if matched is None else matched.unionByName(found), "matched_lines")
-        # Lines whose possible matches all failed so far, with the words under which they have more of them.
-        unsure = compared.filter(F.col("word").isNotNull()).select("word", *place)
-        unsure = stage(unsure.join(matched.select(*place), place, "left_anti"), "unsure_lines")
-        if unsure.isEmpty():
-            break
-        again = lookup_join(placed, unsure.select("word").distinct(), ["word"], "left_semi")
-        marked = lookup_join(again, unsure.withColumn("open", F.lit(True)), ["word", *place], "left")
-        compared_rows = marked.withColumn("open", F.coalesce("open", F.lit(False)))
-        skip, look = look, look * _MORE
 
     # Later lines of a set go, and its first one if that has an earlier match.
     none = {"first_doc": F.lit(None).cast("bigint"), "first_line": F.lit(None).cast("int")}
