@@ -145,3 +145,33 @@ def test_runs_no_python_on_executors_and_looks_again(spark, monkeypatch):
     assert [label for label, _ in plans].count("line_pairs") > 1
     for label, plan in plans:
         assert "MapIn" not in plan and "Python" not in plan, label
+
+
+def test_sets_told_apart_where_they_meet(spark, monkeypatch):
+    """Lines that share two rare words next to each other and nothing else never become pairs."""
+    rows = [(i, " ".join(["rare", "words", *[f"w{i}_{j}" for j in range(20)]])) for i in range(12)]
+    rows.append((99, rows[0][1] + " more"))
+    sizes = []
+
+    def recorded(df, label):
+        done = staged(df, label)
+        if label == "near_pairs":
+            sizes.append(done.count())
+        return done
+
+    staged = lines.stage
+    monkeypatch.setattr(lines, "stage", recorded)
+    check(spark, rows)
+    assert sum(sizes) == 1
+
+
+def test_sets_too_many_for_a_broadcast_are_looked_up_each(spark, monkeypatch):
+    base = [f"t{i}" for i in range(20)]
+    rows = [(i, " ".join(base)) for i in range(3, 6)]
+    rows += [(i, " ".join([*base[1:], "z"])) for i in (1, 4, 7)]
+    rows += [(8, " ".join(base[2:])), (9, "a b c"), (2, "c b a"), (0, "x\ny")]
+    docs = documents(spark, rows)
+    kept = {(r.doc, r.line_no) for r in lines.removed_lines(docs).collect()}
+    assert kept == {(row[0], n) for row, n in brute(rows)}
+    monkeypatch.setattr(lines, "_REPEATED_SHARE", 0)
+    assert {(r.doc, r.line_no) for r in lines.removed_lines(docs, limit=0).collect()} == kept

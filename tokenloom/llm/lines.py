@@ -9,9 +9,11 @@ sets.  A line is therefore looked up under the pairs of neighbours among its rar
 possible matches ask for (``_n_keys``); below a threshold of 0.8 under single words.  Sets that meet under a key are compared only if
 their lengths allow the similarity, and then verified on their full sets.
 
-Equal sets are collapsed first.  A line needs one match only, so it is compared with the nearest line before it and
-the first one under each of its keys; where these fail and a key has more, with more of them under that key, and then with all.  Lines
-that vary one common original, however many, thus meet a few of them and not each other.
+Keys travel with size and sketch of their line, so sets whose sketches are too far apart are told where they meet and never
+become a pair.  Equal sets are collapsed first, those with most lines alone if there are too many for a broadcast.  A line
+needs one match only, so it is compared with the nearest lines before it and the first one under each of its keys; where
+these fail and a key has more, with more of them under that key, and then with all.  Lines that vary one common original,
+however many, thus meet a few of them and not each other.
 
 The rank of a word is the size of its hash cell among ``2 ** CELL_BITS``, counted over all texts, in eighths of a power of
 two; the ranks are an array of a fixed size that travels with the plan.  Rank and 55 bits of the hash together are the word's id.
@@ -23,19 +25,27 @@ empty, the row stays; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.lookup import lookup_join
-from ..plans.staging import new_path, stage, temporary
+from ..plans.lookup import BROADCAST_LIMIT, lookup_join, measured_bytes
+from ..plans.staging import drop_shuffles, new_path, stage, temporary
 from .text import SPACES, WORD, let
 
 THRESHOLD = (80, 100)
 CELL_BITS = 16
 _ID_BITS = 55
-_LOOKS = (1, 16, None)
+#: Nearest lines under a key that a line is compared with at first, and those it is compared with before all others.
+_LOOKS = (1, 8)
+#: Bits of a key, and of a sketch that travels in two parts: behind the key, and behind the place and size.
+_KEY_BITS, _SKETCH_BITS, _LOW_BITS, _SIZE_BITS = 40, 44, 20, 12
+#: While the sets with several lines are too many for a broadcast, those with a line in so many are collapsed.
+_REPEATED_SHARE = 500_000
 _LAST_DOC = (1 << 63) - 1
 _PLACED = ["word", "doc", "line_no", "n", "pos", "s1", "s2", "open"]
 
@@ -129,7 +139,7 @@ def _sketch(tokens: Column) -> Column:
 
 
 def _line_table(docs: DataFrame, ranks: Column, threshold) -> DataFrame:
-    """One row per line with words: place, 128-bit key of its set, size, sketch, the rarest words."""
+    """One row per line with words: place, 128-bit key of its set, size, sketch, bits of the rarest words."""
     split = docs.select("doc", "text_key", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
     # A filter on the sets would compute them twice.
     split = split.filter(F.col("line").rlike(WORD))
@@ -143,16 +153,27 @@ def _line_table(docs: DataFrame, ranks: Column, threshold) -> DataFrame:
         F.xxhash64(F.lit(1), "tokens").alias("k2"),
         n.alias("n"),
         _sketch(F.col("tokens")).alias("sketch"),
-        F.slice("tokens", 1, _n_keys(n, threshold) + _key_width(threshold) - 1).alias("prefix"),
+        F.transform(
+            F.slice("tokens", 1, _n_keys(n, threshold) + _key_width(threshold) - 1), lambda t: t.bitwiseAND(_ones(_KEY_BITS))
+        ).alias("prefix"),
     )
 
 
+def _ones(bits: int) -> Column:
+    return F.lit((1 << bits) - 1)
+
+
 def _keyed(firsts: DataFrame, threshold) -> DataFrame:
-    """``(word, doc, at)``: the keys of each line that may match a line with another set; ``at`` is line number and size."""
+    """``(key, doc, at)``: the keys of each line that may match a line with another set, each with the first bits of the sketch
+    behind it; ``at`` is line number, size and the other bits."""
     part, whole = threshold
+    folded = F.col("sketch").bitwiseAND(_ones(_SKETCH_BITS)).bitwiseXOR(F.shiftrightunsigned("sketch", _SKETCH_BITS))
+    size = F.least(F.col("n").cast("bigint"), _ones(_SIZE_BITS))
+    place = F.shiftleft(F.col("line_no").cast("bigint"), 32).bitwiseOR(F.shiftleft(size, _LOW_BITS))
     placed = firsts.filter(F.col("n").cast("bigint") * (whole - part) >= part).select(
         "doc",
-        F.shiftleft(F.col("line_no").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")).alias("at"),
+        place.bitwiseOR(folded.bitwiseAND(_ones(_LOW_BITS))).alias("at"),
+        F.shiftright(folded, _LOW_BITS).alias("bits"),
         "prefix",
         F.posexplode("prefix").alias("pos", "token"),
     )
@@ -160,18 +181,63 @@ def _keyed(firsts: DataFrame, threshold) -> DataFrame:
     if _key_width(threshold) == 2:
         placed = placed.filter(F.col("pos") < F.size("prefix") - 1)
         word = F.xxhash64("token", F.get("prefix", F.col("pos") + 1))
-    return placed.select(word.alias("word"), "doc", "at")
+    return placed.select(F.shiftleft(word, 64 - _KEY_BITS).bitwiseOR(F.col("bits")).alias("key"), "doc", "at")
+
 
+def _word(key: str) -> Column:
+    return F.shiftrightunsigned(key, 64 - _KEY_BITS)
 
-def _line_no(at: str) -> Column:
+
+def _line_no(at: Column) -> Column:
     return F.shiftright(at, 32).cast("int")
 
 
-def _may_match(threshold, a: str, b: str) -> Column:
-    """Whether two lines of these sizes may be similar."""
+def _may_match(threshold, key: Column, at: Column, other_key: Column, other_at: Column) -> Column:
+    """Whether two lines that share a key are two, of sizes and with sketches that similar sets may have."""
     part, whole = threshold
-    n, m = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in (a, b))
-    return F.least(n, m) * whole >= F.greatest(n, m) * part
+    most = (1 << _SIZE_BITS) - 1
+    n, m = (F.shiftright(a, _LOW_BITS).bitwiseAND(F.lit(most)) for a in (at, other_at))
+    # The keys differ in bits of the sketch alone.
+    apart = F.bit_count(key.bitwiseXOR(other_key)) + F.bit_count(at.bitwiseXOR(other_at).bitwiseAND(_ones(_LOW_BITS)))
+    near = (F.least(n, m) * whole >= F.greatest(n, m) * part) & (apart * (whole + part) <= (n + m) * (whole - part))
+    # Larger sizes are not told apart here.
+    return near | (F.greatest(n, m) == most)
+
+
+def _with_earlier(rows: DataFrame, by_word, backs, threshold, first: bool = False) -> tuple[DataFrame, list[str]]:
+    """``rows`` with the lines so many places before each of them under its word, and the first one if asked for, as far as they may
+    match, as ``(doc, at)`` in the columns named."""
+    so_far = by_word.rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Plain columns: structs would be sorted with the rows.
+    seen = {f"_{back}": (lambda c, back=back: F.lag(c, back).over(by_word)) for back in backs}
+    if first:
+        seen["_0"] = lambda c: F.first(c).over(so_far)
+    columns = ["key", "doc", "at"]
+    rows = rows.withColumns({f"{o}_{c}": of(c) for o, of in seen.items() for c in columns})
+
+    def fits(o: str) -> Column:
+        key, doc, at = (F.col(f"{o}_{c}") for c in columns)
+        # Nearer ones are compared as well.
+        there = F.col("nth") > (max(backs) + 1 if o == "_0" else int(o[1:]))
+        elsewhere = (F.col("doc") != doc) | (_line_no(F.col("at")) != _line_no(at))
+        similar = there & elsewhere & _may_match(threshold, F.col("key"), F.col("at"), key, at)
+        return F.when(similar, F.struct(doc.alias("doc"), at.alias("at"))).alias(o)
+
+    others = [c for c in rows.columns if not c.startswith("_")]
+    return rows.select(*others, *[fits(o) for o in seen]), list(seen)
+
+
+def _pairs(rows: DataFrame, found: list[str]) -> DataFrame:
+    """The pairs of lines of :func:`_with_earlier`."""
+    some = rows.filter(reduce(or_, [F.col(o).isNotNull() for o in found]))
+    some = some.select("doc", "at", F.explode(F.array(*found)).alias("other")).filter("other IS NOT NULL")
+    return _places(some.select("doc", "at", F.col("other.doc").alias("other_doc"), F.col("other.at").alias("other_at")))
+
+
+def _places(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
+        "doc", _line_no(F.col("at")).alias("line_no"), "other_doc", _line_no(F.col("other_at")).alias("other_line")
+    )
 
 
 def _near(rows: dict[str, np.ndarray], threshold, skip: int, look: int):
@@ -212,10 +278,13 @@ def _near(rows: dict[str, np.ndarray], threshold, skip: int, look: int):
     return tuple(np.concatenate(parts or none) for parts in (later, earlier, unsure))
 
 
-def _close(pairs: DataFrame, sketches: DataFrame, threshold) -> DataFrame:
-    """The pairs whose sketches differ in no more bits than similar sets differ in words."""
+def _close(pairs: DataFrame, sketches: DataFrame, threshold, limit: int) -> DataFrame:
+    """The pairs whose whole sketches differ in no more bits than similar sets differ in words."""
     part, whole = threshold
     places = ["doc", "line_no"], ["other_doc", "other_line"]
+    wanted = pairs.select(*places[0]).unionByName(pairs.select(*places[1]).toDF(*places[0])).distinct()
+    if measured_bytes(wanted) <= limit:
+        sketches = sketches.join(F.broadcast(wanted), places[0], "left_semi")
     for name, place in zip("ab", places, strict=True):
         of = sketches.toDF(*place, f"{name}_n", f"{name}_sketch")
         pairs = pairs.join(of, place)
@@ -248,11 +317,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, threshold) -> Da
     sets = rows.select("doc", "asked.line_no", tokens.alias("tokens")).select(
         *here, F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), "tokens"
     )
-    sets = stage(sets.dropDuplicates([*here, "k1", "k2"]), "line_sets")
-    others = sets.select(
-        F.col("doc").alias("other_doc"), F.col("line_no").alias("other_line"), F.col("tokens").alias("b")
-    )
-    both = pairs.join(sets, here).join(others, there)
+    # Brought together by place once, for both sides of the pairs.
+    sets = sets.repartition(*here).dropDuplicates([*here, "k1", "k2"])
+    others = sets.toDF("other_doc", "other_line", "other_k1", "other_k2", "b")
+    # Equal sets are no matches here: the first line of a set stands for it.
+    both = pairs.join(sets, here).join(others, there).filter((F.col("k1") != F.col("other_k1")) | (F.col("k2") != F.col("other_k2")))
     shared = F.size(F.array_intersect("tokens", "b"))
     similar = shared * (whole + part) >= (F.size("tokens") + F.size("b")) * part
     return both.filter(similar).select("doc", "line_no", "k1", "k2").distinct()
@@ -263,6 +332,7 @@ def removed_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: tuple[int, int] = THRESHOLD,
+    limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """``(doc, text_key, line_no)`` of the lines that an earlier line matches; ``doc`` is the id, or the
     largest number for a null id, and ``text_key`` the hash of the text."""
@@ -277,72 +347,77 @@ def removed_lines(
     # Sets with several lines, and the first of those by corpus order.
     step = F.lit(1 << 32).cast("decimal(10,0)")
     at = F.col("doc").cast("decimal(20,0)") * step + F.col("line_no").cast("decimal(10,0)")
+    first_at = lambda of: (F.floor(of / step).cast("bigint"), F.pmod(of, step).cast("int"))
+    repeated = lines.groupBy("k1", "k2").agg(F.min(at).alias("first_at"), F.count(F.lit(1)).alias("lines")).filter("lines > 1")
+    first_doc, first_line = first_at(F.col("first_at"))
     repeated = stage(
-        lines.groupBy("k1", "k2")
-        .agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("lines"))
-        .filter("lines > 1")
-        .select(
-            "k1",
-            "k2",
-            F.floor(F.col("at") / step).cast("bigint").alias("first_doc"),
-            F.pmod(F.col("at"), step).cast("int").alias("first_line"),
-        ),
-        "repeated_sets",
+        repeated.select("k1", "k2", "lines", first_doc.alias("first_doc"), first_line.alias("first_line")), "repeated_sets"
     )
     place, keys = ["doc", "line_no"], ["k1", "k2"]
     earliest = (F.col("doc") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    firsts = lookup_join(lines.select(*place, *keys, "n", "sketch", "prefix"), repeated, keys, "left").filter(
+    collapsed = repeated.drop("lines")
+    if measured_bytes(collapsed) > limit:
+        n_lines = lines.count()
+        # Lines of the other sets are looked up each; moving all lines to their sets would cost as much as all keys.
+        collapsed = repeated.filter(F.col("lines") * _REPEATED_SHARE >= n_lines).drop("lines")
+    # Measured, or fewer than the share tells.
+    firsts = lines.select(*place, *keys, "n", "sketch", "prefix").join(F.broadcast(collapsed), keys, "left").filter(
         F.col("first_doc").isNull() | earliest
     )
 
-    # Keys under which two sets or more are looked up, with the nearest line before and the first one.
+    # Keys under which two sets or more are looked up.  The rows are dealt by the word inside of the key.
+    near, far = _LOOKS
     by_word = W.partitionBy("word").orderBy("doc", "at")
-    so_far = by_word.rowsBetween(W.unboundedPreceding, W.currentRow)
-    it = F.struct("doc", "at")
-    met = _keyed(firsts, threshold).withColumns(
+    met = _keyed(firsts, threshold).repartition(_word("key")).withColumn("word", _word("key"))
+    met = met.withColumns(
         {
             "nth": F.row_number().over(by_word),
-            "nearest": F.lag(it).over(by_word),
-            "first": F.first(it).over(so_far),
-            "more": F.lead("at").over(by_word).isNotNull(),
+            "rows": F.count(F.lit(1)).over(by_word.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
         }
     )
-    met = stage(
-        met.filter("nth > 1 OR more").withColumn("first", F.when(F.col("nth") > 2, F.col("first"))).drop("more"),
-        "shared_keys",
-    )
+    met, found = _with_earlier(met, by_word, range(1, near + 1), threshold, first=True)
+    some = reduce(or_, [F.col(o).isNotNull() for o in found], F.col("rows") > near + 2)
+    met = stage(met.filter(some).drop("word"), "shared_keys")
+    # The keys of all lines are the largest of all shuffles.
+    drop_shuffles(docs.sparkSession)
     sketches = firsts.select(*place, "n", "sketch")
-    matched = None
-    for seen, look in zip((0, *_LOOKS), _LOOKS, strict=False):
-        if look == _LOOKS[0]:
-            both = met.filter("nth > 1").select("doc", "at", F.explode(F.array("nearest", "first")).alias("other"))
-            pairs = both.select("doc", "at", F.col("other.doc").alias("other_doc"), F.col("other.at").alias("other_at"))
+    matched = stage(lines.select(*place, *keys).limit(0), "matched_lines")
+    for look in (near, far, None):
+        if look == near:
+            pairs = _pairs(met, found)
+            met = met.filter(F.col("rows") > near + 2).select("key", "doc", "at", "nth")
         else:
             # Lines without a match so far, under the keys with lines they were not compared with.
-            unsure = met.filter(F.col("nth") > seen + 2).select("word", "doc", "at", "nth", _line_no("at").alias("line_no"))
-            unsure = stage(unsure.join(matched.select(*place), place, "left_anti"), "unsure_lines")
-            if unsure.isEmpty():
-                break
-            earlier = met.filter("nth > 1").select("word", *[F.col(c).alias(f"other_{c}") for c in ("doc", "at", "nth")])
-            back = F.col("nth") - F.col("other_nth")
-            near = (back > seen) & (F.lit(True) if look is None else back <= look)
-            pairs = unsure.join(earlier, "word").filter(near)
-        pairs = (
-            pairs.filter(_may_match(threshold, "at", "other_at"))
-            .select("doc", _line_no("at").alias("line_no"), "other_doc", _line_no("other_at").alias("other_line"))
-            .filter((F.col("doc") != F.col("other_doc")) | (F.col("line_no") != F.col("other_line")))
-        )
-        pairs = stage(_close(pairs.distinct(), sketches, threshold), "line_pairs")
-        found = _verified(pairs, docs, ranks, threshold)
-        matched = stage(found if matched is None else matched.unionByName(found), "matched_lines")
+            known = matched.select(*place).distinct()
+            words = met.withColumn("word", _word("key"))
+            if look == far:
+                rows, found = _with_earlier(words, W.partitionBy("word").orderBy("nth"), range(near + 1, far + 1), threshold)
+                pairs = _pairs(rows, found).join(known, place, "left_anti")
+            else:
+                unsure = words.filter(F.col("nth") > far + 2).withColumn("line_no", _line_no(F.col("at")))
+                unsure = unsure.join(known, place, "left_anti").drop("line_no")
+                earlier = words.filter("nth > 1").select("word", *[F.col(c).alias(f"other_{c}") for c in met.columns])
+                elsewhere = (F.col("doc") != F.col("other_doc")) | (_line_no(F.col("at")) != _line_no(F.col("other_at")))
+                sides = [F.col(c) for c in ("key", "at", "other_key", "other_at")]
+                beyond = (F.col("nth") - F.col("other_nth") > far) & elsewhere & _may_match(threshold, *sides)
+                pairs = _places(unsure.join(earlier, "word").filter(beyond))
+        pairs = stage(pairs.distinct(), "near_pairs")
+        pairs = stage(_close(pairs, sketches, threshold, limit), "line_pairs")
+        if not pairs.isEmpty():
+            matched = stage(matched.unionByName(_verified(pairs, docs, ranks, threshold)), "matched_lines")
+            drop_shuffles(docs.sparkSession)
 
     # Later lines of a set go, and its first one if that has an earlier match.
-    none = {"first_doc": F.lit(None).cast("bigint"), "first_line": F.lit(None).cast("int")}
     open_sets = (
-        repeated.withColumn("matched", F.lit(False))
-        .unionByName(matched.select(*keys).withColumns(none | {"matched": F.lit(True)}))
+        repeated.drop("lines").unionByName(matched.select(*keys, at.alias("matched_at")), allowMissingColumns=True)
         .groupBy(*keys)
-        .agg(*[F.max(c).alias(c) for c in ("first_doc", "first_line", "matched")])
+        .agg(*[F.max(c).alias(c) for c in ("first_doc", "first_line")], F.min("matched_at").alias("matched_at"))
+    )
+    matched_doc, matched_line = first_at(F.col("matched_at"))
+    of_first = (matched_doc == F.col("first_doc")) & (matched_line == F.col("first_line"))
+    open_sets = open_sets.select(
+        *keys, "first_doc", "first_line",
+        (F.col("matched_at").isNotNull() & (F.col("first_doc").isNull() | of_first)).alias("matched"),
     )
     found = lookup_join(
         lines.select(*keys, "text_key", *place), stage(open_sets, "open_sets"), keys, "inner"
