@@ -1,5 +1,7 @@
 """Encoding of whole rows, and the files tables are staged in."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from tokenloom.functions import lexicon as L
 from tokenloom.operators import encoding, vocabulary
 from tokenloom.operators import tokens as tok
 from tokenloom.plans.staging import stage
+from tokenloom.queries import catalog
 
 
 def _plan(df):
@@ -19,6 +22,22 @@ def test_staged_files_are_ones_the_reader_takes(spark):
     assert all("lz4" not in name for name in staged.inputFiles()) and staged.count() == 3
 
 
+def test_tokens_are_kept_no_longer_than_needed(spark, tmp_path, monkeypatch):
+    made = []
+
+    def recorded(df, label):
+        made.append((label, staged := stage(df, label)))
+        return staged
+
+    monkeypatch.setattr(catalog, "stage", recorded)
+    text = "a = b + 1\n" * 4
+    spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    encoded, vocab = catalog._corpus(spark, str(tmp_path))
+    left = {label: Path(df.inputFiles()[0].removeprefix("file://")).exists() for label, df in made}
+    assert left == {"lexed": False, "vocab": True, "encoded": True}
+    assert encoded.count() == 2 and encoding.decode_documents(encoded, vocab).count() == 2
+
+
 def test_encoding_moves_only_documents_that_share_an_id(spark):
     texts = [(i, f"x{i % 7} = {i % 3}\n" * 2) for i in range(20)]
     texts += [(3, "x1 = 2\n"), (3, ""), (None, "x2 = 1\n"), (None, None), (30, None), (31, "")]
